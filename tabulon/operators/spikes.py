@@ -24,9 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Probability of a sound reading passing its cutoff.
-RISK = 1e-7
+RISK = 1e-6
 #: No cutoff is below a factor of this (sound readings differ that much by rounding and chance).
 LEAST = math.log(2.2)
+#: A reading this many times off all that the other fields imply is odd under any fit.
+MOST = math.log(4.0)
+#: A source's spread is set against that of all sources, which counts as this much at least (5 %), and by a factor of 2 at most.
+LEAST_SPREAD = 0.05
 STUCK = 8
 CHUNK = 86_400
 
@@ -113,12 +117,12 @@ class Tail:
 def fit_tail(q: list[float], share: float) -> Tail:
     """Generalised Pareto tail from the levels that shares share, share / 2 and share / 4 of all residuals pass.
 
-    The three levels give the shape (Pickands) and the scale; the shape is kept within -0.5 and 0.35.
+    The three levels give the shape (Pickands) and the scale; the shape is kept within -0.5 and 0.2.
     """
     a, b, c = q
     if not (c > b > a):
         return Tail(a, 0.0, max(c - a, 0.0) / math.log(4), share)
-    shape = float(np.clip(math.log((c - b) / (b - a)) / math.log(2), -0.5, 0.35))
+    shape = float(np.clip(math.log((c - b) / (b - a)) / math.log(2), -0.5, 0.2))
     scale = (b - a) / (math.log(2) if abs(shape) < 1e-6 else (2**shape - 1) / shape)
     return Tail(a, shape, scale, share)
 
@@ -137,16 +141,16 @@ def spikes(df: DataFrame, readings: list[Reading], source: str, season: str, sha
     overall = df.agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(c) for c in cols]).first()
     j = df.join(stats, df[source] == stats["__source"], "left").drop("__source")
     for c in cols:
-        spread = max((overall[c][1] - overall[c][0]) / 1.349, 1e-6) if overall[c] else 1.0
+        spread = max((overall[c][1] - overall[c][0]) / 1.349, LEAST_SPREAD) if overall[c] else 1.0
         n, q = F.col(f"n_{c}"), F.col(f"q_{c}")
         # A source's habit counts once it has shown it in eight rows or more.
         centre = F.when(n >= 8, q[1] * n / (n + 8)).otherwise(0.0)
-        scale = F.greatest(F.lit(1.0), F.when(n >= 30, (q[2] - q[0]) / 1.349 / spread).otherwise(1.0))
+        scale = F.least(F.lit(2.0), F.greatest(F.lit(1.0), F.when(n >= 30, (q[2] - q[0]) / 1.349 / spread).otherwise(1.0)))
         j = j.withColumn(c, (F.col(c) - F.coalesce(centre, F.lit(0.0))) / F.coalesce(scale, F.lit(1.0))).drop(f"q_{c}", f"n_{c}")
     levels = [1 - share, 1 - share / 2, 1 - share / 4]
     tails = j.agg(*[F.percentile_approx(F.abs(c), F.array(*map(F.lit, levels)), 10_000).alias(c) for c in cols]).first()
     for r, c in zip(readings, cols):
-        cutoff = max(LEAST, fit_tail(list(tails[c]), share).cutoff(risk)) if tails[c] else LEAST
+        cutoff = min(MOST, max(LEAST, fit_tail(list(tails[c]), share).cutoff(risk))) if tails[c] else LEAST
         j = j.withColumn(f"spike_{r.column}", F.coalesce(F.abs(c) > cutoff, F.lit(False)))
     return j
 
