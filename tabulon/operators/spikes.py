@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.runtime import reliable_checkpoint
+
 #: Probability of a sound reading passing its cutoff.
 RISK = 1e-6
 #: No cutoff is below a factor of this (sound readings differ that much by rounding and chance).
@@ -37,63 +39,75 @@ CHUNK = 86_400
 
 @dataclass
 class Reading:
-    """A field to check: column; direct equivalents (columns in the same unit); other columns that move with it."""
+    """A field to check: column; direct equivalents (columns in the same unit); other columns that move with it.
+
+    grain: the size below which differences mean nothing; it is added before logarithms are taken.
+    """
 
     column: str
     direct: list[str] = field(default_factory=list)
     related: list[str] = field(default_factory=list)
+    grain: float = 0.0
+
 
+def _log(c: str, grain: float = 0.0) -> Column:
+    return F.when(F.col(c) + grain > 0 if not grain else F.col(c) >= 0, F.log(F.col(c) + grain))
 
-def _log(c: str) -> Column:
-    return F.when(F.col(c) > 0, F.log(c))
 
+#: Bins per unit of the logarithm: of the other field, of the reading (2.5 % wide), of residuals per source (2 % wide).
+OTHER_BINS, VALUE_BINS, RESIDUAL_BINS = 4, 40, 50
 
-def medians(df: DataFrame, target: str, other: str, season: str, bins: float = 4.0) -> DataFrame:
-    """Median log target per season and bin of log other: at most a few hundred bins times the seasons."""
-    b = df.where((F.col(target) > 0) & (F.col(other) > 0)).select(F.col(season).alias("s"), F.floor(F.log(other) * bins).cast("int").alias("b"), F.log(target).alias("v"))
-    return b.groupBy("s", "b").agg(F.percentile_approx("v", 0.5, 1000).alias("m"), F.count(F.lit(1)).alias("k"))
 
+def medians(df: DataFrame, readings: list[Reading], season: str) -> dict[str, dict[tuple[int, int], float]]:
+    """Median log reading per pair of fields, season and bin of the other field, from one counting pass.
 
-def residuals(df: DataFrame, readings: list[Reading], source: str, season: str) -> DataFrame:
-    """Add r_<column>: log reading minus the nearest of its expectations, less the source's median; null if unknowable."""
-    bins = 4.0
-    names: dict[str, list[str]] = {r.column: [] for r in readings}
-    tables: list[DataFrame] = []
+    The pass counts rows by (pair, season, bin, value bin), which is combined on the map side; what reaches the driver is
+    one row per pair, season and bin of 20 rows or more: at most a few hundred log bins times the seasons.
+    """
+    pairs = [(f"e_{r.column}_{o}", r.column, o) for r in readings for o in r.related]
+    if not pairs:
+        return {}
+    grain = {r.column: r.grain for r in readings}
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.floor(_log(o, grain.get(o, 0.0)) * OTHER_BINS).cast("int").alias("b"), F.floor(_log(c, grain[c]) * VALUE_BINS).cast("int").alias("v")) for n, c, o in pairs])
+    h = df.select(F.col(season).alias("s"), F.inline(each)).where("b is not null and v is not null").groupBy("name", "s", "b", "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("name", "s", "b")
+    h = h.withColumn("n", F.sum("k").over(w)).withColumn("below", F.sum("k").over(w.orderBy("v")))
+    rows = h.where("n >= 20 and below * 2 >= n and (below - k) * 2 < n").select("name", "s", "b", "v").collect()
+    known: dict[str, dict[tuple[int, int], float]] = {}
+    for x in rows:
+        known.setdefault(x.name, {})[(x.s, x.b)] = (x.v + 0.5) / VALUE_BINS
+    return known
+
+
+def residuals(df: DataFrame, readings: list[Reading], known: dict[str, dict[tuple[int, int], float]], season: str) -> DataFrame:
+    """Add r_<column>: log reading minus the nearest of its expectations; null if there is none."""
+    diffs: dict[str, Column] = {}
+    groups: dict[str, list[str]] = {}
+    grain = {r.column: r.grain for r in readings}
     for r in readings:
+        groups[r.column] = []
+        for d in r.direct:
+            diffs[f"d_{r.column}_{d}"] = _log(r.column, r.grain) - _log(d, r.grain)
+            groups[r.column].append(f"d_{r.column}_{d}")
         for o in r.related:
             name = f"e_{r.column}_{o}"
-            names[r.column].append(name)
-            tables.append(medians(df, r.column, o, season, bins).where("k >= 20").select(F.lit(name).alias("name"), "s", "b", "m"))
-    out = df
-    if tables:
-        # Bounded: log-binned doubles have at most 6,000 bins, and bins of 20 rows or more are far fewer.
-        rows = tables[0]
-        for t in tables[1:]:
-            rows = rows.unionByName(t)
-        known: dict[str, dict[tuple[int, int], float]] = {}
-        for x in rows.collect():
-            known.setdefault(x.name, {})[(x.s, x.b)] = x.m
-        for r in readings:
-            for o in r.related:
-                name = f"e_{r.column}_{o}"
-                got = known.get(name, {})
-                if not got:
-                    out = out.withColumn(name, F.lit(None).cast("double"))
-                    continue
-                # an array literal indexed by season and bin: constant time per row, inside the generated code
-                low, high = min(b for _, b in got), max(b for _, b in got)
-                width, seasons = high - low + 1, max(s for s, _ in got) + 1
-                flat = F.array(*[F.lit(got.get((s, b))).cast("double") for s in range(seasons) for b in range(low, high + 1)])
-                bin_ = F.floor(F.log(F.when(F.col(o) > 0, F.col(o))) * bins).cast("int")
-                at = F.when(bin_.between(low, high) & F.col(season).between(0, seasons - 1), F.col(season) * width + bin_ - low)
-                out = out.withColumn(name, F.get(flat, at))
-    for r in readings:
-        diffs = [_log(r.column) - _log(d) for d in r.direct] + [_log(r.column) - F.col(n) for n in names[r.column]]
-        # each difference stands once in the array, so that it is computed once
-        known_diffs = F.filter(F.array(*diffs), lambda x: x.isNotNull())
-        least = F.array_min(F.transform(known_diffs, lambda x: F.struct(F.abs(x).alias("a"), x.alias("d"))))["d"]
-        out = out.withColumn(f"r_{r.column}", least)
-    return out.drop(*[n for v in names.values() for n in v])
+            got = known.get(name)
+            if not got:
+                continue
+            # an array literal indexed by season and bin: constant time per row, inside the generated code
+            low, high = min(b for _, b in got), max(b for _, b in got)
+            width, seasons = high - low + 1, max(s for s, _ in got) + 1
+            flat = F.array(*[F.lit(got.get((s, b))).cast("double") for s in range(seasons) for b in range(low, high + 1)])
+            bin_ = F.floor(_log(o, grain.get(o, 0.0)) * OTHER_BINS).cast("int")
+            at = F.when(bin_.between(low, high) & F.col(season).between(0, seasons - 1), F.col(season) * width + bin_ - low)
+            diffs[name] = _log(r.column, r.grain) - F.get(flat, at)
+            groups[r.column].append(name)
+    out = df.withColumns(diffs)
+    # a projection of its own: the optimizer keeps it apart, so each difference is computed once
+    pick = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)).alias("a"), F.col(c).alias("d")))
+    none = F.lit(None).cast("struct<a:double,d:double>")
+    out = out.withColumns({f"r_{c}": (F.least(none, none, *map(pick, g)) if g else none)["d"] for c, g in groups.items()})
+    return out.drop(*diffs)
 
 
 @dataclass
@@ -127,32 +141,58 @@ def fit_tail(q: list[float], share: float) -> Tail:
     return Tail(a, shape, scale, share)
 
 
-def spikes(df: DataFrame, readings: list[Reading], source: str, season: str, share: float = 0.02, risk: float = RISK) -> DataFrame:
-    """Flag spikes: df with, per reading, r_<column> (scaled residual) and spike_<column> (boolean, false if unknowable).
-
-    The source's own median difference is subtracted (shrunk to 0 for sources with few rows), then its own spread is
-    set against that of all sources (never below it). Tail fits take three quantiles of all rows each.
+@dataclass
+class SpikeModel:
+    """What fit() learns: expectations, habits (source, field, centre, scale; one row per source and field) and cutoffs."""
+
+    readings: list[Reading]
+    source: str
+    season: str
+    known: dict[str, dict[tuple[int, int], float]]
+    habits: DataFrame
+    cutoffs: dict[str, float]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """df with, per reading, r_<column> (scaled residual) and spike_<column> (boolean, false if unknowable)."""
+        out = residuals(df, self.readings, self.known, self.season)
+        cols = [r.column for r in self.readings]
+        wide = self.habits.groupBy(F.col("__source")).agg(*[F.max(F.when(F.col("field") == c, F.struct("centre", "scale"))).alias(f"__h_{c}") for c in cols])
+        j = out.join(wide, out[self.source] == wide["__source"], "left")
+        r = {f"r_{c}": (F.col(f"r_{c}") - F.coalesce(F.col(f"__h_{c}.centre"), F.lit(0.0))) / F.coalesce(F.col(f"__h_{c}.scale"), F.lit(1.0)) for c in cols}
+        j = j.withColumns(r).drop("__source", *[f"__h_{c}" for c in cols])
+        return j.withColumns({f"spike_{c}": F.coalesce(F.abs(f"r_{c}") > self.cutoffs[c], F.lit(False)) for c in cols})
+
+
+def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share: float = 0.02, risk: float = RISK) -> SpikeModel:
+    """Learn the expectations, each source's centre and spread, and the tail cutoffs, in two counting passes.
+
+    The second pass counts residuals by source and 2 % bin; quartiles per source and the tail's levels come from these
+    counts. A source's centre is its median, shrunk to 0 for sources with few rows; its scale is its spread against that
+    of all sources, between 1 and 2. Rows without source count for the tail, with centre 0.
     """
-    df = residuals(df, readings, source, season)
-    cols = [f"r_{r.column}" for r in readings]
-    stats = df.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("__source")).agg(
-        *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 200).alias(f"q_{c}") for c in cols], *[F.count(c).alias(f"n_{c}") for c in cols]
-    )
-    overall = df.agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(c) for c in cols]).first()
-    j = df.join(stats, df[source] == stats["__source"], "left").drop("__source")
-    for c in cols:
-        spread = max((overall[c][1] - overall[c][0]) / 1.349, LEAST_SPREAD) if overall[c] else 1.0
-        n, q = F.col(f"n_{c}"), F.col(f"q_{c}")
-        # A source's habit counts once it has shown it in eight rows or more.
-        centre = F.when(n >= 8, q[1] * n / (n + 8)).otherwise(0.0)
-        scale = F.least(F.lit(2.0), F.greatest(F.lit(1.0), F.when(n >= 30, (q[2] - q[0]) / 1.349 / spread).otherwise(1.0)))
-        j = j.withColumn(c, (F.col(c) - F.coalesce(centre, F.lit(0.0))) / F.coalesce(scale, F.lit(1.0))).drop(f"q_{c}", f"n_{c}")
-    levels = [1 - share, 1 - share / 2, 1 - share / 4]
-    tails = j.agg(*[F.percentile_approx(F.abs(c), F.array(*map(F.lit, levels)), 10_000).alias(c) for c in cols]).first()
-    for r, c in zip(readings, cols):
-        cutoff = min(MOST, max(LEAST, fit_tail(list(tails[c]), share).cutoff(risk))) if tails[c] else LEAST
-        j = j.withColumn(f"spike_{r.column}", F.coalesce(F.abs(c) > cutoff, F.lit(False)))
-    return j
+    known = medians(df, readings, season)
+    r = residuals(df, readings, known, season)
+    each = F.array(*[F.struct(F.lit(x.column).alias("field"), F.round(F.col(f"r_{x.column}") * RESIDUAL_BINS).cast("int").alias("b")) for x in readings])
+    h = r.select(F.col(source).alias("__source"), F.inline(each)).where("b is not null").groupBy("__source", "field", "b").agg(F.count(F.lit(1)).alias("k"))
+    h = reliable_checkpoint(h)
+    w = Window.partitionBy("__source", "field")
+    q = h.withColumn("n", F.sum("k").over(w)).withColumn("below", F.sum("k").over(w.orderBy("b")))
+    reach = lambda p: F.min(F.when(F.col("below") >= F.col("n") * p, F.col("b"))) / RESIDUAL_BINS
+    q = q.groupBy("__source", "field").agg(F.first("n").alias("n"), reach(0.25).alias("q1"), reach(0.5).alias("q2"), reach(0.75).alias("q3"))
+    overall = {x.field: x for x in h.groupBy("field").agg(F.expr("percentile(b, array(0.25, 0.75), k)").alias("q")).collect()}
+    spread = F.lit(1.0)
+    for f, x in overall.items():
+        spread = F.when(F.col("field") == f, max((x.q[1] - x.q[0]) / RESIDUAL_BINS / 1.349, LEAST_SPREAD)).otherwise(spread)
+    # a source's habit counts once it has shown it in eight rows or more
+    centre = F.when(F.col("n") >= 8, F.col("q2") * F.col("n") / (F.col("n") + 8)).otherwise(0.0)
+    scale = F.least(F.lit(2.0), F.greatest(F.lit(1.0), F.when(F.col("n") >= 30, (F.col("q3") - F.col("q1")) / 1.349 / spread).otherwise(1.0)))
+    habits = q.where("__source is not null").select("__source", "field", centre.alias("centre"), scale.alias("scale"))
+    level = F.array(*[F.lit(1 - share / 2**i) for i in range(3)])
+    scaled = h.join(habits.withColumnRenamed("__source", "__s").withColumnRenamed("field", "__f"), (F.col("__source") == F.col("__s")) & (F.col("field") == F.col("__f")), "left")
+    scaled = scaled.withColumn("a", F.abs(F.col("b") / RESIDUAL_BINS - F.coalesce("centre", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
+    levels = {x.field: list(x.q) for x in scaled.groupBy("field", F.round("a", 3).alias("a")).agg(F.sum("k").alias("k")).groupBy("field").agg(F.percentile("a", level, F.col("k")).alias("q")).collect()}
+    cutoffs = {x.column: min(MOST, max(LEAST, fit_tail(levels[x.column], share).cutoff(risk))) if x.column in levels else LEAST for x in readings}
+    return SpikeModel(readings, source, season, known, habits, cutoffs)
 
 
 def stuck(df: DataFrame, columns: list[str], source: str, time_s: str, tie: list[str], exempt: dict[str, Column] | None = None, least: int = STUCK, chunk: int = CHUNK) -> DataFrame:

@@ -219,18 +219,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rate = F.regexp_replace(F.trim("rate_code"), r"^0+(?=\d)|\.0+$", "")
     t = e.select(
         "trip_id", clean_key("medallion").alias("source"), start.alias("t"), *[num(c).alias(c) for c in READINGS], rate.alias("rate"),
-        F.when(end > start, end - start).cast("double").alias("elapsed"), F.when((lon1 != 0) & (lon2 != 0) & (line > 0.05), line).alias("line"), F.when(implied > 0.5, implied).alias("implied"),
+        F.when(end > start, end - start).cast("double").alias("elapsed"), F.when((lon1 != 0) & (lon2 != 0), line).alias("line"), F.when(implied > 0.5, implied).alias("implied"),
         (F.floor(F.pmod(start, F.lit(86400)) / 10800) * 2 + F.when(F.pmod(F.floor(start / 86400) + 3, F.lit(7)) >= 5, 1).otherwise(0)).cast("int").alias("season"),
     )
     t = t.withColumn("season", F.coalesce("season", F.lit(0)))
     flat = [r[0] for r in t.where("rate = '2' and fare_amount > 0").groupBy("fare_amount").count().orderBy(F.desc("count"), "fare_amount").limit(1).collect()]
-    s = spikes.spikes(t, [
-        spikes.Reading("trip_distance", ["line"], ["trip_time_in_secs", "fare_amount"]),
-        spikes.Reading("trip_time_in_secs", ["elapsed"], ["trip_distance", "fare_amount"]),
-        spikes.Reading("fare_amount", ["implied"], ["trip_distance", "trip_time_in_secs"]),
+    model = spikes.fit(t, [
+        spikes.Reading("trip_distance", ["line"], ["trip_time_in_secs", "fare_amount"], 0.1),
+        spikes.Reading("trip_time_in_secs", ["elapsed"], ["trip_distance", "fare_amount"], 30.0),
+        spikes.Reading("fare_amount", ["implied"], ["trip_distance", "trip_time_in_secs"], 0.5),
     ], "source", "season")
     free = (F.col("rate") == "2") | F.col("fare_amount").isin(*flat) if flat else F.col("rate") == "2"
-    s = spikes.stuck(s, list(READINGS), "source", "t", ["trip_id"], exempt={"fare_amount": F.coalesce(free, F.lit(False))})
+    s = spikes.stuck(t, list(READINGS), "source", "t", ["trip_id"], exempt={"fare_amount": F.coalesce(free, F.lit(False))})
+    s = model.apply(s)
     short = F.coalesce((F.col("trip_time_in_secs") < 90) & (F.col("fare_amount") < 4), F.lit(False))
     rules = {
         "trip_distance": (F.col("trip_distance") < 0) | ((F.col("trip_distance") == 0) & ~short),
