@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents used for fitting at most; they pass through the driver.
-MAX_LABELLED = 20_000
+from tabulon.runtime import reliable_checkpoint
+
+#: Labelled documents used for fitting at most, chosen by hash; their features pass through the driver.
+MAX_LABELLED = 10_000
 BITS = 18
 RANK = 8
 #: Words per passage at most; longer ones are read as overlapping halves of this.
@@ -242,12 +244,15 @@ class Machine:
 
     def scores(self, f: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Scores of passages; starts: where each passage's features begin in f."""
-        if not len(f):
-            return np.empty(0)
-        e = self.v[f]
-        s = np.add.reduceat(e, starts, axis=0)
-        q = np.add.reduceat((e * e).sum(axis=1), starts)
-        return self.bias + np.add.reduceat(self.w[f], starts) + 0.5 * ((s * s).sum(axis=1) - q)
+        out = np.empty(len(starts))
+        for at in range(0, len(starts), 20_000):  # in blocks, which bounds the memory
+            own = starts[at : at + 20_000]
+            part = f[own[0] : starts[at + 20_000] if at + 20_000 < len(starts) else len(f)]
+            e = self.v[part]
+            s = np.add.reduceat(e, own - own[0], axis=0)
+            q = np.add.reduceat((e * e).sum(axis=1), own - own[0])
+            out[at : at + 20_000] = self.bias + np.add.reduceat(self.w[part], own - own[0]) + 0.5 * ((s * s).sum(axis=1) - q)
+        return out
 
 
 def fit(examples: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.05, l2: float = 1e-4, seed: int = SEED, start: Machine | None = None) -> Machine:
@@ -290,47 +295,62 @@ def fit(examples: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: i
     return Machine(float(bias), wide_w, wide_v)
 
 
+def words_of(text: str) -> set[str]:
+    return {w for w in _WORD.findall(text.lower()) if w.isalpha() and len(w) < 30 and not _HAN.search(w)}
+
+
 def vocabulary(texts: Iterable[str], least: int = 3) -> dict[str, int]:
     """Words of plain letters in at least so many texts, with their counts."""
     seen: Counter = Counter()
     for t in texts:
-        seen.update({w for w in _WORD.findall(t.lower()) if w.isalpha() and len(w) < 30 and not _HAN.search(w)})
+        seen.update(words_of(t))
     return {w: n for w, n in seen.items() if n >= least}
 
 
+def document_features(reader: Reader, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features as int32, and where its passages start among them."""
+    f, p = passages(np.array(reader.read(text), np.int64))
+    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, np.int64)
+    return f.astype(np.int32), starts.astype(np.int32)
+
+
 @dataclass
 class Corpus:
-    """Labelled documents as passages: features, where passages start, and where documents start among the passages."""
+    """Labelled documents as passages: features, where passages start, and each passage's document."""
 
     f: np.ndarray
     starts: np.ndarray
     docs: np.ndarray
     y: np.ndarray
 
+    @classmethod
+    def joined(cls, parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Corpus:
+        at = np.cumsum([0] + [len(f) for f, _ in parts])
+        f = np.concatenate([p[0] for p in parts])
+        starts = np.concatenate([s.astype(np.int64) + a for (_, s), a in zip(parts, at)])
+        return cls(f, starts, np.repeat(np.arange(len(parts), dtype=np.int32), [len(s) for _, s in parts]), y)
+
     @classmethod
     def of(cls, reader: Reader, texts: list[str], y: np.ndarray) -> Corpus:
-        fs, starts, docs, at, n = [], [], [], 0, 0
-        for t in texts:
-            f, p = passages(np.array(reader.read(t), np.int64))
-            s = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, int)
-            fs.append(f)
-            starts.append(s + at)
-            docs.append(np.full(len(s), n))
-            at, n = at + len(f), n + 1
-        return cls(np.concatenate(fs), np.concatenate(starts), np.concatenate(docs), y)
+        return cls.joined([document_features(reader, t) for t in texts], y)
 
     def passage(self, i: int) -> np.ndarray:
         return self.f[self.starts[i] : self.starts[i + 1] if i + 1 < len(self.starts) else len(self.f)]
 
 
-def first_odds(c: Corpus, share: np.ndarray) -> np.ndarray:
+def first_odds(c: Corpus) -> np.ndarray:
     """Log odds of features by the documents that hold them, shrunk to 0: the scores of the first round."""
-    doc_of = np.repeat(c.docs, np.diff(np.r_[c.starts, len(c.f)]))
-    pair = np.unique(doc_of.astype(np.int64) << BITS | c.f)
-    d, f = pair >> BITS, pair & ((1 << BITS) - 1)
-    pos, all_ = np.bincount(f, share[d], 1 << BITS), np.bincount(f, minlength=1 << BITS)
-    prior = share.mean()
-    return np.log((pos + 4 * prior) / (all_ - pos + 4 * (1 - prior))) - math.log(prior / (1 - prior))
+    pos, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    first = np.searchsorted(c.docs, np.arange(len(c.y)), "left")
+    last = np.searchsorted(c.docs, np.arange(len(c.y)), "right")
+    for d in range(len(c.y)):
+        if first[d] == last[d]:
+            continue
+        f = np.unique(c.f[c.starts[first[d]] : c.starts[last[d]] if last[d] < len(c.starts) else len(c.f)])
+        every[f] += 1
+        pos[f] += c.y[d]
+    prior = c.y.mean()
+    return np.log((pos + 4 * prior) / (every - pos + 4 * (1 - prior))) - math.log(prior / (1 - prior))
 
 
 def best_passages(c: Corpus, s: np.ndarray, k: int) -> dict[int, np.ndarray]:
@@ -347,11 +367,8 @@ def best_passages(c: Corpus, s: np.ndarray, k: int) -> dict[int, np.ndarray]:
 def learn(c: Corpus, rounds: int = 4, seed: int = SEED) -> Machine:
     """Multiple-instance learning: see the module's text."""
     rng = np.random.default_rng(seed)
-    odds = first_odds(c, c.y)
-    doc_of = np.repeat(np.arange(len(c.starts)), np.diff(np.r_[c.starts, len(c.f)]))
-    pos = np.bincount(doc_of, np.clip(odds[c.f], 0, 4), len(c.starts))
-    size = np.bincount(doc_of, minlength=len(c.starts))
-    s = pos / np.sqrt(size + 4)
+    odds = np.clip(first_odds(c), 0, 4).astype(np.float32)
+    s = np.add.reduceat(odds[c.f], c.starts) / np.sqrt(np.diff(np.r_[c.starts, len(c.f)]) + 4)
     machine = None
     for turn in range(rounds):
         best = best_passages(c, s, 3)
@@ -404,23 +421,45 @@ def cutoff(c: Corpus, machine: Machine) -> float:
     return float(best[2])
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts and mean labels of at most `most` labelled documents with text, chosen by hash; repeated labels are averaged."""
+def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, text and mean label y of at most `most` labelled documents, chosen by hash; repeated labels are averaged."""
     y = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.avg(label).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # the labels are the small side, bounded by `most`
-    rows = documents.where("text is not null and trim(text) != ''").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], np.array([r.y for r in rows])
+    return documents.where("text is not null and trim(text) != ''").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> tuple[Reader, Machine, float]:
-    """Reader, machine and cutoff, fitted on the labelled documents. Without any label, nothing is ever flagged."""
-    texts, y = labelled(documents, labels, label, most)
-    reader = Reader(vocabulary(texts))
-    if not len(y) or not (y > 0.5).any():
-        return reader, Machine(-5.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32)), 0.0
-    c = Corpus.of(reader, texts, y)
+    """Reader, machine and cutoff, fitted on the labelled documents. Without any label, nothing is ever flagged.
+
+    Words are counted and texts read on the executors; the driver gets the known words and int32 features of at most
+    `most` documents, and learns.
+    """
+    sample = reliable_checkpoint(labelled(documents, labels, label, most))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter(w for b in batches for t in b.column("text").to_pylist() for w in words_of(t))
+        yield pa.RecordBatch.from_pydict({"w": list(seen), "n": list(seen.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
+
+    known = sample.select("text").mapInArrow(words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 3")
+    reader = Reader({r.w: r.n for r in known.orderBy("w").collect()})
+    vocabulary_ = dict(reader.words)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(vocabulary_)
+        for b in batches:
+            parts = [document_features(reader, t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([f.tobytes() for f, _ in parts], pa.binary()), pa.array([s.tobytes() for _, s in parts], pa.binary())], names=["doc_id", "y", "f", "s"])
+
+    kind = dict(sample.dtypes)["doc_id"]
+    rows = sample.select("doc_id", "y", "text").mapInArrow(features, f"doc_id {kind}, y double, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+    y = rows.column("y").to_numpy()
+    nothing = Machine(-5.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
+    if not len(y) or not (y > 0.5).any() or (y > 0.5).all():
+        return reader, nothing, 0.0
+    parts = [(np.frombuffer(f, np.int32), np.frombuffer(s, np.int32)) for f, s in zip(rows.column("f").to_pylist(), rows.column("s").to_pylist())]
+    c = Corpus.joined(parts, y)
+    del rows, parts
     machine = learn(c)
     return reader, machine, cutoff(c, machine)
 
