@@ -19,10 +19,10 @@ ids AS (
   SELECT load_id, pickup_day_of_month AS day, nullif(lower(trim(pickup_borough)), '') AS borough, 'medallion' AS id_kind, nullif(upper(trim(medallion)), '') AS id FROM example
   UNION ALL
   SELECT load_id, pickup_day_of_month, nullif(lower(trim(pickup_borough)), ''), 'hack_license', nullif(upper(trim(hack_license)), '') FROM example),
-bits AS (SELECT *, ('0x' || substr(md5(id), 1, 12))::BIGINT % 32768 AS bit FROM ids WHERE id IS NOT NULL)"""
+bits AS (SELECT *, ('0x' || substr(md5(id), 1, 12))::BIGINT % 65536 AS bit FROM ids WHERE id IS NOT NULL)"""
 
-_COUNTED = """count(DISTINCT bit) AS bits_set, round(-32768.0 * ln((32768.0 - count(DISTINCT bit)) / 32768.0))::BIGINT AS estimate,
-  round(3 * sqrt(greatest(32768.0 * (exp(-ln((32768.0 - count(DISTINCT bit)) / 32768.0)) + ln((32768.0 - count(DISTINCT bit)) / 32768.0) - 1), 0.0)) / (-32768.0 * ln((32768.0 - count(DISTINCT bit)) / 32768.0)), 6) AS error_bound"""
+_COUNTED = """count(DISTINCT bit) AS bits_set, round(-65536.0 * ln((65536.0 - count(DISTINCT bit)) / 65536.0))::BIGINT AS estimate,
+  round(3 * sqrt(greatest(65536.0 * (exp(-ln((65536.0 - count(DISTINCT bit)) / 65536.0)) + ln((65536.0 - count(DISTINCT bit)) / 65536.0) - 1), 0.0)) / (-65536.0 * ln((65536.0 - count(DISTINCT bit)) / 65536.0)), 6) AS error_bound"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -42,6 +42,11 @@ WITH {_TRIPS}, settings AS (SELECT unnest([900, 2700, 7200, 28800])::INT AS gap_
 numbered AS (SELECT *, sum((pe IS NULL OR s > pe + gap_setting_s)::INT) OVER (PARTITION BY h, gap_setting_s ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM latest, settings),
 sess AS (SELECT h, gap_setting_s, max(e) - min(s) AS d, count(*) AS n FROM numbered GROUP BY h, gap_setting_s, k)
 SELECT h AS hack_license, gap_setting_s, count(*) AS sessions, sum(n)::BIGINT AS trips, max(d) AS longest_s FROM sess GROUP BY 1, 2""",
+        "p5_load_counts": f"WITH {_IDS} SELECT load_id, day, borough, id_kind, {_COUNTED} FROM bits GROUP BY 1, 2, 3, 4",
+        "p5_distinct": f"""WITH {_IDS}
+SELECT 'day_borough' AS grouping_level, day, borough, id_kind, {_COUNTED} FROM bits GROUP BY day, borough, id_kind
+UNION ALL SELECT 'day', day, NULL, id_kind, {_COUNTED} FROM bits GROUP BY day, id_kind
+UNION ALL SELECT 'borough', NULL, borough, id_kind, {_COUNTED} FROM bits GROUP BY borough, id_kind""",
         "p4_within_bound": f"""
 WITH v AS ({amounts}), g AS (SELECT pickup_neighborhood, field_name, count(*) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) GROUP BY 1, 2)
 SELECT pickup_neighborhood, field_name, p, n, true AS within_bound FROM g, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS p)""",

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.plans import problems, problems_sql
+from tabulon.plans import problems, problems_sql, survey, survey_sql
 from tabulon.runtime import Query
 
 
@@ -19,13 +19,13 @@ def _llm():
 
 def queries() -> dict[str, Query]:
     llm = _llm()
-    return {**problems.queries(), **(llm.queries() if llm else {})}
+    return {**survey.queries(), **problems.queries(), **(llm.queries() if llm else {})}
 
 
 def oracle_sql() -> dict[str, str]:
     llm = _llm()
-    return {**problems_sql.oracle_sql(), **(llm.oracle_sql() if llm else {})}
+    return {**survey_sql.oracle_sql(), **problems_sql.oracle_sql(), **(llm.oracle_sql() if llm else {})}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p3_found(spark, folder)
+    return survey.flagship(spark, folder)

@@ -81,6 +81,11 @@ def hash_unit(*cols: Column, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def quoted(names) -> list[Column]:
+    """Columns by name, where names may hold dots."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
