@@ -14,7 +14,7 @@ import numpy as np
 from tabulon.functions import grids
 from tabulon.functions.models import MODELS, Hypers, Stats, partition_prior, partition_score, sample_partition
 from tabulon.functions.schedules import Annealing, Batching, Disabling
-from tabulon.functions.special import choose, log_sum_exp
+from tabulon.functions.special import choose, choose_rows, hash_units, log_sum_exp
 
 #: Values of one feature: the values and which are observed.
 Column = tuple[np.ndarray, np.ndarray]
@@ -307,31 +307,32 @@ def ensemble_score(samples: list[Sample], columns: dict[str, Column], n: int) ->
     return log_sum_exp(np.stack([s.score(columns, n) for s in samples]), axis=0) - math.log(len(samples))
 
 
-def draw(samples: list[Sample], columns: dict[str, Column], n: int, wanted: list[str], count: int, rngs: list[np.random.Generator]) -> dict[str, np.ndarray]:
+def draw(samples: list[Sample], columns: dict[str, Column], n: int, wanted: list[str], count: int, ids: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     """`count` draws of the wanted features for each row, given its observed values: feature to array (rows x count).
 
     Samples are weighted by how well they explain the row with all its kinds; within a draw, features of a kind share a
-    group. Draws of a row are in order of their sample. Each row has its own generator, so results don't depend on batches.
+    group. Draws of a row are in order of their sample. Numbers come from hashes of (row id, draw), so results don't depend on
+    batches or partitions.
     """
     per = [[s.group_scores(k, columns, n) for k in range(len(s.kinds))] for s in samples]
-    weights = np.stack([sum(log_sum_exp(g, axis=1) for g in gs) for gs in per], axis=1)
-    out = {f: np.empty((n, count), np.float64) for f in wanted}
-    for i in range(n):
-        rng = rngs[i]
-        w = np.exp(weights[i] - weights[i].max())
-        for_sample = np.sort(np.searchsorted(np.cumsum(w), rng.random(count) * w.sum(), "right").clip(0, len(samples) - 1))
-        for l in np.unique(for_sample):
-            at = np.flatnonzero(for_sample == l)
-            s = samples[l]
-            for k, kind in enumerate(s.kinds):
-                fs = [f for f in kind.features if f in out]
-                if not fs:
-                    continue
-                p = np.exp(per[l][k][i] - per[l][k][i].max())
-                g = np.searchsorted(np.cumsum(p), rng.random(len(at)) * p.sum(), "right").clip(0, len(p) - 1)
-                for f in fs:
-                    out[f][i, at] = MODELS[s.models[f]].sample(s.hypers[f], kind.stats[f], g, rng.random(len(at)), rng)
-    return out
+    weights = np.stack([sum((log_sum_exp(g, axis=1) for g in gs), np.zeros(n)) for gs in per], axis=1)
+    flat = (np.asarray(ids, np.int64)[:, None] * np.int64(1_000_003) + np.arange(count)).ravel()
+    row = np.repeat(np.arange(n), count)
+    which = np.sort(choose_rows(hash_units(flat, seed, 1), weights[row]).reshape(n, count), axis=1).ravel()
+    out = {f: np.zeros(n * count) for f in wanted}
+    for l, s in enumerate(samples):
+        at = np.flatnonzero(which == l)
+        if not len(at):
+            continue
+        for k, kind in enumerate(s.kinds):
+            fs = [f for f in kind.features if f in out]
+            if not fs:
+                continue
+            g = choose_rows(hash_units(flat[at], seed, 2, k), per[l][k][row[at]])
+            for f in fs:
+                j = wanted.index(f)
+                out[f][at] = MODELS[s.models[f]].sample(s.hypers[f], kind.stats[f], g, lambda i, j=j: hash_units(flat[at], seed, 3, j, i))
+    return {f: v.reshape(n, count) for f, v in out.items()}
 
 
 @dataclass
@@ -340,13 +341,13 @@ class Estimate:
     variance: float
 
 
-def entropies(samples: list[Sample], sets: list[frozenset[str]], condition: dict[str, object], count: int, rng: np.random.Generator) -> dict[frozenset[str], Estimate]:
+def entropies(samples: list[Sample], sets: list[frozenset[str]], condition: dict[str, object], count: int, seed: int) -> dict[frozenset[str], Estimate]:
     """Entropy of each feature set given the condition, by Monte Carlo over `count` shared draws (two at least)."""
     if count < 2:
         raise ValueError("entropy needs two samples or more")
     wanted = sorted(frozenset().union(*sets)) if sets else []
     base = {f: (np.array([v]), np.array([True])) for f, v in condition.items() if v is not None}
-    drawn = draw(samples, base, 1, wanted, count, [rng])
+    drawn = draw(samples, base, 1, wanted, count, np.zeros(1, np.int64), seed)
     cond = {f: (np.repeat(v, count), np.repeat(o, count)) for f, (v, o) in base.items()}
     given = ensemble_score(samples, base, 1)[0]
     out = {}

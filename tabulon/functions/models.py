@@ -2,7 +2,7 @@
 
 A model's statistics are arrays whose first axis is the group. Every model has: empty, add and remove (one row), from_rows
 (a whole column by group), merge, predictive (log probability of one value under each group), table (of many values under each
-group: rows x groups), marginal (log marginal likelihood per group), sample, and grid (hyperparameter grids by name).
+group: rows x groups), marginal (log marginal likelihood per group), sample (from functions of uniform numbers, so that draws can be reproduced anywhere), and grid (hyperparameter grids by name).
 Models: bb (Beta-Bernoulli), dd (Dirichlet-discrete), dpd (Dirichlet process-discrete, unbounded categories with an
 OTHER bin), gp (Gamma-Poisson), nich (normal-inverse-chi-squared). Unobserved values are no part of any statistic.
 """
@@ -67,9 +67,9 @@ class BetaBernoulli(Model):
         a, b, p, q = h["alpha"], h["beta"], s["heads"], s["tails"]
         return lgamma(a + p) - lgamma(a) + lgamma(b + q) - lgamma(b) + lgamma(a + b) - lgamma(a + b + p + q)
 
-    def sample(self, h, s, g, u, rng):
+    def sample(self, h, s, g, unit):
         p = (h["alpha"] + s["heads"][g]) / (h["alpha"] + h["beta"] + s["heads"][g] + s["tails"][g])
-        return u < p
+        return unit(0) < p
 
 
 class DirichletDiscrete(Model):
@@ -105,9 +105,12 @@ class DirichletDiscrete(Model):
         a = h["alphas"]
         return lgamma(a.sum()) - lgamma(a.sum() + s["counts"].sum(axis=1)) + (lgamma(a + s["counts"]) - lgamma(a)).sum(axis=1)
 
-    def sample(self, h, s, g, u, rng):
-        c = np.cumsum(self.probs(h, s), axis=1)[g]
-        return np.minimum((c < u[:, None]).sum(axis=1), c.shape[1] - 1)
+    def sample(self, h, s, g, unit):
+        c, u, out = np.cumsum(self.probs(h, s), axis=1), unit(0), np.empty(len(g), np.int64)
+        for k in np.unique(g):
+            at = g == k
+            out[at] = np.minimum(np.searchsorted(c[k], u[at] * c[k, -1], "right"), c.shape[1] - 1)
+        return out
 
 
 class DirichletProcessDiscrete(DirichletDiscrete):
@@ -191,8 +194,24 @@ class GammaPoisson(Model):
         a, b = h["alpha"] + s["total"], h["inv_beta"] + s["n"]
         return lgamma(a) - lgamma(h["alpha"]) + h["alpha"] * math.log(h["inv_beta"]) - a * np.log(b) - s["log_prod"]
 
-    def sample(self, h, s, g, u, rng):
-        return rng.poisson(rng.gamma(h["alpha"] + s["total"][g], 1 / (h["inv_beta"] + s["n"][g])))
+    def sample(self, h, s, g, unit):
+        """By the inverse of the negative binomial's distribution function, summed from 0 on."""
+        a, b = (h["alpha"] + s["total"])[g], (h["inv_beta"] + s["n"])[g]
+        left, x = unit(0).copy(), np.zeros(len(g), np.int64)
+        p = np.exp(a * (np.log(b) - np.log1p(b)))
+        tiny = p < 1e-290  # far from 0: the normal law is as good
+        if tiny.any():
+            mean = a / b
+            z = np.sqrt(-2 * np.log(unit(1))) * np.cos(2 * np.pi * unit(2))
+            x[tiny] = np.maximum(0, np.rint(mean + z * np.sqrt(mean * (1 + 1 / b))))[tiny]
+        todo, k = np.flatnonzero(~tiny & (left > p)), 0
+        while len(todo) and k < 1_000_000:
+            left[todo] -= p[todo]
+            p[todo] *= (a[todo] + k) / ((k + 1) * (1 + b[todo]))
+            k += 1
+            x[todo] = k
+            todo = todo[(left[todo] > p[todo]) & ((p[todo] > 1e-18) | (k < (a / b)[todo]))]
+        return x
 
 
 class NormalInverseChiSq(Model):
@@ -251,9 +270,18 @@ class NormalInverseChiSq(Model):
             lgamma(nu / 2) - lgamma(h["nu"] / 2) + 0.5 * np.log(h["kappa"] / kappa) + h["nu"] / 2 * math.log(h["nu"] * h["sigmasq"]) - nu / 2 * np.log(nu * var) - s["n"] / 2 * math.log(math.pi)
         )
 
-    def sample(self, h, s, g, u, rng):
+    def sample(self, h, s, g, unit):
+        """Student's t by the polar method: points of the square are drawn until they are in the circle."""
         mu, kappa, var, nu = (v[g] for v in self.posterior(h, s))
-        return mu + rng.standard_t(nu) * np.sqrt(var * (kappa + 1) / kappa)
+        t, todo, k = np.zeros(len(g)), np.arange(len(g)), 0
+        while len(todo) and k < 200:
+            u, v = 2 * unit(k)[todo] - 1, 2 * unit(k + 1)[todo] - 1
+            w = u * u + v * v
+            ok = (w < 1) & (w > 0)
+            at = todo[ok]
+            t[at] = u[ok] * np.sqrt(nu[at] * np.expm1(-2 / nu[at] * np.log(w[ok])) / w[ok])
+            todo, k = todo[~ok], k + 2
+        return mu + t * np.sqrt(var * (kappa + 1) / kappa)
 
 
 #: The models in their canonical order.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
 from tabulon.functions.models import MODELS
-from tabulon.functions.special import choose_rows, log_sum_exp
+from tabulon.functions.special import choose_rows, hash_units, log_sum_exp
 from tabulon.plans.encode import random_split
 from tabulon.plans.schema import Feature
 from tabulon.runtime import quoted
@@ -78,19 +78,6 @@ def received(sent) -> list[cc.Sample]:
     return [cc.Sample.from_state(s) for s in sent.value]
 
 
-def hash_units(ids: np.ndarray, *seed: int) -> np.ndarray:
-    """Uniform numbers that depend on the ids and the seed alone (splitmix64)."""
-    mix = 0
-    for s in seed:
-        mix = (mix * 0x9E3779B97F4A7C15 + s + 0x1234567) & 0xFFFFFFFFFFFFFFFF
-    with np.errstate(over="ignore"):
-        z = ids.astype(np.int64).astype(np.uint64) + np.uint64(mix)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
-
-
 def _statistics(sample: cc.Sample, l: int, assign: list[np.ndarray], columns: dict[str, cc.Column]) -> list[tuple]:
     """Additive statistics of a batch as rows (sample, kind, feature, group, stat, code, value)."""
     out = []
@@ -261,8 +248,7 @@ def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None =
         own = received(sent)
         for b in named(batches, models):
             cols = columns_of(b, models)
-            rngs = [np.random.default_rng([seed, int(i) & 0x7FFFFFFFFFFFFFFF]) for i in b.row_id]
-            drawn = cc.draw(own, cols, len(b), wanted, count, rngs)
+            drawn = cc.draw(own, cols, len(b), wanted, count, b.row_id.to_numpy(), seed)
             out = pd.DataFrame({"row_id": np.repeat(b.row_id.to_numpy(), count), "draw": np.tile(np.arange(count, dtype=np.int32), len(b))})
             for f, m in models.items():
                 v, seen = cols[f]
@@ -300,7 +286,7 @@ def information(spark: SparkSession, samples: list[cc.Sample], pairs: list[tuple
         for b in batches:
             own = [pairs[i] for i in b.i]
             sets = list({s for x, y in own for s in (x, y, x | y)} | {frozenset(every)})
-            e = cc.entropies(mine, sets, condition, count, np.random.default_rng(seed))
+            e = cc.entropies(mine, sets, condition, count, seed)
             m = [cc.mutual_information(e, x, y) for x, y in own]
             yield pd.DataFrame({"i": b.i, "mi": [x.mean for x in m], "variance": [x.variance for x in m], "relatedness": [1.0 if p[0] == p[1] else cc.relatedness(x.mean) for p, x in zip(own, m)]})
 

@@ -33,11 +33,13 @@ def segments(events: DataFrame, resolution: int = RESOLUTION, chunk: int = CHUNK
     same: columns that, with entity and start_s, tell that records are one event (its latest end counts). Rows without
     entity or start_s are left out; a missing end or one before the start counts as the start.
     """
-    e = events.where(F.col("entity").isNotNull() & F.col("start_s").isNotNull())
+    alike = [f"__same{i}" for i in range(len(same or []))]
+    e = events.select("entity", F.col("start_s").cast("bigint").alias("start_s"), F.col("end_s").cast("bigint").alias("end_s"), *[F.col(c).alias(a) for c, a in zip(same or [], alike)])
+    e = e.where(F.col("entity").isNotNull() & F.col("start_s").isNotNull())
     e = e.withColumn("end_s", F.greatest(F.col("start_s"), F.coalesce(F.col("end_s"), F.col("start_s")))).withColumn("chunk", F.floor(F.col("start_s") / chunk))
     if same is not None:
         # Clustered by entity and chunk first: both the merging of records and the window below reuse that shuffle.
-        e = e.repartition(F.col("entity"), F.col("chunk")).groupBy("entity", "chunk", "start_s", *same).agg(F.max("end_s").alias("end_s"))
+        e = e.repartition(F.col("entity"), F.col("chunk")).groupBy("entity", "chunk", "start_s", *alike).agg(F.max("end_s").alias("end_s"))
     w = Window.partitionBy("entity", "chunk").orderBy("start_s", "end_s")
     before = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
     e = e.withColumn("new", (F.col("start_s") > F.coalesce(before, F.lit(-NEVER)) + resolution).cast("int"))

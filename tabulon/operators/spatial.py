@@ -158,10 +158,15 @@ def inside_in_strip(lon, lat, ref_ids, boundaries) -> tuple[np.ndarray, np.ndarr
 
 
 class Strips:
-    """Latitude strips over one set of points (columns lon, lat, both double; other columns are carried along)."""
+    """Latitude strips over one set of points (columns lon, lat, both double; other columns are carried along).
+
+    Within, the carried columns have neutral names, so theirs can't clash with the operator's.
+    """
 
     def __init__(self, points: DataFrame, strips: int | None = None):
         spark = points.sparkSession
+        self.names = [c for c in points.columns if c not in ("lon", "lat")]
+        points = points.select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), *[F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(self.names)])
         self.points = points.where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90))
         cells = self.points.groupBy(F.floor(F.col("lat") / CELL).cast("int").alias("cell")).count().collect()
         self.plan = strip_plan({r.cell: r["count"] for r in cells}, strips or 4 * parallelism(spark))
@@ -188,7 +193,8 @@ class Strips:
 def match(points: DataFrame, centres: DataFrame | None, regions: DataFrame | None, strips: Strips | None = None) -> DataFrame:
     """near() and within() over one shuffle of the points: the points' columns, kind, ref_id and distance_m.
 
-    kind is `near` or `inside` (then distance_m is null). See near() and within() for the inputs and odd cases.
+    kind is `near` or `inside` (then distance_m is null). Columns of points that are named like one of these three come out
+    with _point behind their name. See near() and within() for the inputs and odd cases.
     """
     strips = strips or Strips(points)
     ids = [c for c in strips.points.columns if c not in ("lon", "lat")]
@@ -225,6 +231,8 @@ def match(points: DataFrame, centres: DataFrame | None, regions: DataFrame | Non
 
     p = strips.owned()
     found = p.groupBy("strip", "part").cogroup(targets.groupBy("strip", "part")).applyInPandas(sweep, schema)
+    ours = ("kind", "ref_id", "distance_m")
+    found = found.select(*[F.col(i).alias(f"{n}_point" if n in ours else n) for i, n in zip(ids, strips.names)], *ours)
     return found.withColumn("distance_m", F.when(F.col("kind") == "near", F.col("distance_m")))
 
 

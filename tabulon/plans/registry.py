@@ -1,30 +1,19 @@
-"""All queries of the library and their SQL equivalents. The llm subpackage takes part if it can be imported."""
+"""All queries of the core library and their SQL equivalents."""
 
 from __future__ import annotations
 
-import importlib
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.plans import problems, problems_sql, survey, survey_sql
 from tabulon.runtime import Query
 
 
-def _llm():
-    try:
-        return importlib.import_module("tabulon.llm.queries")
-    except ImportError:
-        return None
-
-
 def queries() -> dict[str, Query]:
-    llm = _llm()
-    return {**survey.queries(), **problems.queries(), **(llm.queries() if llm else {})}
+    return {**survey.queries(), **problems.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    llm = _llm()
-    return {**survey_sql.oracle_sql(), **problems_sql.oracle_sql(), **(llm.oracle_sql() if llm else {})}
+    return {**survey_sql.oracle_sql(), **problems_sql.oracle_sql()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
