@@ -54,8 +54,8 @@ def _log(c: str, grain: float = 0.0) -> Column:
     return F.when(F.col(c) + grain > 0 if not grain else F.col(c) >= 0, F.log(F.col(c) + grain))
 
 
-#: Bins per unit of the logarithm: of the other field, of the reading (2.5 % wide), of residuals per source (2 % wide).
-OTHER_BINS, VALUE_BINS, RESIDUAL_BINS = 4, 40, 50
+#: Bins per unit of the logarithm: of the other field, of the reading (2.5 % wide), of residuals per source (5 % wide).
+OTHER_BINS, VALUE_BINS, RESIDUAL_BINS = 4, 40, 20
 
 
 def medians(df: DataFrame, readings: list[Reading], season: str) -> dict[str, dict[tuple[int, int], float]]:
@@ -166,7 +166,7 @@ class SpikeModel:
 def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share: float = 0.02, risk: float = RISK) -> SpikeModel:
     """Learn the expectations, each source's centre and spread, and the tail cutoffs, in two counting passes.
 
-    The second pass counts residuals by source and 2 % bin; quartiles per source and the tail's levels come from these
+    The second pass counts residuals by source and 5 % bin; quartiles per source and the tail's levels come from these
     counts. A source's centre is its median, shrunk to 0 for sources with few rows; its scale is its spread against that
     of all sources, between 1 and 2. Rows without source count for the tail, with centre 0.
     """
