@@ -246,6 +246,8 @@ class Chain:
     def run(self) -> Chain:
         """The schedule: annealed adding and removing until every row is in; kinds and hyperparameters between batches."""
         c = self.config
+        if not self.rows:
+            return self
         if c.extra_passes <= 0:
             for i in self.order:
                 self.add(i)
