@@ -51,9 +51,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
 
     sizes: doc_id, source (as source_name() gives it), size. favour: a positive column of sizes that inclusion odds are in
     proportion to (default: all alike). Documents of size 0 or without a target source are left out. Rows with equal ids share one
-    draw and are ordered by size. No target or no document: no rows.
+    draw and are ordered by size. Other columns are ignored. No target or no document: no rows.
     """
-    d = sizes.where("size > 0 and source is not null")
+    extra = [F.col(favour).cast("double").alias("__favour")] if favour else []
+    d = sizes.select("doc_id", "source", F.col("size").cast("bigint").alias("size"), *extra).where("size > 0 and source is not null")
     p = plan(d, targets, total)
     part = p.where("goal > 0").select("source", "whole", "part", (F.col("goal") - F.col("whole") * F.col("size")).alias("rest"))
     # the plan has one row per target; the join is on the source alone
@@ -61,9 +62,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     u = hash_unit(F.col("doc_id"), seed=seed)
     incl = F.col("part")
     if favour:
-        mean = d.groupBy("source").agg(F.avg(favour).alias("__mean"))
+        mean = d.groupBy("source").agg(F.avg("__favour").alias("__mean"))
         j = j.join(mean, "source")
-        incl = F.least(F.lit(1 - 1e-9), F.col("part") * F.col(favour) / F.col("__mean"))
+        incl = F.least(F.lit(1 - 1e-9), F.col("part") * F.col("__favour") / F.col("__mean"))
     incl = F.greatest(incl, F.lit(1e-12))
     j = j.withColumn("rank", (u / (1 - u)) / (incl / (1 - incl)))
     j = j.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
