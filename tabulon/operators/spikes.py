@@ -58,6 +58,15 @@ def _log(c: str, grain: float = 0.0) -> Column:
 OTHER_BINS, VALUE_BINS, RESIDUAL_BINS = 4, 40, 20
 
 
+def _logs(df: DataFrame, readings: list[Reading], grain: dict[str, float], direct: bool = False) -> DataFrame:
+    """Add __l_<column>, the logarithm with its grain, of every column that takes part: each is computed once per row."""
+    need = {c: grain.get(c, 0.0) for r in readings for c in (r.column, *r.related)}
+    logs = {f"__l_{c}": _log(c, g) for c, g in need.items()}
+    if direct:
+        logs |= {f"__d_{r.column}_{d}": _log(d, r.grain) for r in readings for d in r.direct}
+    return df.withColumns(logs)
+
+
 def medians(df: DataFrame, readings: list[Reading], season: str) -> dict[str, dict[tuple[int, int], float]]:
     """Median log reading per pair of fields, season and bin of the other field, from one counting pass.
 
@@ -68,14 +77,15 @@ def medians(df: DataFrame, readings: list[Reading], season: str) -> dict[str, di
     if not pairs:
         return {}
     grain = {r.column: r.grain for r in readings}
-    each = F.array(*[F.struct(F.lit(n).alias("name"), F.floor(_log(o, grain.get(o, 0.0)) * OTHER_BINS).cast("int").alias("b"), F.floor(_log(c, grain[c]) * VALUE_BINS).cast("int").alias("v")) for n, c, o in pairs])
-    h = df.select(F.col(season).alias("s"), F.inline(each)).where("b is not null and v is not null").groupBy("name", "s", "b", "v").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("name", "s", "b")
+    df = _logs(df, readings, grain)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"__l_{o}") * OTHER_BINS).cast("int").alias("b"), F.floor(F.col(f"__l_{c}") * VALUE_BINS).cast("int").alias("v")) for i, (_, c, o) in enumerate(pairs)])
+    h = df.select(F.col(season).alias("s"), F.inline(each)).where("b is not null and v is not null").groupBy("i", "s", "b", "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("i", "s", "b")
     h = h.withColumn("n", F.sum("k").over(w)).withColumn("below", F.sum("k").over(w.orderBy("v")))
-    rows = h.where("n >= 20 and below * 2 >= n and (below - k) * 2 < n").select("name", "s", "b", "v").collect()
+    rows = h.where("n >= 20 and below * 2 >= n and (below - k) * 2 < n").select("i", "s", "b", "v").collect()
     known: dict[str, dict[tuple[int, int], float]] = {}
     for x in rows:
-        known.setdefault(x.name, {})[(x.s, x.b)] = (x.v + 0.5) / VALUE_BINS
+        known.setdefault(pairs[x.i][0], {})[(x.s, x.b)] = (x.v + 0.5) / VALUE_BINS
     return known
 
 
@@ -87,7 +97,7 @@ def residuals(df: DataFrame, readings: list[Reading], known: dict[str, dict[tupl
     for r in readings:
         groups[r.column] = []
         for d in r.direct:
-            diffs[f"d_{r.column}_{d}"] = _log(r.column, r.grain) - _log(d, r.grain)
+            diffs[f"d_{r.column}_{d}"] = F.col(f"__l_{r.column}") - F.col(f"__d_{r.column}_{d}")
             groups[r.column].append(f"d_{r.column}_{d}")
         for o in r.related:
             name = f"e_{r.column}_{o}"
@@ -97,17 +107,25 @@ def residuals(df: DataFrame, readings: list[Reading], known: dict[str, dict[tupl
             # an array literal indexed by season and bin: constant time per row, inside the generated code
             low, high = min(b for _, b in got), max(b for _, b in got)
             width, seasons = high - low + 1, max(s for s, _ in got) + 1
-            flat = F.array(*[F.lit(got.get((s, b))).cast("double") for s in range(seasons) for b in range(low, high + 1)])
-            bin_ = F.floor(_log(o, grain.get(o, 0.0)) * OTHER_BINS).cast("int")
-            at = F.when(bin_.between(low, high) & F.col(season).between(0, seasons - 1), F.col(season) * width + bin_ - low)
-            diffs[name] = _log(r.column, r.grain) - F.get(flat, at)
+            cells = [got.get((s, b)) for s in range(seasons) for b in range(low, high + 1)]
+            flat = F.expr("array(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"{v!r}D" for v in cells) + ")")
+            bin_ = F.floor(F.col(f"__l_{o}") * OTHER_BINS).cast("int")
+            at = F.when(bin_.between(low, high), F.col(season) * width + bin_ - low)  # out of the array's bounds: null
+            diffs[name] = F.col(f"__l_{r.column}") - F.get(flat, at)
             groups[r.column].append(name)
-    out = df.withColumns(diffs)
-    # a projection of its own: the optimizer keeps it apart, so each difference is computed once
-    pick = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)).alias("a"), F.col(c).alias("d")))
-    none = F.lit(None).cast("struct<a:double,d:double>")
-    out = out.withColumns({f"r_{c}": (F.least(none, none, *map(pick, g)) if g else none)["d"] for c, g in groups.items()})
-    return out.drop(*diffs)
+    logged = _logs(df, readings, grain, direct=True)
+    out = logged.withColumns(diffs)
+    # Projections of their own: the optimizer keeps them apart, so each difference is computed once. Plain doubles, for the
+    # generated method has to stay small enough for the JVM to compile it.
+    out = out.withColumns({f"__a_{c}": F.least(*[F.abs(F.col(n)) for n in g]) for c, g in groups.items() if len(g) > 1})
+    nearest = {}
+    for c, g in groups.items():
+        pick = F.col(g[-1]) if g else F.lit(None).cast("double")
+        for n in g[-2::-1]:
+            pick = F.when(F.abs(F.col(n)) <= F.col(f"__a_{c}"), F.col(n)).otherwise(pick)
+        nearest[f"r_{c}"] = pick
+    out = out.withColumns(nearest).drop(*[f"__a_{c}" for c in groups])
+    return out.drop(*diffs, *[c for c in logged.columns if c not in df.columns])
 
 
 @dataclass
@@ -143,7 +161,7 @@ def fit_tail(q: list[float], share: float) -> Tail:
 
 @dataclass
 class SpikeModel:
-    """What fit() learns: expectations, habits (source, field, centre, scale; one row per source and field) and cutoffs."""
+    """What fit() learns: expectations, habits (source, field as its place in readings, centre, scale) and cutoffs."""
 
     readings: list[Reading]
     source: str
@@ -156,7 +174,7 @@ class SpikeModel:
         """df with, per reading, r_<column> (scaled residual) and spike_<column> (boolean, false if unknowable)."""
         out = residuals(df, self.readings, self.known, self.season)
         cols = [r.column for r in self.readings]
-        wide = self.habits.groupBy(F.col("__source")).agg(*[F.max(F.when(F.col("field") == c, F.struct("centre", "scale"))).alias(f"__h_{c}") for c in cols])
+        wide = self.habits.groupBy(F.col("__source")).agg(*[F.max(F.when(F.col("field") == i, F.struct("centre", "scale"))).alias(f"__h_{c}") for i, c in enumerate(cols)])
         j = out.join(wide, out[self.source] == wide["__source"], "left")
         r = {f"r_{c}": (F.col(f"r_{c}") - F.coalesce(F.col(f"__h_{c}.centre"), F.lit(0.0))) / F.coalesce(F.col(f"__h_{c}.scale"), F.lit(1.0)) for c in cols}
         j = j.withColumns(r).drop("__source", *[f"__h_{c}" for c in cols])
@@ -172,7 +190,7 @@ def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share:
     """
     known = medians(df, readings, season)
     r = residuals(df, readings, known, season)
-    each = F.array(*[F.struct(F.lit(x.column).alias("field"), F.round(F.col(f"r_{x.column}") * RESIDUAL_BINS).cast("int").alias("b")) for x in readings])
+    each = F.array(*[F.struct(F.lit(i).alias("field"), F.round(F.col(f"r_{x.column}") * RESIDUAL_BINS).cast("int").alias("b")) for i, x in enumerate(readings)])
     h = r.select(F.col(source).alias("__source"), F.inline(each)).where("b is not null").groupBy("__source", "field", "b").agg(F.count(F.lit(1)).alias("k"))
     h = reliable_checkpoint(h)
     w = Window.partitionBy("__source", "field")
@@ -191,7 +209,7 @@ def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share:
     scaled = h.join(habits.withColumnRenamed("__source", "__s").withColumnRenamed("field", "__f"), (F.col("__source") == F.col("__s")) & (F.col("field") == F.col("__f")), "left")
     scaled = scaled.withColumn("a", F.abs(F.col("b") / RESIDUAL_BINS - F.coalesce("centre", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
     levels = {x.field: list(x.q) for x in scaled.groupBy("field", F.round("a", 3).alias("a")).agg(F.sum("k").alias("k")).groupBy("field").agg(F.percentile("a", level, F.col("k")).alias("q")).collect()}
-    cutoffs = {x.column: min(MOST, max(LEAST, fit_tail(levels[x.column], share).cutoff(risk))) if x.column in levels else LEAST for x in readings}
+    cutoffs = {x.column: min(MOST, max(LEAST, fit_tail(levels[i], share).cutoff(risk))) if i in levels else LEAST for i, x in enumerate(readings)}
     return SpikeModel(readings, source, season, known, habits, cutoffs)
 
 

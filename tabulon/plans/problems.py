@@ -209,19 +209,22 @@ READINGS = ("trip_distance", "trip_time_in_secs", "fare_amount")
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "example")
-    start, end = epoch_seconds(e, "pickup_datetime"), epoch_seconds(e, "dropoff_datetime")
-    num = lambda c: usable_number(F.col(c))
-    lon1, lat1, lon2, lat2 = (num(f"{p}_{c}") for p in ("pickup", "dropoff") for c in ("longitude", "latitude"))
-    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
-    line = 2 * spatial.EARTH_M / MILE_M * F.asin(F.sqrt(F.least(F.lit(1.0), half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2))))
-    tip = num("tip_amount")
-    implied = num("total_amount") - num("surcharge") - num("mta_tax") - num("tolls_amount") - F.when(~tip.isin(*TIP_SENTINELS), tip)
-    rate = F.regexp_replace(F.trim("rate_code"), r"^0+(?=\d)|\.0+$", "")
+    numbers = [*READINGS, "tip_amount", "total_amount", "surcharge", "mta_tax", "tolls_amount", *[f"{p}_{c}" for p in ("pickup", "dropoff") for c in ("longitude", "latitude")]]
+    # cleaned values first, each once: what is derived from them below refers to columns, which keeps the generated code small
     t = e.select(
-        "trip_id", clean_key("medallion").alias("source"), start.alias("t"), *[num(c).alias(c) for c in READINGS], rate.alias("rate"),
-        F.when(end > start, end - start).cast("double").alias("elapsed"), F.when((lon1 != 0) & (lon2 != 0), line).alias("line"), F.when(implied > 0.5, implied).alias("implied"),
-        (F.floor(F.pmod(start, F.lit(86400)) / 10800) * 2 + F.when(F.pmod(F.floor(start / 86400) + 3, F.lit(7)) >= 5, 1).otherwise(0)).cast("int").alias("season"),
+        "trip_id", clean_key("medallion").alias("source"), epoch_seconds(e, "pickup_datetime").alias("t"), epoch_seconds(e, "dropoff_datetime").alias("end"),
+        F.regexp_replace(F.trim("rate_code"), r"^0+(?=\d)|\.0+$", "").alias("rate"), *[usable_number(F.col(c)).alias(c) for c in numbers],
     )
+    t = t.withColumns({f"rad_{p}": F.radians(f"{p}_latitude") for p in ("pickup", "dropoff")} | {"d_lat": F.sin(F.radians(F.col("dropoff_latitude") - F.col("pickup_latitude")) / 2), "d_lon": F.sin(F.radians(F.col("dropoff_longitude") - F.col("pickup_longitude")) / 2)})
+    chord = F.sqrt(F.least(F.lit(1.0), F.col("d_lat") * F.col("d_lat") + F.cos("rad_pickup") * F.cos("rad_dropoff") * F.col("d_lon") * F.col("d_lon")))
+    implied = F.col("total_amount") - F.col("surcharge") - F.col("mta_tax") - F.col("tolls_amount") - F.when(~F.col("tip_amount").isin(*TIP_SENTINELS), F.col("tip_amount"))
+    weekend = F.when(F.pmod(F.floor(F.col("t") / 86400) + 3, F.lit(7)) >= 5, 1).otherwise(0)
+    t = t.select(
+        "trip_id", "source", "t", *READINGS, "rate",
+        F.when(F.col("end") > F.col("t"), F.col("end") - F.col("t")).cast("double").alias("elapsed"),
+        F.when((F.col("pickup_longitude") != 0) & (F.col("dropoff_longitude") != 0), 2 * spatial.EARTH_M / MILE_M * F.asin(chord)).alias("line"),
+        implied.alias("implied"), (F.floor(F.pmod("t", F.lit(86400)) / 10800) * 2 + weekend).cast("int").alias("season"),
+    ).withColumn("implied", F.when(F.col("implied") > 0.5, F.col("implied")))
     t = t.withColumn("season", F.coalesce("season", F.lit(0)))
     flat = [r[0] for r in t.where("rate = '2' and fare_amount > 0").groupBy("fare_amount").count().orderBy(F.desc("count"), "fare_amount").limit(1).collect()]
     model = spikes.fit(t, [

@@ -59,7 +59,7 @@ def no_value(c: Column, field: str = "") -> Column:
 def usable_number(c: Column) -> Column:
     """A numeric column as double, with NaN and infinities turned to null."""
     d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+    return F.when(d - d == 0, d)  # NaN for NaN and infinities
 
 
 def seconds(c: Column | str) -> Column:
