@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 DELTA = 200
 SALTS = 32
+#: Estimates that are broadcast at most, a few MB.
+BROADCAST_GROUPS = 100_000
 
 
 def cluster_cells(q: np.ndarray, delta: int = DELTA) -> np.ndarray:
@@ -164,14 +166,21 @@ def certify(df: DataFrame, keys: list[str], value: str, estimates: DataFrame) ->
 
     rank_error is 0 if the wanted rank p * n lies between the number of values below the estimate and that of values
     not above it, else the distance to the nearer of the two, as a share of n. estimates is what estimate() returns.
-    The estimates of a group travel with it as one array (a few percentiles per group); Spark chooses the join.
+    The estimates of a group are one array. Up to BROADCAST_GROUPS estimates (they are counted first) go to the rows; beyond,
+    groups are joined in SALTS parts each, so that a group with a third of all rows is spread either way.
     """
     kept = df.select(*keys, F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
     lists = estimates.groupBy(*keys).agg(F.sort_array(F.collect_set("estimate")).alias("cuts"))
     # Values are first counted by the cell of cuts they fall in: 2 * len(cuts) + 1 counters per group survive the map side.
     lists = lists.select(*[F.col(k).alias(f"__{k}") for k in keys], "cuts")
     same = lambda: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    placed = kept.join(lists, same()).select(*keys, F.aggregate("cuts", F.lit(0), lambda a, c: a + F.when(F.col("value") > c, 2).when(F.col("value") == c, 1).otherwise(0)).alias("cell"), "cuts")
+    if estimates.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        joined = kept.join(F.broadcast(lists), same())
+    else:
+        part = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        lists = lists.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = kept.withColumn("__salt", part).join(lists, [*same(), F.col("__salt") == F.col("__part")])
+    placed = joined.select(*keys, F.aggregate("cuts", F.lit(0), lambda a, c: a + F.when(F.col("value") > c, 2).when(F.col("value") == c, 1).otherwise(0)).alias("cell"), "cuts")
     counts = placed.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("m"), F.first("cuts").alias("cuts"))
     cells = counts.groupBy(*keys).agg(F.collect_list(F.struct("cell", "m")).alias("cells"), F.first("cuts").alias("cuts"))
     zero = F.lit(0).cast("bigint")

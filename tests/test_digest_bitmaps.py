@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import bitmaps, digest
@@ -8,7 +9,9 @@ def values(spark, rows):
     return spark.createDataFrame(rows, "g string, day int, v double")
 
 
-def test_estimates_are_within_their_bound_and_counted_exactly(spark):
+@pytest.mark.parametrize("limit", [digest.BROADCAST_GROUPS, 0])
+def test_estimates_are_within_their_bound_and_counted_exactly(spark, monkeypatch, limit):
+    monkeypatch.setattr(digest, "BROADCAST_GROUPS", limit)
     rng = np.random.default_rng(0)
     data = {"a": rng.normal(0, 1, 6000), "b": rng.integers(0, 5, 2000).astype(float), "c": rng.pareto(1, 500), "one": np.array([7.0])}
     rows = [(g, int(i % 7), float(v)) for g, vs in data.items() for i, v in enumerate(vs)] + [("a", 0, None), ("a", 0, float("nan")), ("a", 1, float("inf")), (None, 1, 5.0), ("void", 1, None)]
