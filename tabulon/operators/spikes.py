@@ -34,6 +34,8 @@ MOST = math.log(4.0)
 #: A source's spread is set against that of all sources, which counts as this much at least (5 %), and by a factor of 2 at most.
 LEAST_SPREAD = 0.05
 STUCK = 8
+#: Sources whose habits are broadcast at most (about 10 MB); beyond, the join is salted.
+BROADCAST_SOURCES, SALTS = 100_000, 16
 CHUNK = 86_400
 
 
@@ -161,7 +163,7 @@ def fit_tail(q: list[float], share: float) -> Tail:
 
 @dataclass
 class SpikeModel:
-    """What fit() learns: expectations, habits (source, field as its place in readings, centre, scale) and cutoffs."""
+    """What fit() learns: expectations, habits (a row per source: centre and scale of each reading) and cutoffs."""
 
     readings: list[Reading]
     source: str
@@ -174,8 +176,12 @@ class SpikeModel:
         """df with, per reading, r_<column> (scaled residual) and spike_<column> (boolean, false if unknowable)."""
         out = residuals(df, self.readings, self.known, self.season)
         cols = [r.column for r in self.readings]
-        wide = self.habits.groupBy(F.col("__source")).agg(*[F.max(F.when(F.col("field") == i, F.struct("centre", "scale"))).alias(f"__h_{c}") for i, c in enumerate(cols)])
-        j = out.join(wide, out[self.source] == wide["__source"], "left")
+        if self.habits.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+            j = out.join(F.broadcast(self.habits), out[self.source] == F.col("__source"), "left")
+        else:  # a source may hold a third of all rows: its rows are joined in SALTS parts
+            wide = self.habits.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = out.withColumn("__salt", F.pmod(F.xxhash64(*out.columns), F.lit(SALTS)).cast("int"))
+            j = salted.join(wide, (F.col(self.source) == F.col("__source")) & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
         r = {f"r_{c}": (F.col(f"r_{c}") - F.coalesce(F.col(f"__h_{c}.centre"), F.lit(0.0))) / F.coalesce(F.col(f"__h_{c}.scale"), F.lit(1.0)) for c in cols}
         j = j.withColumns(r).drop("__source", *[f"__h_{c}" for c in cols])
         return j.withColumns({f"spike_{c}": F.coalesce(F.abs(f"r_{c}") > self.cutoffs[c], F.lit(False)) for c in cols})
@@ -210,7 +216,8 @@ def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share:
     scaled = scaled.withColumn("a", F.abs(F.col("b") / RESIDUAL_BINS - F.coalesce("centre", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
     levels = {x.field: list(x.q) for x in scaled.groupBy("field", F.round("a", 3).alias("a")).agg(F.sum("k").alias("k")).groupBy("field").agg(F.percentile("a", level, F.col("k")).alias("q")).collect()}
     cutoffs = {x.column: min(MOST, max(LEAST, fit_tail(levels[i], share).cutoff(risk))) if i in levels else LEAST for i, x in enumerate(readings)}
-    return SpikeModel(readings, source, season, known, habits, cutoffs)
+    wide = habits.groupBy("__source").agg(*[F.max(F.when(F.col("field") == i, F.struct("centre", "scale"))).alias(f"__h_{x.column}") for i, x in enumerate(readings)])
+    return SpikeModel(readings, source, season, known, reliable_checkpoint(wide), cutoffs)
 
 
 def stuck(df: DataFrame, columns: list[str], source: str, time_s: str, tie: list[str], exempt: dict[str, Column] | None = None, least: int = STUCK, chunk: int = CHUNK) -> DataFrame:

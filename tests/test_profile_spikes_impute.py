@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import impute, profile, spikes
@@ -71,7 +72,9 @@ def flags(spark, rows, name):
     return {r.id for r in s.where(f"spike_{name}").collect()}
 
 
-def test_spikes_are_flagged_and_habits_are_not(spark):
+@pytest.mark.parametrize("limit", [spikes.BROADCAST_SOURCES, 0])
+def test_spikes_are_flagged_and_habits_are_not(spark, monkeypatch, limit):
+    monkeypatch.setattr(spikes, "BROADCAST_SOURCES", limit)
     rows = meter_rows()
     rows[5][3] *= 60
     rows[200][4] *= 25
