@@ -390,3 +390,19 @@ def add_row(sample: Sample, row: dict[str, object], rng: np.random.Generator) ->
                 MODELS[s.models[f]].add(s.hypers[f], stats[f], g, columns[f][0][0])
         kinds.append(Kind(kind.features, kind.alpha, kind.d, counts, stats))
     return Sample(s.models, s.hypers, kinds, s.topology, s.rows + 1).with_empty()
+
+
+def posterior_draws(chain: Chain, count: int, skip: int = 10):
+    """`count` draws from a chain whose rows are all in, `skip` sweeps apart: (sample, assignments per kind)."""
+    for _ in range(count):
+        for _ in range(skip):
+            chain.sweep()
+        yield chain.sorted_groups()
+
+
+def kind_changes(before: Sample, after: Sample) -> dict[str, int]:
+    """How the partition of features changed: kinds that weren't there before, that are there no more, and features in other company."""
+    a, b = ({frozenset(k.features) for k in s.kinds} for s in (before, after))
+    company = [{f: k for k in kinds for f in k} for kinds in (a, b)]
+    moved = sum(company[0][f] != company[1][f] for f in company[0])
+    return {"born": len([k for k in b if k not in a]), "gone": len([k for k in a if k not in b]), "changed": moved}

@@ -205,6 +205,13 @@ def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.C
     return out
 
 
+def mix(df: DataFrame, samples: list[cc.Sample], passes: int = 3, seed: int = 0) -> list[cc.Sample]:
+    """Samples after so many more block Gibbs passes over all rows; kinds and hyperparameters stay."""
+    for p in range(passes):
+        samples = gibbs_pass(df, samples, seed + 7919 * (p + 1))
+    return samples
+
+
 def widen(sample: cc.Sample, codes: dict[str, int]) -> None:
     """Give categorical features room for every code of their dictionary, seen by the chain or not."""
     for k in sample.kinds:

@@ -412,6 +412,12 @@ def infer(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(m["sample"], m["rows"], m["kinds"], m["groups"]) for m in rows], "sample int, rows int, kinds int, groups int")
 
 
+def mix(s: SparkSession, d: str) -> DataFrame:
+    t = learnt(s, d)
+    rows = ensemble.metrics(ensemble.mix(t.rows, t.samples, 2))
+    return s.createDataFrame([(m["sample"], m["rows"], m["groups"]) for m in rows], "sample int, rows int, groups int")
+
+
 def infer_single_pass(s: SparkSession, d: str) -> DataFrame:
     t = learnt(s, d, config=cc.Config(extra_passes=0.0), samples=1)
     return s.createDataFrame([(m["sample"], m["rows"], m["groups"]) for m in ensemble.metrics(t.samples)], "sample int, rows int, groups int")
@@ -498,7 +504,7 @@ QUERIES = (
     bag_of_words, column_mode, tare_row, sparsify_diff, undiff, suffstats_bb, suffstats_dd, suffstats_gp, suffstats_nich, log_marginal_bb, log_marginal_dd, log_marginal_gp, log_marginal_nich,
     log_sum_exp, py_grid_score, empirical_entropy, mutual_information, variance_of_mean, grid_uniform, grid_center, grid_left, grid_right, accelerating_passes, annealing_actions, jaccard_groups,
     group_consensus_confidence, size_sorted_ids, rowid_join, assign_kind_join, knn_vote, predict_histogram, print_groups, pixel_counts, semi_join_rows, seeded_split, seeded_shuffle, stream_stats,
-    seek_rows, score_groups, score_row, topk_search, infer, infer_single_pass, score, predict, relate, refine, support, search, similar, group, cluster, crossvalidate, density_image,
+    seek_rows, score_groups, score_row, topk_search, infer, mix, infer_single_pass, score, predict, relate, refine, support, search, similar, group, cluster, crossvalidate, density_image,
     stream_single_pass, generate,
 )
 

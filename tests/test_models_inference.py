@@ -253,3 +253,12 @@ def test_samples_survive_their_plain_form():
     s = cc.Chain({"x": "nich", "y": "nich"}, cols, n, 1).run().sorted_groups()[0]
     t = cc.Sample.from_state(s.state())
     assert t.log_likelihood() == s.log_likelihood() and list(product(*[range(2)] * 2))
+
+
+def test_draws_and_kind_changes():
+    cols, n = gaussian_sample(0.9, 40)
+    c = cc.Chain({"x": "nich", "y": "nich"}, cols, n, 1).run()
+    draws = list(cc.posterior_draws(c, 3, 1))
+    assert len(draws) == 3 and all(k.counts.sum() == n for s, _ in draws for k in s.kinds)
+    one, two = (cc.Sample({"x": "nich", "y": "nich"}, {}, [cc.Kind(f, 1, 0, np.zeros(1), {}) for f in fs]) for fs in ([["x", "y"]], [["x"], ["y"]]))
+    assert cc.kind_changes(one, two) == {"born": 2, "gone": 1, "changed": 2} and cc.kind_changes(one, one)["changed"] == 0
