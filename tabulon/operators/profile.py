@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.runtime import reliable_checkpoint
+
 RUN = 12
 #: A column is compared by values as well as by masks while a load has at most so many different ones.
 VALUES = 64
@@ -193,6 +195,7 @@ def divergence(counts: DataFrame) -> DataFrame:
     divergence is the Jensen-Shannon divergence in bits (0 to 1); noise is what sampling alone gives on average, about
     (forms - 1) / (8 n ln 2) for each side. Rows: loads times columns.
     """
+    counts = reliable_checkpoint(counts)  # small, used several times below, and a pass over the table to make
     # a column whose values were too many in any task or load is compared by masks throughout
     many = F.max(F.col("value").isNull() & (F.col("mask") != NULL_MASK)).over(Window.partitionBy("column_name"))
     c = counts.withColumn("form", F.when(many, F.col("mask")).otherwise(F.concat_ws("\u0001", "mask", F.coalesce("value", F.lit("")))))
