@@ -131,7 +131,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("name")
     a = p.parse_args(argv)
     if a.command == "watch":
-        print("\n".join(watch(a.folder, a.style)))
+        print("\n".join(watch(session(), a.folder, a.style)))
     elif a.command == "clean":
         stores.Store(a.root, a.name).clean()
     else:

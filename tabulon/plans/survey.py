@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +11,7 @@ from tabulon.operators import consensus, ensemble, sparsify, suffstats
 from tabulon.plans import encode as enc
 from tabulon.plans import transforms as tr
 from tabulon.plans.schema import Feature
-from tabulon.runtime import Query, hash_unit, table
+from tabulon.runtime import Query, hash_unit, shared_folder, table
 from tabulon.sources import tables as src
 from tabulon.streaming import single_pass
 from tabulon.table import PredictiveTable, group_summary, histogram, matrix
@@ -141,7 +138,7 @@ def export_chunks(s: SparkSession, d: str) -> DataFrame:
 
 def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Rows exported as CSV files and read back, cell by cell text."""
-    folder = os.path.join(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabulon-csv-"), "nation_csv").replace("file://", "")
+    folder = shared_folder(s, "csv") + "/nation"
     t = table(s, d, "nation")
     src.write_csv(t.select(*[F.col(c).cast("string").alias(c) for c in t.columns]), folder)
     return s.read.csv(folder, header=True).select("n_nationkey", "n_name")
@@ -480,14 +477,14 @@ def stream_single_pass(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     features = enc.make_encoding(o, {"status": "dd", "price": "nich"})
     rows = enc.encode(o, features)
-    base = tempfile.mkdtemp(prefix="tabulon-stream-")
+    base = shared_folder(s, "stream")
     rows.repartition(3).write.parquet(f"{base}/in")
     start = ensemble.learn(rows, features, 1, cc.Config(extra_passes=0.0), learn_rows=200, passes=1)
     blank = [cc.Sample(x.models, x.hypers, [cc.Kind(k.features, k.alpha, k.d, k.counts, k.stats) for k in x.kinds], x.topology, x.rows) for x in start]
-    learner = single_pass.StreamLearner(blank, f"{base}/state")
+    learner = single_pass.StreamLearner(s, blank, f"{base}/state")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     single_pass.learn_stream(stream, learner, f"{base}/checkpoint").awaitTermination()
-    return s.createDataFrame([(line,) for line in single_pass.watch(f"{base}/state", "partial")], "line string")
+    return s.createDataFrame([(line,) for line in single_pass.watch(s, f"{base}/state", "partial")], "line string")
 
 
 def generate(s: SparkSession, d: str) -> DataFrame:

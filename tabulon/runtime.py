@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -32,6 +33,12 @@ def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that isn't set (one machine)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"tabulon-{name}-")
+
+
 def clean_key(c: Column | str) -> Column:
     """An id or name as it is compared: without outer blanks, in upper case; blank counts as missing."""
     c = F.upper(F.trim(F.col(c) if isinstance(c, str) else c))

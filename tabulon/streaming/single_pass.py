@@ -7,11 +7,12 @@ a restarted stream goes on from the last finished batch. Rows are exchangeable,
 from __future__ import annotations
 
 import json
-import os
 import pickle
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabulon.functions import crosscat as cc
@@ -35,19 +36,20 @@ def merged(old: list[cc.Sample], new: list[cc.Sample]) -> list[cc.Sample]:
 
 
 class StreamLearner:
-    """foreachBatch handler. samples: the start (learnt from a first block); folder: where state and metrics are kept."""
+    """foreachBatch handler. samples: the start (learnt from a first block); folder: where state and metrics are kept.
 
-    def __init__(self, samples: list[cc.Sample], folder: str, seed: int = 0):
-        self.folder, self.seed, self.samples, self.done = folder, seed, samples, -1
-        os.makedirs(folder, exist_ok=True)
-        if os.path.exists(self._state):
-            with open(self._state, "rb") as f:
-                self.done, states = pickle.load(f)
-            self.samples = [cc.Sample.from_state(s) for s in states]
+    The state after batch n is the one-row table <folder>/state/epoch=n, on whatever file system the folder is; a restart reads
+    the last one.
+    """
 
-    @property
-    def _state(self) -> str:
-        return os.path.join(self.folder, "state.pickle")
+    def __init__(self, spark: SparkSession, samples: list[cc.Sample], folder: str, seed: int = 0):
+        self.spark, self.folder, self.seed, self.samples, self.done = spark, folder, seed, samples, -1
+        try:
+            last = spark.read.parquet(f"{folder}/state").orderBy(F.desc("epoch")).first()
+        except AnalysisException:  # nothing was saved yet
+            last = None
+        if last is not None:
+            self.done, self.samples = last.epoch, [cc.Sample.from_state(s) for s in pickle.loads(last.state)]
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         """Add one batch; a batch that was added before (after a restart) is left out."""
@@ -57,12 +59,10 @@ class StreamLearner:
         fixed = [s.with_empty() if all(k.counts.all() for k in s.kinds) else s for s in self.samples]
         self.samples = merged(fixed, ensemble.gibbs_pass(batch, fixed, self.seed + epoch, renumber=False))
         self.done = epoch
-        with open(self._state + ".new", "wb") as f:
-            pickle.dump((self.done, [s.state() for s in self.samples]), f)
-        os.replace(self._state + ".new", self._state)
-        with open(os.path.join(self.folder, "metrics.jsonl"), "a") as f:
-            for m in ensemble.metrics([s.with_empty() for s in self.samples]):
-                f.write(json.dumps({"epoch": epoch, **m}) + "\n")
+        rows = [{"epoch": epoch, **m} for m in ensemble.metrics([s.with_empty() for s in self.samples])]
+        self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/metrics/epoch={epoch}")
+        state = bytearray(pickle.dumps([s.state() for s in self.samples]))
+        self.spark.createDataFrame([(state,)], "state binary").write.mode("overwrite").parquet(f"{self.folder}/state/epoch={epoch}")
 
 
 def learn_stream(stream: DataFrame, learner: StreamLearner, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -71,10 +71,13 @@ def learn_stream(stream: DataFrame, learner: StreamLearner, checkpoint: str, onc
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
 
 
-def watch(folder: str, style: str = "brief") -> list[str]:
-    """Lines of the metrics log: full (JSON), partial (a table) or brief (the last state per sample)."""
-    path = os.path.join(folder, "metrics.jsonl")
-    rows = [json.loads(x) for x in open(path)] if os.path.exists(path) else []
+def watch(spark: SparkSession, folder: str, style: str = "brief") -> list[str]:
+    """Lines of the metrics log: full (JSON), partial (a line per batch and sample) or brief (the last state per sample)."""
+    try:
+        rows = [json.loads(r.value) for r in spark.read.text(f"{folder}/metrics").select("value").collect()]
+    except AnalysisException:  # nothing was logged yet
+        rows = []
+    rows.sort(key=lambda r: (r["epoch"], r["sample"]))
     if style == "full":
         return [json.dumps(r, sort_keys=True) for r in rows]
     if style == "partial":

@@ -300,7 +300,7 @@ def test_learning_an_empty_table(spark):
 def test_stream_adds_each_batch_once(spark, learnt, tmp_path):
     t, _ = learnt
     t.rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    make = lambda: single_pass.StreamLearner(t.samples, str(tmp_path / "state"))
+    make = lambda: single_pass.StreamLearner(spark, t.samples, str(tmp_path / "state"))
     learner = make()
     stream = spark.readStream.schema(t.rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     single_pass.learn_stream(stream, learner, str(tmp_path / "cp")).awaitTermination()
@@ -310,5 +310,5 @@ def test_stream_adds_each_batch_once(spark, learnt, tmp_path):
     again(t.rows, again.done)
     assert all(s.rows == 480 for s in again.samples)
     for style in ("full", "partial", "brief"):
-        assert single_pass.watch(str(tmp_path / "state"), style)
-    assert single_pass.watch(str(tmp_path / "nowhere")) == []
+        assert single_pass.watch(spark, str(tmp_path / "state"), style)
+    assert single_pass.watch(spark, str(tmp_path / "nowhere")) == []
