@@ -185,7 +185,8 @@ class Strips:
         edges = self.edges if len(self.edges) else pd.DataFrame({"strip": [0], "lo": [0], "hi": [0], "parts": [1]})
         los, his = [float(v) * CELL for v in edges.lo], [float(v + 1) * CELL for v in edges.hi]
         ids, parts = [int(v) for v in edges.strip], [int(v) for v in edges.parts]
-        all_strips = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for s, a, b, k in zip(ids, los, his, parts)])
+        each = (f"named_struct('s', {s}, 'a', {a!r}D, 'b', {b!r}D, 'k', {k})" for s, a, b, k in zip(ids, los, his, parts))
+        all_strips = F.expr(f"array({', '.join(each)})")
         hit = F.filter(all_strips, lambda e: (e["b"] + 1e-9 >= F.col(low)) & (e["a"] - 1e-9 <= F.col(high)))
         return df.withColumn("e", F.explode(hit)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("e.k") - 1))).withColumn("strip", F.col("e.s")).drop("e")
 
