@@ -48,7 +48,7 @@ def infer(a, store: stores.Store) -> None:
     """Learn posterior samples."""
     spark = session()
     features = enc.from_json(store.text(store.ingest("encoding.json")))
-    samples = ensemble.learn(spark.read.parquet(store.ingest("rows")), features, a.samples, cc.Config(extra_passes=a.extra_passes), a.learn_rows, a.passes, a.seed)
+    samples = ensemble.learn(spark.read.parquet(store.ingest("rows")), features, a.samples, None if a.extra_passes is None else cc.Config(extra_passes=a.extra_passes), a.learn_rows, a.passes, a.seed)
     stores.save_samples(spark, store, samples)
     print(json.dumps(ensemble.metrics(samples)))
 
@@ -116,7 +116,7 @@ def main(argv: list[str] | None = None) -> None:
         s.set_defaults(run=f)
 
     command(ingest, ("schema", {}), ("rows", {}))
-    command(infer, ("--samples", {"type": int, "default": 10}), ("--extra-passes", {"type": float, "default": 1.5}), ("--learn-rows", {"type": int, "default": ensemble.LEARN_ROWS}), ("--passes", {"type": int, "default": 1}), ("--seed", {"type": int, "default": 0}))
+    command(infer, ("--samples", {"type": int, "default": 10}), ("--extra-passes", {"type": float}), ("--learn-rows", {"type": int, "default": ensemble.LEARN_ROWS}), ("--passes", {"type": int, "default": 1}), ("--seed", {"type": int, "default": 0}))
     command(tare)
     command(export, ("out", {}), ("--chunk", {"type": int, "default": 1_000_000}))
     command(related, ("--columns", {"nargs": "*"}), ("--count", {"type": int, "default": 1000}))

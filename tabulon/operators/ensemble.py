@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
 from tabulon.functions.models import MODELS
+from tabulon.functions.schedules import extra_passes
 from tabulon.functions.special import choose_rows, hash_units, log_sum_exp
 from tabulon.plans.encode import random_split
 from tabulon.plans.schema import Feature
@@ -177,7 +178,7 @@ def gibbs_pass(df: DataFrame, samples: list[cc.Sample], seed: int = 0, renumber:
 def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.Config | None = None, learn_rows: int = LEARN_ROWS, passes: int = 1, seed: int = 0) -> list[cc.Sample]:
     """Posterior samples of an encoded table: chains on at most learn_rows rows, then block Gibbs passes over all rows.
 
-    Chains are independent tasks. An empty table gives samples without rows. Rows with equal row_id count each.
+    Without config, chains make as many passes as the schedule has for their rows. Chains are independent tasks. An empty table gives samples without rows. Rows with equal row_id count each.
     """
     spark = df.sparkSession
     models = {f.name: f.model for f in features}
@@ -185,7 +186,7 @@ def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.C
     pdf = part.toPandas().sort_values("row_id", kind="stable")
     data = spark.sparkContext.broadcast(pdf)
     codes = {f.name: f.codes for f in features}
-    config = config or cc.Config()
+    config = config or cc.Config(extra_passes=extra_passes(len(pdf)))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

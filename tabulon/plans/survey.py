@@ -395,13 +395,14 @@ def topk_search(s: SparkSession, d: str) -> DataFrame:
 
 
 # -- learnt models (stochastic: rows only) -------------------------------------------------------------------------
-QUICK = {"samples": 2, "config": cc.Config(extra_passes=0.5), "learn_rows": 400}
+#: As on the command line; rows of the chains and passes are the operators' defaults.
+SAMPLES = 10
 
 
 def learnt(s: SparkSession, d: str, **options) -> PredictiveTable:
     t = table(s, d, "lineitem").select(*[F.col(c).cast("string").alias(c) if m == "dd" else F.col(c) for c, m in MODELS.items()])
     t = t.withColumn("l_quantity", F.col("l_quantity").cast("bigint"))
-    return PredictiveTable.fit(s, t, models=MODELS, **{**QUICK, **options})
+    return PredictiveTable.fit(s, t, models=MODELS, **{"samples": SAMPLES, **options})
 
 
 def infer(s: SparkSession, d: str) -> DataFrame:
@@ -431,15 +432,15 @@ def predict(s: SparkSession, d: str) -> DataFrame:
 
 
 def relate(s: SparkSession, d: str) -> DataFrame:
-    return matrix(learnt(s, d).relate(count=200))
+    return matrix(learnt(s, d).relate())
 
 
 def refine(s: SparkSession, d: str) -> DataFrame:
-    return learnt(s, d).refine(["l_linestatus"], None, {"l_quantity": 10}, count=100)
+    return learnt(s, d).refine(["l_linestatus"], None, {"l_quantity": 10})
 
 
 def support(s: SparkSession, d: str) -> DataFrame:
-    return learnt(s, d).support(["l_returnflag"], ["l_quantity", "l_linestatus"], {"l_quantity": 10, "l_linestatus": "O", "l_returnflag": "N"}, count=100)
+    return learnt(s, d).support(["l_returnflag"], ["l_quantity", "l_linestatus"], {"l_quantity": 10, "l_linestatus": "O", "l_returnflag": "N"})
 
 
 def search(s: SparkSession, d: str) -> DataFrame:
@@ -461,12 +462,12 @@ def cluster(s: SparkSession, d: str) -> DataFrame:
 
 def crossvalidate(s: SparkSession, d: str) -> DataFrame:
     t = learnt(s, d)
-    return ensemble.held_out(t.rows, t.features, 0.9, 2, **QUICK)
+    return ensemble.held_out(t.rows, t.features, 0.9, 2, samples=SAMPLES)
 
 
 def density_image(s: SparkSession, d: str) -> DataFrame:
     """Probability density of a two-dimensional table on a grid, as shares of the highest."""
-    t = PredictiveTable.fit(s, table(s, d, "fox").select(F.col("point_id").alias("row_id"), "x", "y"), models={"x": "nich", "y": "nich"}, **QUICK)
+    t = PredictiveTable.fit(s, table(s, d, "fox").select(F.col("point_id").alias("row_id"), "x", "y"), models={"x": "nich", "y": "nich"}, samples=SAMPLES)
     grid = s.range(32 * 32).select(F.col("id").alias("row_id"), ((F.col("id") % 32 + 0.5) / 16 - 1).alias("x"), (F.floor(F.col("id") / 32) / 16 - 1 + 1 / 32).alias("y"))
     p = ensemble.score(grid, t.samples)
     return p.withColumn("shade", F.exp(F.col("score") - F.max("score").over(Window.partitionBy(F.lit(0))))).select("row_id", "shade")
