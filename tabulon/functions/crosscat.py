@@ -123,7 +123,6 @@ class Config:
     most_rejects: int = 100
     infer_kinds: bool = True
     infer_hypers: bool = True
-    groups_at_most: int = 400
 
 
 class Chain:
@@ -158,7 +157,7 @@ class Chain:
     def add(self, i: int) -> None:
         for k in range(len(self.sample.kinds)):
             kind = self.sample.kinds[k]
-            if kind.counts.all() and len(kind.counts) < self.config.groups_at_most:
+            if kind.counts.all():
                 kind.counts = np.append(kind.counts, 0)
                 for f in kind.features:
                     kind.stats[f] = MODELS[self.sample.models[f]].extend(self.sample.hypers[f], kind.stats[f], 1)
@@ -185,7 +184,7 @@ class Chain:
         there = np.flatnonzero(self.assign[0] >= 0)
         for _ in range(self.config.empty_kinds):
             a = np.full(self.rows, -1, np.int64)
-            a[there] = sample_partition(rng, len(there), 2.0, 0.1) if len(there) <= 5000 else rng.integers(0, 8, len(there))
+            a[there] = sample_partition(rng, len(there), 2.0, 0.1)
             n = int(a.max()) + 1 if len(there) else 1
             s.kinds.append(Kind([], 2.0, 0.1, np.bincount(a[there], minlength=max(n, 1)).astype(float), {}))
             self.assign.append(a)

@@ -308,14 +308,23 @@ def partition_prior(counts: np.ndarray, alpha: float, d: float) -> np.ndarray:
     return np.log(np.where(used, c - d, fresh)) - math.log(alpha + c.sum())
 
 
+def stick_ends(rng: np.random.Generator, alpha: float, d: float, upto: float = 1.0) -> np.ndarray:
+    """Ends of the groups' shares of a Pitman-Yor partition, laid side by side from 0 to beyond upto, or to a double's last bit below 1.
+
+    Rows that are put to the share their own uniform number is in have the prior's partition, however many they are.
+    """
+    ends, left = [], 1.0
+    while not ends or (ends[-1] <= upto and left > 2.0**-53):
+        left *= 1 - rng.beta(1 - d, alpha + d * (len(ends) + 1))
+        ends.append(1 - left)
+    return np.array(ends)
+
+
 def sample_partition(rng: np.random.Generator, n: int, alpha: float, d: float) -> np.ndarray:
-    """Group of each of n rows, seated one after another."""
-    out, counts = np.empty(n, np.int64), []
-    for i in range(n):
-        w = np.array([c - d for c in counts] + [alpha + d * len(counts)])
-        g = int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), "right").clip(0, len(counts)))
-        if g == len(counts):
-            counts.append(0)
-        counts[g] += 1
-        out[i] = g
-    return out
+    """Group of each of n rows, drawn from the Pitman-Yor prior; groups are numbered as they first appear."""
+    if not n:
+        return np.empty(0, np.int64)
+    u = rng.random(n)
+    ends = stick_ends(rng, alpha, d, float(u.max()))
+    _, first, g = np.unique(np.minimum(np.searchsorted(ends, u, "right"), len(ends) - 1), return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[g]

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from tabulon.functions import crosscat as cc
+from tabulon.functions.models import sample_partition
 from tabulon.operators import ensemble
 from tabulon.plans import survey
 from tabulon.table import PredictiveTable
@@ -44,3 +46,33 @@ def test_the_schedule_drives_learning(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.random.default_rng(0).normal(size=20))], "row_id bigint, x double")
     PredictiveTable.fit(spark, df, models={"x": "nich"}, samples=1)
     assert asked == [20]
+
+
+def test_auxiliary_kinds_are_prior_draws_at_every_size(monkeypatch):
+    rng, n = np.random.default_rng(0), 6000
+    asked = []
+    monkeypatch.setattr(cc, "sample_partition", lambda rng, n, *prior: asked.append(n) or sample_partition(rng, n, *prior))
+    c = cc.Chain({"x": "nich", "y": "nich"}, {f: (rng.normal(size=n), np.ones(n, bool)) for f in "xy"}, n, 1)
+    c.assign = [np.zeros(n, np.int64) for _ in c.assign]
+    c.kind_step()
+    assert asked == [n]
+
+
+def test_large_prior_draws_have_the_prior_s_pairs():
+    rng = np.random.default_rng(1)
+    draws = [sample_partition(rng, 6000, 2.0, 0.1) for _ in range(800)]
+    assert np.mean([g[0] == g[-1] for g in draws]) == pytest.approx(0.9 / 3, abs=0.06)
+    assert np.std([g.max() for g in draws]) > 2
+
+
+def test_a_kind_with_400_groups_opens_one_more():
+    n = 401
+    c = cc.Chain({"x": "nich"}, {"x": (np.arange(n) * 1e3, np.ones(n, bool))}, n, 0)
+    kind = c.sample.kinds[0]
+    kind.counts = np.zeros(400)
+    kind.stats = {"x": cc.MODELS["nich"].empty(c.sample.hypers["x"], 400)}
+    for i in range(400):
+        c.put(0, i, i, 1)
+    c.sample.rows = 400
+    c.add(400)
+    assert len(kind.counts) == 401
