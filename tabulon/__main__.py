@@ -116,7 +116,7 @@ def main(argv: list[str] | None = None) -> None:
         s.set_defaults(run=f)
 
     command(ingest, ("schema", {}), ("rows", {}))
-    command(infer, ("--samples", {"type": int, "default": 10}), ("--extra-passes", {"type": float}), ("--learn-rows", {"type": int, "default": ensemble.LEARN_ROWS}), ("--passes", {"type": int, "default": 1}), ("--seed", {"type": int, "default": 0}))
+    command(infer, ("--samples", {"type": int, "default": 10}), ("--extra-passes", {"type": float}), ("--learn-rows", {"type": int, "default": ensemble.LEARN_ROWS}), ("--passes", {"type": int}), ("--seed", {"type": int, "default": 0}))
     command(tare)
     command(export, ("out", {}), ("--chunk", {"type": int, "default": 1_000_000}))
     command(related, ("--columns", {"nargs": "*"}), ("--count", {"type": int, "default": 1000}))

@@ -113,6 +113,43 @@ def initial_sample(models: dict[str, str], columns: dict[str, Column], rng: np.r
     return Sample(models, hypers, kinds)
 
 
+def move_features(rng: np.random.Generator, where: np.ndarray, like: np.ndarray, topology: tuple[float, float], iterations: int) -> np.ndarray:
+    """Kinds of features after so many Gibbs sweeps. like: features x kinds, log marginal likelihoods; kinds without features share a new one's prior."""
+    where, (alpha, d) = where.copy(), topology
+    for _ in range(iterations):
+        for j in rng.permutation(len(where)):
+            counts = np.bincount(np.delete(where, j), minlength=like.shape[1]).astype(float)
+            used = counts > 0
+            fresh = (alpha + d * used.sum()) / max(1, (~used).sum())
+            where[j] = choose(rng, np.log(np.where(used, counts - d, fresh)) + like[j])
+    return where
+
+
+def redraw_hypers(s: Sample, rng: np.random.Generator, values: dict[str, np.ndarray], whole: set[str]) -> None:
+    """Hyperparameters drawn on their grids, from statistics. values: observed values, whose ends span the grids; whole: features without gaps."""
+    pairs = grids.pitman_yor()
+    sizes = np.array([len(k.features) for k in s.kinds])
+    s.topology = pairs[choose(rng, np.array([partition_score(sizes, a, d) for a, d in pairs]))]
+    for kind in s.kinds:
+        kind.alpha, kind.d = pairs[choose(rng, np.array([partition_score(kind.counts, a, d) for a, d in pairs]))]
+        for f in kind.features:
+            m = MODELS[s.models[f]]
+            h = s.hypers[f]
+            for name, points in m.grid(h, values[f]).items():
+                if s.models[f] == "dd":
+                    a = np.asarray(h["alphas"], float)
+                    for j in rng.permutation(len(a))[:16]:
+                        options = [np.where(np.arange(len(a)) == j, p, a) for p in points]
+                        a = options[choose(rng, np.array([m.marginal({"alphas": o}, kind.stats[f]).sum() for o in options]))]
+                    h = {"alphas": a}
+                else:
+                    options = [{**h, name: float(p)} for p in points]
+                    h = options[choose(rng, np.array([m.marginal(o, kind.stats[f]).sum() for o in options]))]
+            if s.models[f] == "dpd" and f in whole:
+                h = m.redraw_betas(h, kind.stats[f], rng)
+            s.hypers[f] = h
+
+
 @dataclass
 class Config:
     """Inference settings. extra_passes 0 is a single greedy pass; kind_iterations sweeps over features per kind step."""
@@ -197,13 +234,7 @@ class Chain:
                 stats[j, k] = st
         where = np.array([s.kind_of(f) for f in names])
         start = where.copy()
-        alpha, d = s.topology
-        for _ in range(self.config.kind_iterations):
-            for j in rng.permutation(len(names)):
-                counts = np.bincount(np.delete(where, j), minlength=len(s.kinds)).astype(float)
-                used = counts > 0
-                fresh = (alpha + d * used.sum()) / max(1, (~used).sum())
-                where[j] = choose(rng, np.log(np.where(used, counts - d, fresh)) + like[j])
+        where = move_features(rng, where, like, s.topology, self.config.kind_iterations)
         for k, kind in enumerate(s.kinds):
             kind.features = [names[j] for j in np.flatnonzero(where == k)]
             kind.stats = {names[j]: stats[j, k] for j in np.flatnonzero(where == k)}
@@ -213,29 +244,7 @@ class Chain:
 
     # -- hyperparameters -----------------------------------------------------------------------------------------
     def hyper_step(self) -> None:
-        s, rng = self.sample, self.rng
-        pairs = grids.pitman_yor()
-        sizes = np.array([len(k.features) for k in s.kinds])
-        s.topology = pairs[choose(rng, np.array([partition_score(sizes, a, d) for a, d in pairs]))]
-        for kind in s.kinds:
-            kind.alpha, kind.d = pairs[choose(rng, np.array([partition_score(kind.counts, a, d) for a, d in pairs]))]
-            for f in kind.features:
-                m = MODELS[s.models[f]]
-                v, seen = self.columns[f]
-                h = s.hypers[f]
-                for name, points in m.grid(h, v[seen]).items():
-                    if s.models[f] == "dd":
-                        a = np.asarray(h["alphas"], float)
-                        for j in rng.permutation(len(a))[:16]:
-                            options = [np.where(np.arange(len(a)) == j, p, a) for p in points]
-                            a = options[choose(rng, np.array([m.marginal({"alphas": o}, kind.stats[f]).sum() for o in options]))]
-                        h = {"alphas": a}
-                    else:
-                        options = [{**h, name: float(p)} for p in points]
-                        h = options[choose(rng, np.array([m.marginal(o, kind.stats[f]).sum() for o in options]))]
-                if s.models[f] == "dpd" and seen.all():
-                    h = m.redraw_betas(h, kind.stats[f], rng)
-                s.hypers[f] = h
+        redraw_hypers(self.sample, self.rng, {f: v[seen] for f, (v, seen) in self.columns.items()}, {f for f, (_, seen) in self.columns.items() if seen.all()})
 
     # -- runs ----------------------------------------------------------------------------------------------------
     def note(self, passes: float) -> None:

@@ -1,9 +1,11 @@
 """Distributed learning and scoring with an ensemble of cross-categorization samples.
 
-Structure (kinds, hyperparameters) is learnt by independent chains, one task per sample, on at most `learn_rows` rows chosen
-by hash. All rows are then put to groups in block Gibbs passes: rows are scored against the broadcast model in Arrow
-batches, each draws its group with its own seeded number, and the statistics of all groups are summed in one aggregation,
-whose size is that of the model. A pass costs one scan and no shuffle of rows.
+Samples start from independent chains, one task each, on at most `learn_rows` rows chosen by hash. All rows are then put to
+groups in block Gibbs passes: rows are scored against the broadcast model in Arrow batches, each draws its group with its
+own seeded number, and the statistics of all groups are summed in one aggregation, whose size is that of the model. Kinds and
+hyperparameters are redrawn from the sums of all rows after each pass. Rows that draw a new group are seated among
+themselves before the next pass, and passes go on until a sample has no more groups than before. A pass costs two scans, and only the rows
+that draw a new group are shuffled.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
-from tabulon.functions.models import MODELS
+from tabulon.functions.models import MODELS, stick_ends
 from tabulon.functions.schedules import extra_passes
 from tabulon.functions.special import choose_rows, hash_units, log_sum_exp
 from tabulon.plans.encode import random_split
@@ -83,16 +85,15 @@ def _statistics(sample: cc.Sample, l: int, assign: list[np.ndarray], columns: di
     """Additive statistics of a batch as rows (sample, kind, feature, group, stat, code, value)."""
     out = []
     for k, kind in enumerate(sample.kinds):
-        groups = len(kind.counts)
-        for g, n in enumerate(np.bincount(assign[k], minlength=groups)):
-            if n:
-                out.append((l, k, "", g, "rows", 0, float(n)))
+        own, at_group = np.unique(assign[k], return_inverse=True)  # only the groups of the batch, which may be few of many
+        groups = len(own)
+        out += [(l, k, "", int(own[g]), "rows", 0, float(n)) for g, n in enumerate(np.bincount(at_group, minlength=groups))]
         for f in kind.features:
             v, seen = columns[f]
             at = np.flatnonzero(seen)
             if not len(at):
                 continue
-            name, h, a = sample.models[f], sample.hypers[f], assign[k][at]
+            name, h, a = sample.models[f], sample.hypers[f], at_group[at]
             if name == "nich":
                 d = v[at] - h["mu"]
                 st = {"n": np.bincount(a, minlength=groups).astype(float), "s1": np.bincount(a, d, groups), "s2": np.bincount(a, d * d, groups)}
@@ -100,7 +101,7 @@ def _statistics(sample: cc.Sample, l: int, assign: list[np.ndarray], columns: di
                 st = MODELS[name].from_rows(h, v[at], a, groups)
             for s, arr in st.items():
                 for ix in zip(*np.nonzero(arr)):
-                    out.append((l, k, f, int(ix[0]), s, int(ix[1]) if len(ix) > 1 else 0, float(arr[ix])))
+                    out.append((l, k, f, int(own[ix[0]]), s, int(ix[1]) if len(ix) > 1 else 0, float(arr[ix])))
     return out
 
 
@@ -152,6 +153,18 @@ def gibbs_pass(df: DataFrame, samples: list[cc.Sample], seed: int = 0, renumber:
 
     Without renumber, groups keep their numbers, so that the statistics can be added to those of other rows.
     """
+    return _rebuild(samples, _pass_sums(df, samples, seed, None), renumber)
+
+
+def _across(sample: cc.Sample, groups: int) -> cc.Sample:
+    """The sample's kinds, and one more of so many groups, each with all features and no statistics."""
+    every = sorted(sample.models)
+    kinds = [cc.Kind(every, k.alpha, k.d, np.zeros(len(k.counts)), {}) for k in sample.kinds]
+    return cc.Sample(sample.models, sample.hypers, [*kinds, cc.Kind(every, 2.0, 0.1, np.zeros(groups), {})], sample.topology)
+
+
+def _pass_sums(df: DataFrame, samples: list[cc.Sample], seed: int, ends: list[np.ndarray] | None) -> list:
+    """Summed statistics of a block Gibbs pass. With ends, those of every feature in every kind, and in a kind whose groups are these shares of all rows."""
     sent = share(df.sparkSession, samples)
     models = samples[0].models
 
@@ -164,7 +177,10 @@ def gibbs_pass(df: DataFrame, samples: list[cc.Sample], seed: int = 0, renumber:
             rows = []
             for l, s in enumerate(own):
                 a = [choose_rows(hash_units(ids, seed, l, k), s.group_scores(k, cols, len(b))) for k in range(len(s.kinds))]
-                rows += _statistics(s, l, a, cols)
+                if ends is not None:
+                    u = hash_units(ids, seed, l, len(s.kinds))
+                    a.append(np.minimum(np.searchsorted(ends[l], u, "right"), len(ends[l]) - 1))
+                rows += _statistics(s if ends is None else _across(s, len(ends[l])), l, a, cols)
             held = pd.concat([held, pd.DataFrame(rows, columns=names)]) if len(held) else pd.DataFrame(rows, columns=names)
             held = held.groupby(names[:-1], as_index=False).value.sum()
         if len(held):
@@ -172,13 +188,113 @@ def gibbs_pass(df: DataFrame, samples: list[cc.Sample], seed: int = 0, renumber:
 
     parts = narrow(df, models).mapInPandas(run, "sample int, kind int, feature string, grp int, stat string, code int, value double")
     summed = parts.groupBy("sample", "kind", "feature", "grp", "stat", "code").agg(F.sum("value").alias("value"))
-    return _rebuild(samples, summed.collect(), renumber)
+    return summed.collect()
+
+
+def structured_pass(df: DataFrame, samples: list[cc.Sample], seed: int, values: dict[str, np.ndarray], whole: set[str], config: cc.Config) -> list[cc.Sample]:
+    """A block Gibbs pass, then kinds and hyperparameters redrawn from the statistics of all rows."""
+    rng = np.random.default_rng(seed)
+    ends = [stick_ends(rng, 2.0, 0.1) for _ in samples]
+    size = sum(sum(len(k.counts) for k in s.kinds) * sum(v[:1].size for k in s.kinds for st in k.stats.values() for v in st.values()) for s in samples)
+    if size > MODEL_LIMIT:
+        raise ValueError(f"kinds are compared by {size} numbers, more than {MODEL_LIMIT}; use fewer samples, groups or symbols")
+    sums = _pass_sums(df, samples, seed, ends)
+    # the auxiliary kinds' groups that have rows, numbered anew
+    last = [len(s.kinds) for s in samples]
+    seated = [{g: i for i, g in enumerate(sorted({r.grp for r in sums if r.sample == l and r.kind == last[l]}))} for l in range(len(samples))]
+    sums = [r if r.kind < last[r.sample] else Row(**{**r.asDict(), "grp": seated[r.sample][r.grp]}) for r in sums]
+    out = []
+    for s in _rebuild([_across(s, max(1, len(g))) for s, g in zip(samples, seated)], sums, renumber=False):
+        old = samples[len(out)]
+        names = sorted(s.models)
+        where = np.array([old.kind_of(f) for f in names])
+        if config.infer_kinds and len(names) > 1:
+            like = np.array([[MODELS[s.models[f]].marginal(s.hypers[f], k.stats[f]).sum() for k in s.kinds] for f in names])
+            where = cc.move_features(rng, where, like, s.topology, config.kind_iterations)
+        kinds = []
+        for i, k in enumerate(s.kinds):
+            own = [f for j, f in enumerate(names) if where[j] == i]
+            if own:
+                kinds.append(cc.Kind(own, k.alpha, k.d, k.counts, {f: k.stats[f] for f in own}))
+        new = cc.Sample(s.models, dict(s.hypers), kinds, s.topology, s.rows)
+        if config.infer_hypers:
+            cc.redraw_hypers(new, rng, values, whole)
+        out.append(new.with_empty())
+    return out
+
+
+def open_groups(df: DataFrame, samples: list[cc.Sample], seed: int = 0, passes: float = 0.0, most: int = LEARN_ROWS) -> list[cc.Sample]:
+    """The samples with groups for the rows that draw a new one: these are seated one after another among themselves, in 1 + passes passes.
+
+    At most `most` rows of each kind of a sample, chosen by hash, are seated in one call.
+    """
+    sent = share(df.sparkSession, samples)
+    models = samples[0].models
+    slim = narrow(df, models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = received(sent)
+        for b in batches:
+            ids, cols = b.row_id.to_numpy(), columns_of(b.set_axis(["row_id", *models], axis=1), models)
+            for l, s in enumerate(own):
+                for k, kind in enumerate(s.kinds):
+                    fresh = kind.counts[choose_rows(hash_units(ids, seed, l, k), s.group_scores(k, cols, len(b)))] == 0
+                    if fresh.any():
+                        yield b[fresh].assign(sample=np.int32(l), kind=np.int32(k), turn=hash_units(ids[fresh], seed, l, k, 1))
+
+    def seat(b: pd.DataFrame) -> pd.DataFrame:
+        l, k = int(b["sample"].iloc[0]), int(b["kind"].iloc[0])
+        s = received(sent)[l]
+        kind, b = s.kinds[k], b.sort_values(["turn", "row_id"], kind="stable")
+        own = {f: models[f] for f in kind.features}
+        cols = columns_of(b[["row_id", *[f"f{i}" for i in range(len(models))]]].set_axis(["row_id", *models], axis=1), own)
+        c = cc.Chain(own, cols, len(b), seed, cc.Config(extra_passes=passes, infer_kinds=False, infer_hypers=False))
+        c.sample = cc.Sample(own, {f: s.hypers[f] for f in own}, [cc.Kind(kind.features, kind.alpha, kind.d, np.zeros(1), {f: MODELS[own[f]].empty(s.hypers[f], 1) for f in own})])
+        c.assign = [np.full(len(b), -1, np.int64)]
+        found = c.run().sorted_groups()[0].kinds[0]
+        return pd.DataFrame({"sample": [np.int32(l)], "kind": [np.int32(k)], "groups": [pickle.dumps((found.counts, found.stats))]})
+
+    schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes)
+    fresh = slim.mapInPandas(run, f"{schema}, sample int, kind int, turn double")
+    fresh = fresh.withColumn("place", F.row_number().over(Window.partitionBy("sample", "kind").orderBy("turn", "row_id"))).where(F.col("place") <= most).drop("place")
+    out = [s.with_empty() for s in samples]
+    for r in fresh.groupBy("sample", "kind").applyInPandas(seat, "sample int, kind int, groups binary").collect():
+        kind, (counts, stats) = out[r.sample].kinds[r.kind], pickle.loads(r.groups)
+        kind.counts = np.concatenate([kind.counts, counts])
+        kind.stats = {f: {n: np.concatenate([v, stats[f][n]]) for n, v in st.items()} for f, st in kind.stats.items()}
+    return [s.with_empty() for s in out]
+
+
+def settle(df: DataFrame, samples: list[cc.Sample], passes: int = 1, seed: int = 0, config: cc.Config | None = None) -> list[cc.Sample]:
+    """Samples after `passes` passes over all rows, and more of them while a sample gets more groups than it had.
+
+    Passes open groups for rows of no group, put all rows to groups, and redraw kinds and hyperparameters from all rows. A single greedy pass
+    (extra_passes 0) leaves kinds and hyperparameters.
+    """
+    config = config or cc.Config()
+    models = samples[0].models
+    finite = lambda f: F.when(~F.isnan(f"`{f}`") & (F.abs(f"`{f}`") < math.inf), F.col(f"`{f}`")) if models[f] == "nich" else F.col(f"`{f}`")
+    r = df.agg(F.count(F.lit(1)), *[a(finite(f)) for f in models for a in (F.count, F.min, F.max)]).first()
+    values = {f: np.array([x for x in r[3 * i + 2 : 3 * i + 4] if x is not None], float) for i, f in enumerate(models)}
+    whole = {f for i, f in enumerate(models) if r[3 * i + 1] == r[0]}
+    out, active, turn = list(samples), list(range(len(samples))), 0
+    while active:
+        own = open_groups(df, [out[l] for l in active], seed + 2 * turn + 1, config.extra_passes)
+        own = gibbs_pass(df, own, seed + 2 * turn) if config.extra_passes <= 0 else structured_pass(df, own, seed + 2 * turn, values, whole, config)
+        turn += 1
+        held = lambda s: sum(int((k.counts > 0).sum()) for k in s.kinds) / max(1, len(s.kinds))
+        more = [held(s) > held(out[l]) for l, s in zip(active, own)]
+        for l, s in zip(active, own):
+            out[l] = s
+        active = [l for l, m in zip(active, more) if m or turn < passes]
+    return out
 
 
-def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.Config | None = None, learn_rows: int = LEARN_ROWS, passes: int = 1, seed: int = 0) -> list[cc.Sample]:
+def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.Config | None = None, learn_rows: int = LEARN_ROWS, passes: int | None = None, seed: int = 0) -> list[cc.Sample]:
     """Posterior samples of an encoded table: chains on at most learn_rows rows, then block Gibbs passes over all rows.
 
-    Without config, chains make as many passes as the schedule has for their rows. Chains are independent tasks. An empty table gives samples without rows. Rows with equal row_id count each.
+    Kinds and hyperparameters come from all rows (see settle). Without config, chains make as many passes as the schedule has
+    for their rows; without passes, all rows get as many as it has for them, or 1 + config's extra passes. Chains are independent tasks. An empty table gives samples without rows. Rows with equal row_id count each.
     """
     spark = df.sparkSession
     models = {f.name: f.model for f in features}
@@ -186,6 +302,9 @@ def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.C
     pdf = part.toPandas().sort_values("row_id", kind="stable")
     data = spark.sparkContext.broadcast(pdf)
     codes = {f.name: f.codes for f in features}
+    sampled = len(pdf) >= learn_rows
+    if passes is None:
+        passes = 1 + math.ceil(config.extra_passes if config else extra_passes(df.count())) if sampled else 1
     config = config or cc.Config(extra_passes=extra_passes(len(pdf)))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,17 +319,14 @@ def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.C
     seeds = spark.createDataFrame([(seed * 1000 + i,) for i in range(samples)], "seed bigint").repartition(samples, "seed")
     found = seeds.mapInPandas(chain, "seed bigint, sample binary, log string").orderBy("seed").collect()
     out = [cc.Sample.from_state(pickle.loads(r.sample)).with_empty() for r in found]
-    if len(pdf) >= learn_rows or passes > 1:
-        for p in range(passes):
-            out = gibbs_pass(df, out, seed + p)
+    if sampled or passes > 1:
+        out = settle(df, out, passes, seed, config)
     return out
 
 
 def mix(df: DataFrame, samples: list[cc.Sample], passes: int = 3, seed: int = 0) -> list[cc.Sample]:
-    """Samples after so many more block Gibbs passes over all rows; kinds and hyperparameters stay."""
-    for p in range(passes):
-        samples = gibbs_pass(df, samples, seed + 7919 * (p + 1))
-    return samples
+    """Samples after so many more block Gibbs passes over all rows, or more while groups open (see settle)."""
+    return settle(df, samples, passes, seed + 7919)
 
 
 def widen(sample: cc.Sample, codes: dict[str, int]) -> None:
@@ -228,7 +344,7 @@ def widen(sample: cc.Sample, codes: dict[str, int]) -> None:
 
 
 def single_pass(df: DataFrame, features: list[Feature], samples: int = 1, seed: int = 0, block: int = LEARN_ROWS) -> list[cc.Sample]:
-    """Greedy inference: the structure from a first block of rows, one pass over the rest."""
+    """Greedy inference: groups of a first block of rows, then passes over all rows until none of them opens a group; kinds and hyperparameters stay."""
     return learn(df, features, samples, cc.Config(extra_passes=0.0), block, 1, seed)
 
 

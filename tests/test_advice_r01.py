@@ -5,6 +5,7 @@ from tabulon.functions import crosscat as cc
 from tabulon.functions.models import sample_partition
 from tabulon.operators import ensemble
 from tabulon.plans import survey
+from tabulon.plans.schema import Feature
 from tabulon.table import PredictiveTable
 
 
@@ -76,3 +77,14 @@ def test_a_kind_with_400_groups_opens_one_more():
     c.sample.rows = 400
     c.add(400)
     assert len(kind.counts) == 401
+
+
+def test_clusters_that_the_first_rows_miss_get_groups_of_their_own(spark):
+    codes = [0] * 1500 + [1 + k for k in range(3) for _ in range(40)]
+    df = spark.createDataFrame([(i, c, c, c) for i, c in enumerate(codes)], "row_id bigint, a int, b int, c int")
+    features = [Feature(f, "dd", {str(k): k for k in range(4)}) for f in "abc"]
+    s = ensemble.learn(df, features, 1, cc.Config(extra_passes=9.0), learn_rows=20)[0]
+    assert all(k.counts.sum() == len(codes) for k in s.kinds)
+    assert len(s.kinds) == 1 and len(s.kinds[0].features) == 3  # which so few rows hardly show
+    n = s.kinds[0].stats["a"]["counts"]
+    assert [k for k in range(4) if (n[:, k] > 0.9 * np.maximum(n.sum(axis=1), 1)).any()] == list(range(4))
