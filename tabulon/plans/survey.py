@@ -480,9 +480,7 @@ def stream_single_pass(s: SparkSession, d: str) -> DataFrame:
     rows = enc.encode(o, features)
     base = shared_folder(s, "stream")
     rows.repartition(3).write.parquet(f"{base}/in")
-    start = ensemble.learn(rows, features, 1, cc.Config(extra_passes=0.0), learn_rows=200, passes=1)
-    blank = [cc.Sample(x.models, x.hypers, [cc.Kind(k.features, k.alpha, k.d, k.counts, k.stats) for k in x.kinds], x.topology, x.rows) for x in start]
-    learner = single_pass.StreamLearner(s, blank, f"{base}/state")
+    learner = single_pass.StreamLearner(s, lambda first: ensemble.single_pass(first, features), f"{base}/state")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     single_pass.learn_stream(stream, learner, f"{base}/checkpoint").awaitTermination()
     return s.createDataFrame([(line,) for line in single_pass.watch(s, f"{base}/state", "partial")], "line string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import pickle
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -35,14 +36,25 @@ def merged(old: list[cc.Sample], new: list[cc.Sample]) -> list[cc.Sample]:
     return out
 
 
+def opened(batch: DataFrame, samples: list[cc.Sample], seed: int, most: int = ensemble.LEARN_ROWS) -> list[cc.Sample]:
+    """The samples with groups after theirs for all rows of a batch that draw a new one, at most `most` of them at a time."""
+    sizes = lambda ss: [k.counts.sum() for s in ss for k in s.kinds]
+    while True:
+        before = sizes(samples)
+        samples = ensemble.open_groups(batch, samples, seed, most=most)
+        if all(b - a < most for a, b in zip(before, sizes(samples))):
+            return samples
+        seed += 1
+
+
 class StreamLearner:
-    """foreachBatch handler. samples: the start (learnt from a first block); folder: where state and metrics are kept.
+    """foreachBatch handler. samples: the start, whose rows aren't in the stream, or what learns it from the first batch; folder: where state and metrics are kept.
 
     The state after batch n is the one-row table <folder>/state/epoch=n, on whatever file system the folder is; a restart reads
     the last one.
     """
 
-    def __init__(self, spark: SparkSession, samples: list[cc.Sample], folder: str, seed: int = 0):
+    def __init__(self, spark: SparkSession, samples: list[cc.Sample] | Callable[[DataFrame], list[cc.Sample]], folder: str, seed: int = 0):
         self.spark, self.folder, self.seed, self.samples, self.done = spark, folder, seed, samples, -1
         try:
             last = spark.read.parquet(f"{folder}/state").orderBy(F.desc("epoch")).first()
@@ -55,9 +67,12 @@ class StreamLearner:
         """Add one batch; a batch that was added before (after a restart) is left out."""
         if epoch <= self.done or batch.isEmpty():
             return
-        # groups are scored by the model so far; only the batch's own statistics come back
-        fixed = [s.with_empty() if all(k.counts.all() for k in s.kinds) else s for s in self.samples]
-        self.samples = merged(fixed, ensemble.gibbs_pass(batch, fixed, self.seed + epoch, renumber=False))
+        if callable(self.samples):
+            self.samples = self.samples(batch)
+        else:
+            # groups are scored by the model so far and those that the batch opens; only the batch's own statistics come back
+            fixed = [s.with_empty() for s in self.samples]
+            self.samples = merged(fixed, ensemble.gibbs_pass(batch, opened(batch, fixed, self.seed + epoch), self.seed + epoch, renumber=False))
         self.done = epoch
         rows = [{"epoch": epoch, **m} for m in ensemble.metrics([s.with_empty() for s in self.samples])]
         self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/metrics/epoch={epoch}")

@@ -6,6 +6,7 @@ from tabulon.functions.models import sample_partition
 from tabulon.operators import ensemble
 from tabulon.plans import survey
 from tabulon.plans.schema import Feature
+from tabulon.streaming import single_pass
 from tabulon.table import PredictiveTable
 
 
@@ -88,3 +89,20 @@ def test_clusters_that_the_first_rows_miss_get_groups_of_their_own(spark):
     assert len(s.kinds) == 1 and len(s.kinds[0].features) == 3  # which so few rows hardly show
     n = s.kinds[0].stats["a"]["counts"]
     assert [k for k in range(4) if (n[:, k] > 0.9 * np.maximum(n.sum(axis=1), 1)).any()] == list(range(4))
+
+
+def test_a_stream_counts_every_order_once(spark, data):
+    lines = [r.line for r in survey.stream_single_pass(spark, data).collect()]
+    n = spark.read.parquet(f"{data}/orders.parquet").count()
+    assert f" {n} rows" in lines[-1]
+
+
+def test_a_batch_opens_the_groups_it_needs(spark, tmp_path):
+    batch = lambda codes: spark.createDataFrame([(i, c, c, c) for i, c in enumerate(codes)], "row_id bigint, a int, b int, c int")
+    features = [Feature(f, "dd", {str(k): k for k in range(6)}) for f in "abc"]
+    learner = single_pass.StreamLearner(spark, lambda first: ensemble.single_pass(first, features), str(tmp_path))
+    learner(batch([0] * 100), 0)
+    before = [(k.counts > 0).sum() for k in learner.samples[0].kinds]
+    learner(batch([1 + i % 5 for i in range(500)]), 1)
+    assert learner.samples[0].rows == 600
+    assert any((k.counts > 0).sum() > b + 1 for k, b in zip(learner.samples[0].kinds, before))
