@@ -3,7 +3,7 @@
 Rows are split once. The statistics of rows without a gap never change and are aggregated once; each round only visits
 the rows that have gaps, so rounds cost in proportion to these. Numeric fields get a linear regression (sums of products
 of the predictors, one aggregate, solved on the driver: a k x k system), and a residual drawn from its spread. Categorical
-fields get a Bayes classifier over discretised predictors (counts per class, bounded by classes times bins), and a class
+fields get a Bayes classifier over discretised predictors (counts of the classes and bins that occur together), and a class
 drawn from its posterior. Draws depend on seed, round and row key alone, not on partitions or retries. Masks mark every
 filled cell; cells with a usable value are never changed.
 """
@@ -11,7 +11,7 @@ filled cell; cells with a usable value are never changed.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,11 +20,6 @@ from pyspark.sql import functions as F
 
 from tabulon.runtime import hash_unit, reliable_checkpoint
 
-#: Classes of a categorical field; beyond them, the rarest are pooled and never drawn.
-CLASSES = 400
-#: Bins per discretised predictor; beyond them, the rarest are pooled.
-BINS = 4000
-
 
 @dataclass
 class Field:
@@ -40,7 +35,6 @@ class Field:
     predictors: list[Column]
     floor: float | None = None
     value: Column | None = None
-    classes: int = field(default=CLASSES)
 
 
 def _normal(u1: Column, u2: Column) -> Column:
@@ -69,48 +63,46 @@ def _solve(m: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _tallies(df: DataFrame, f: Field) -> dict[tuple[int, str | None, str], int]:
-    """Counts per (predictor, bin, class) over rows whose target was observed; at most BINS bins and CLASSES classes."""
+    """Counts per (predictor, bin, class) over rows whose target was observed."""
     bins = F.array(*[F.struct(F.lit(i).alias("i"), p.cast("string").alias("b")) for i, p in enumerate(f.predictors)], F.struct(F.lit(-1).alias("i"), F.lit("").alias("b")))
-    t = df.where(~F.col(f"{f.column}_filled")).select(F.col(f.column).alias("c"), F.inline(bins)).groupBy("i", "b", "c").count()
+    t = df.where(~F.col(f"{f.column}_filled") & F.col(f.column).isNotNull()).select(F.col(f.column).alias("c"), F.inline(bins)).groupBy("i", "b", "c").count()
     return {(r.i, r.b, r.c): r["count"] for r in t.collect()}
 
 
-def _bounded(df: DataFrame, f: Field) -> tuple[list[str], list[list[str]]]:
-    """The classes and, per predictor, the bins that take part, most frequent first (ties by name)."""
-    seen = df.where(~F.col(f"{f.column}_filled"))
-    classes = [r[0] for r in seen.groupBy(f.column).count().orderBy(F.desc("count"), f.column).limit(f.classes).collect()]
-    bins = []
-    for p in f.predictors:
-        b = seen.groupBy(p.cast("string").alias("b")).count().where("b is not null").orderBy(F.desc("count"), "b").limit(BINS)
-        bins.append([r[0] for r in b.collect()])
-    return classes, bins
-
-
 class Classifier:
-    """Bayes classifier from counts, as dense log likelihoods: one array (bins + 1) x classes per predictor."""
-
-    def __init__(self, classes: list[str], bins: list[list[str]], tallies: dict):
-        self.classes = classes
-        at = {c: j for j, c in enumerate(classes)}
-        self.index = [{b: k + 1 for k, b in enumerate(bs)} for bs in bins]
-        prior = np.ones(len(classes))
-        tables = [np.full((len(bs) + 1, len(classes)), 0.05) for bs in bins]
-        for (i, b, c), n in tallies.items():
-            if c not in at:
-                continue
-            if i < 0:
-                prior[at[c]] += n
-            else:
-                tables[i][self.index[i].get(b, 0), at[c]] += n
+    """Bayes classifier from counts. All classes and bins take part; only pairs of a bin and a class that were seen are kept."""
+
+    def __init__(self, predictors: int, tallies: dict):
+        counts = {c: n for (i, _, c), n in tallies.items() if i < 0}
+        self.classes = sorted(counts, key=lambda c: (-counts[c], c))
+        at = {c: j for j, c in enumerate(self.classes)}
+        prior = 1.0 + np.array([counts[c] for c in self.classes])
         self.prior = np.log(prior / prior.sum())
-        self.tables = [np.log(t / t.sum(axis=0)) for t in tables]
-        for t in self.tables:
-            t[0] = 0.0  # an unknown or missing predictor says nothing
+        self.unseen, self.bins = [], []
+        for k in range(predictors):
+            own, totals = {}, np.zeros(len(self.classes))
+            for (i, b, c), n in tallies.items():
+                if i == k:
+                    totals[at[c]] += n
+                    if b is not None:
+                        own.setdefault(b, []).append((at[c], n))
+            # a class and a bin that never met count 0.05; what is added to this for pairs that did is kept per bin
+            self.unseen.append(np.log(0.05 / (totals + 0.05 * (len(own) + 1))))
+            self.bins.append({b: (np.array([j for j, _ in cs]), np.log1p(np.array([n for _, n in cs]) / 0.05)) for b, cs in own.items()})
 
     def draw(self, bins: pd.DataFrame, u: np.ndarray) -> np.ndarray:
+        step = max(1, 4_000_000 // len(self.classes))
+        return np.concatenate([self._draw(bins.iloc[i : i + step], u[i : i + step]) for i in range(0, len(u), step)] or [np.empty(0, object)])
+
+    def _draw(self, bins: pd.DataFrame, u: np.ndarray) -> np.ndarray:
         score = np.tile(self.prior, (len(bins), 1))
-        for k, table in enumerate(self.tables):
-            score += table[[self.index[k].get(b, 0) for b in bins.iloc[:, k]]]
+        for k, known in enumerate(self.bins):
+            for b, rows in bins.groupby(bins.iloc[:, k].to_numpy(object), sort=False).indices.items():
+                if b in known:  # an unknown or missing predictor says nothing
+                    j, more = known[b]
+                    row = self.unseen[k].copy()
+                    row[j] += more
+                    score[rows] += row
         p = np.exp(score - score.max(axis=1, keepdims=True))
         c = np.cumsum(p, axis=1)
         return np.array(self.classes, object)[np.minimum((c < (u * c[:, -1])[:, None]).sum(axis=1), len(self.classes) - 1)]
@@ -132,7 +124,6 @@ def impute(df: DataFrame, key: str, fields: list[Field], rounds: int = 3, seed:
     work = reliable_checkpoint(df.where(gap))
 
     fixed_moments = {f.column: _moments(whole, f) for f in fields if f.kind == "numeric"}
-    spaces = {f.column: _bounded(whole, f) for f in fields if f.kind == "categorical"}
     fixed_tallies = {f.column: _tallies(whole, f) for f in fields if f.kind == "categorical"}
 
     def redraw(w: DataFrame, f: Field, turn: int) -> DataFrame:
@@ -143,13 +134,12 @@ def impute(df: DataFrame, key: str, fields: list[Field], rounds: int = 3, seed:
             new = sum(terms[1:], terms[0]) + _normal(*u) * sigma
             new = F.round(F.greatest(new, F.lit(f.floor)) if f.floor is not None else new, 2)
         else:
-            classes, bins = spaces[f.column]
-            if not classes:
-                return w
             tallies = dict(fixed_tallies[f.column])
             for k, n in _tallies(w, f).items():
                 tallies[k] = tallies.get(k, 0) + n
-            model = Classifier(classes, bins, tallies)
+            if not tallies:
+                return w
+            model = Classifier(len(f.predictors), tallies)
 
             @F.pandas_udf("string")
             def drawn(u: pd.Series, *bins: pd.Series) -> pd.Series:

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
 from tabulon.functions.models import sample_partition
-from tabulon.operators import ensemble
+from tabulon.operators import ensemble, impute
 from tabulon.plans import survey
 from tabulon.plans.schema import Feature
 from tabulon.streaming import single_pass
@@ -106,3 +107,20 @@ def test_a_batch_opens_the_groups_it_needs(spark, tmp_path):
     learner(batch([1 + i % 5 for i in range(500)]), 1)
     assert learner.samples[0].rows == 600
     assert any((k.counts > 0).sum() > b + 1 for k, b in zip(learner.samples[0].kinds, before))
+
+
+def filled(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, c string, p string, x double")
+    fields = [impute.Field("c", "categorical", F.col("c").isNull(), [F.col("p")]), impute.Field("x", "numeric", F.col("x").isNull(), [F.lit(1.0)])]
+    return {r.id: r.c for r in impute.impute(df, "id", fields, rounds=1).where("c_filled").collect()}
+
+
+def test_classes_of_rows_that_lack_another_field_are_drawn(spark):
+    got = filled(spark, [(i, "b", "q", None) for i in range(50)] + [(100 + i, None, "q", 1.0) for i in range(5)])
+    assert got == {100 + i: "b" for i in range(5)}
+
+
+def test_rare_bins_tell_what_they_know(spark):
+    rows = [(i, "ab"[i % 4200 % 2], f"p{i % 4200:05d}", 1.0) for i in range(8200)] + [(10_000 + i, None, f"p{i:05d}", 1.0) for i in range(4000, 4200)]
+    got = filled(spark, rows)
+    assert np.mean([got[10_000 + i] == "ab"[i % 2] for i in range(4000, 4200)]) > 0.8
