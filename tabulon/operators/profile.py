@@ -77,7 +77,7 @@ def number_mask_text(code: int) -> str:
 def forms(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:
     """Counts per load, column, mask and value: load, column_name, mask, value, n.
 
-    value is null where the column has more than VALUES different values in one task's share of the load (the mask
+    value is null where the column has more than VALUES different values in the load (the mask
     stands for them), and for null cells (mask <null>). Masks of timestamps are their ISO form's, with no time at midnight. Null loads are a load
     of their own. Any column type is taken; what is neither a number nor a text is cast to text.
     """
@@ -175,7 +175,12 @@ def forms(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["load", "column_name", "mask", "value", "n"])
 
     parts = df.select(*picks).mapInArrow(count, "load string, column_name string, mask string, value string, n bigint")
-    return parts.groupBy("load", "column_name", "mask", "value").agg(F.sum("n").alias("n"))
+    keys = ["load", "column_name", "mask", "value"]
+    summed = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    # a task's share with too many values means as much for the load: the decision is that of the load's own count
+    w = Window.partitionBy("load", "column_name")
+    pooled = F.max(F.col("value").isNull() & (F.col("mask") != NULL_MASK)).over(w) | (F.count("value").over(w) > VALUES)
+    return summed.withColumn("pooled", pooled).withColumn("value", F.when(~F.col("pooled"), F.col("value"))).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def mask_profile(counts: DataFrame, rare: float = 0.001) -> DataFrame:
@@ -196,9 +201,10 @@ def divergence(counts: DataFrame) -> DataFrame:
     (forms - 1) / (8 n ln 2) for each side. Rows: loads times columns.
     """
     counts = reliable_checkpoint(counts)  # small, used several times below, and a pass over the table to make
-    # a column whose values were too many in any task or load is compared by masks throughout
-    many = F.max(F.col("value").isNull() & (F.col("mask") != NULL_MASK)).over(Window.partitionBy("column_name"))
-    c = counts.withColumn("form", F.when(many, F.col("mask")).otherwise(F.concat_ws("\u0001", "mask", F.coalesce("value", F.lit("")))))
+    # a column whose values are too many in most loads is compared by masks throughout; else the loads where they are depart by their pooled values
+    many = counts.groupBy("column_name", "load").agg(F.max(F.col("value").isNull() & (F.col("mask") != NULL_MASK)).alias("pooled"))
+    many = many.groupBy("column_name").agg((F.avg(F.col("pooled").cast("int")) > 0.5).alias("many"))
+    c = counts.join(many, "column_name").withColumn("form", F.when(F.col("many"), F.col("mask")).otherwise(F.concat_ws("\u0001", "mask", F.coalesce("value", F.lit("")))))
     c = c.groupBy("load", "column_name", "form").agg(F.sum("n").alias("n"))
     share = c.withColumn("total", F.sum("n").over(Window.partitionBy("load", "column_name"))).withColumn("share", F.col("n") / F.col("total"))
     loads = counts.groupBy("column_name").agg(F.count_distinct(F.struct("load")).alias("loads"))

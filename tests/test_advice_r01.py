@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
 from tabulon.functions.models import sample_partition
-from tabulon.operators import ensemble, impute
+from tabulon.operators import ensemble, impute, profile
 from tabulon.plans import survey
 from tabulon.plans.schema import Feature
 from tabulon.streaming import single_pass
@@ -124,3 +124,16 @@ def test_rare_bins_tell_what_they_know(spark):
     rows = [(i, "ab"[i % 4200 % 2], f"p{i % 4200:05d}", 1.0) for i in range(8200)] + [(10_000 + i, None, f"p{i:05d}", 1.0) for i in range(4000, 4200)]
     got = filled(spark, rows)
     assert np.mean([got[10_000 + i] == "ab"[i % 2] for i in range(4000, 4200)]) > 0.8
+
+
+def test_free_values_of_one_load_hide_no_other_load(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(9):
+        for i in range(400):
+            code = rng.choice(["1", "2"], p=[0.9, 0.1])
+            rows.append((f"L{k}", str(100 + i) if k == 4 else {"1": "2", "2": "1"}[code] if k == 6 else code))
+    df = spark.createDataFrame(rows, "load string, code string")
+    for parts in (1, 16):
+        got = {(r.load, r.column_name) for r in profile.changed_loads(profile.forms(df.repartition(parts), "load")).collect()}
+        assert got == {("L4", "code"), ("L6", "code")}
