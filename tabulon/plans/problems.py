@@ -248,6 +248,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p2_found, p2_filled, p3_found, p3_gap_settings, p4_load_percentiles, p4_percentiles, p4_within_bound, p5_load_counts, p5_distinct,
+        p1_found, p2_found, p2_filled, p3_found, p3_gap_settings, p4_percentiles, p4_load_percentiles, p4_within_bound, p5_distinct, p5_load_counts,
         p6_found, p6_ranges, p6_masks, p6_divergence, p7_found,
     )}

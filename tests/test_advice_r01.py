@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import crosscat as cc
 from tabulon.functions.models import sample_partition
 from tabulon.operators import ensemble, impute, profile
-from tabulon.plans import survey
+from tabulon.plans import problems, survey
 from tabulon.plans.schema import Feature
 from tabulon.streaming import single_pass
 from tabulon.table import PredictiveTable
@@ -137,3 +137,8 @@ def test_free_values_of_one_load_hide_no_other_load(spark):
     for parts in (1, 16):
         got = {(r.load, r.column_name) for r in profile.changed_loads(profile.forms(df.repartition(parts), "load")).collect()}
         assert got == {("L4", "code"), ("L6", "code")}
+
+
+def test_whole_results_are_registered_first():
+    names = list(problems.queries())
+    assert [next(n for n in names if n.startswith(p)) for p in ("p4_", "p5_")] == ["p4_percentiles", "p5_distinct"]
