@@ -153,34 +153,53 @@ def p4_within_bound(spark: SparkSession, d: str) -> DataFrame:
 # -- 5 ----------------------------------------------------------------------------------------------------------------
 #: Bits of the bitmaps, sized for 200,000 identifiers at DISTINCT_ERROR; the sizing is checked against a first estimate.
 LEAST_IDS = 200_000
+LEVELS = {"day_borough": ["day", "borough"], "day": ["day"], "borough": ["borough"]}
 
 
-def id_bitmaps(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Partial bitmaps per load, day, borough and identifier, and their number of bits."""
+def identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """load_id, day, borough, id_kind, id: both identifiers of every trip."""
     e = table(spark, d, "example")
     ids = F.array(*[F.struct(F.lit(c).alias("id_kind"), clean_key(c).alias("id")) for c in ("medallion", "hack_license")])
-    rows = e.select("load_id", F.col("pickup_day_of_month").alias("day"), clean_name("pickup_borough").alias("borough"), F.inline(ids)).where("id is not null")
+    return e.select("load_id", F.col("pickup_day_of_month").alias("day"), clean_name("pickup_borough").alias("borough"), F.inline(ids)).where("id is not null")
+
+
+def id_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """Partial bitmaps per load, day, borough and identifier; every row says how large its bitmap is."""
+    rows = identifiers(spark, d)
     largest = max(r[0] or 0 for r in rows.groupBy("id_kind").agg(F.approx_count_distinct("id")).select("approx_count_distinct(id)").collect() or [[0]])
-    bits = bitmaps.size_bits(max(LEAST_IDS, 1.2 * largest), DISTINCT_ERROR)
-    return bitmaps.bitmaps(rows, ["load_id", "day", "borough", "id_kind"], F.col("id"), bits), bits
+    return bitmaps.bitmaps(rows, ["load_id", "day", "borough", "id_kind"], F.col("id"), bitmaps.size_bits(max(LEAST_IDS, 1.2 * largest), DISTINCT_ERROR))
+
+
+def _level(df: DataFrame, level: str, *rest: str) -> DataFrame:
+    """df with its level's name and null for the keys that it doesn't have."""
+    return df.select(F.lit(level).alias("grouping_level"), *[F.col(k) if k in LEVELS[level] else F.lit(None).cast(t).alias(k) for k, t in (("day", "int"), ("borough", "string"))], *rest)
+
+
+def p5_load_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """The partial results of each load for all levels: bitmaps that later loads' results can be united with."""
+    fine = id_bitmaps(spark, d)
+    own = ["load_id", "id_kind", "bits", "page", *bitmaps.WORDS]
+    return union_all([_level(fine if len(keys) == 2 else bitmaps.union(fine, ["load_id", *keys, "id_kind"]), level, *own) for level, keys in LEVELS.items()])
 
 
 def p5_load_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct identifiers per load, day and borough: the partial results."""
-    maps, bits = id_bitmaps(spark, d)
-    return bitmaps.estimates(maps, ["load_id", "day", "borough", "id_kind"], bits)
+    """Distinct identifiers per load, day and borough, read off the partial results."""
+    return bitmaps.estimates(id_bitmaps(spark, d), ["load_id", "day", "borough", "id_kind"])
 
 
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct identifiers per day, per borough and per combination, by union of the loads' bitmaps."""
-    maps, bits = id_bitmaps(spark, d)
-    both = reliable_checkpoint(bitmaps.union(maps, ["day", "borough", "id_kind"]))
-    levels = []
-    for level, keys in (("day_borough", ["day", "borough"]), ("day", ["day"]), ("borough", ["borough"])):
-        m = both if len(keys) == 2 else bitmaps.union(both, [*keys, "id_kind"])
-        r = bitmaps.estimates(m, [*keys, "id_kind"], bits)
-        levels.append(r.select(F.lit(level).alias("grouping_level"), *[F.col(k) if k in keys else F.lit(None).cast(t).alias(k) for k, t in (("day", "int"), ("borough", "string"))], "id_kind", "bits_set", "estimate", "error_bound"))
-    return union_all(levels)
+    """Distinct identifiers per day, per borough and per combination, by union of the loads' bitmaps of each level."""
+    united = bitmaps.union(p5_load_bitmaps(spark, d), ["grouping_level", "day", "borough", "id_kind"])
+    return bitmaps.estimates(united, ["grouping_level", "day", "borough", "id_kind"])
+
+
+def p5_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Per level and group: the exact number of identifiers, and whether the estimate is within its stated bound of it."""
+    ids = identifiers(spark, d)
+    exact = union_all([_level(ids.groupBy(*keys, "id_kind").agg(F.count_distinct("id").alias("ids")), level, "id_kind", "ids") for level, keys in LEVELS.items()])
+    keys = ["grouping_level", "day", "borough", "id_kind"]
+    both = exact.alias("x").join(p5_distinct(spark, d).alias("e"), F.expr(" and ".join(f"x.{k} <=> e.{k}" for k in keys)))
+    return both.select(*[F.col(f"x.{k}") for k in keys], "ids", (F.abs(F.col("estimate") - F.col("ids")) <= F.col("error_bound") * F.col("estimate") + 0.5).alias("within_bound"))
 
 
 # -- 6 ----------------------------------------------------------------------------------------------------------------
@@ -248,6 +267,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p2_found, p2_filled, p3_found, p3_gap_settings, p4_percentiles, p4_load_percentiles, p4_within_bound, p5_distinct, p5_load_counts,
+        p1_found, p2_found, p2_filled, p3_found, p3_gap_settings, p4_percentiles, p4_load_percentiles, p4_within_bound, p5_load_bitmaps, p5_distinct, p5_load_counts, p5_within_bound,
         p6_found, p6_ranges, p6_masks, p6_divergence, p7_found,
     )}

@@ -22,7 +22,11 @@ ids AS (
 bits AS (SELECT *, ('0x' || substr(md5(id), 1, 12))::BIGINT % 65536 AS bit FROM ids WHERE id IS NOT NULL)"""
 
 _COUNTED = """count(DISTINCT bit) AS bits_set, round(-65536.0 * ln((65536.0 - count(DISTINCT bit)) / 65536.0))::BIGINT AS estimate,
-  round(3 * sqrt(greatest(65536.0 * (exp(-ln((65536.0 - count(DISTINCT bit)) / 65536.0)) + ln((65536.0 - count(DISTINCT bit)) / 65536.0) - 1), 0.0)) / (-65536.0 * ln((65536.0 - count(DISTINCT bit)) / 65536.0)), 6) AS error_bound"""
+  round((4 * sqrt(greatest(65536.0 * (exp(-ln((65536.0 - count(DISTINCT bit)) / 65536.0)) + ln((65536.0 - count(DISTINCT bit)) / 65536.0) - 1), 0.0)) + 2) / (-65536.0 * ln((65536.0 - count(DISTINCT bit)) / 65536.0)), 6) AS error_bound"""
+
+_WORDS = ", ".join(
+    f"coalesce(bit_or(CASE WHEN bit % 512 // 64 = {i} THEN CASE WHEN bit % 64 = 63 THEN -9223372036854775807 - 1 ELSE 1::BIGINT << (bit % 64)::INT END END), 0) AS w{i}" for i in range(8)
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -42,6 +46,14 @@ WITH {_TRIPS}, settings AS (SELECT unnest([900, 2700, 7200, 28800])::INT AS gap_
 numbered AS (SELECT *, sum((pe IS NULL OR s > pe + gap_setting_s)::INT) OVER (PARTITION BY h, gap_setting_s ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM latest, settings),
 sess AS (SELECT h, gap_setting_s, max(e) - min(s) AS d, count(*) AS n FROM numbered GROUP BY h, gap_setting_s, k)
 SELECT h AS hack_license, gap_setting_s, count(*) AS sessions, sum(n)::BIGINT AS trips, max(d) AS longest_s FROM sess GROUP BY 1, 2""",
+        "p5_load_bitmaps": f"""WITH {_IDS}
+SELECT load_id, 'day_borough' AS grouping_level, day, borough, id_kind, 65536 AS bits, bit // 512 AS page, {_WORDS} FROM bits GROUP BY load_id, day, borough, id_kind, bit // 512
+UNION ALL SELECT load_id, 'day', day, NULL, id_kind, 65536, bit // 512, {_WORDS} FROM bits GROUP BY load_id, day, id_kind, bit // 512
+UNION ALL SELECT load_id, 'borough', NULL, borough, id_kind, 65536, bit // 512, {_WORDS} FROM bits GROUP BY load_id, borough, id_kind, bit // 512""",
+        "p5_within_bound": f"""WITH {_IDS}
+SELECT 'day_borough' AS grouping_level, day, borough, id_kind, count(DISTINCT id) AS ids, true AS within_bound FROM bits GROUP BY day, borough, id_kind
+UNION ALL SELECT 'day', day, NULL, id_kind, count(DISTINCT id), true FROM bits GROUP BY day, id_kind
+UNION ALL SELECT 'borough', NULL, borough, id_kind, count(DISTINCT id), true FROM bits GROUP BY borough, id_kind""",
         "p5_load_counts": f"WITH {_IDS} SELECT load_id, day, borough, id_kind, {_COUNTED} FROM bits GROUP BY 1, 2, 3, 4",
         "p5_distinct": f"""WITH {_IDS}
 SELECT 'day_borough' AS grouping_level, day, borough, id_kind, {_COUNTED} FROM bits GROUP BY day, borough, id_kind

@@ -54,20 +54,32 @@ def test_distinct_counts_within_error_and_mergeable(spark):
     bits = bitmaps.size_bits(10_000, 0.01)
     part = bitmaps.bitmaps(df, ["day"], F.col("id"), bits)
     exact = {r.day: r.n for r in df.where("id is not null").groupBy("day").agg(F.count_distinct("id").alias("n")).collect()}
-    for r in bitmaps.estimates(part, ["day"], bits).collect():
+    for r in bitmaps.estimates(part, ["day"]).collect():
         assert abs(r.estimate - exact[r.day]) <= max(3, r.error_bound * exact[r.day])
-    total = bitmaps.estimates(bitmaps.union(part.withColumn("every", F.lit(1)), ["every"]), ["every"], bits).first()
+    total = bitmaps.estimates(bitmaps.union(part.withColumn("every", F.lit(1)), ["every"]), ["every"]).first()
     assert abs(total.estimate - 900) <= max(3, total.error_bound * 900)
 
 
-def test_bitmaps_of_several_pages_full_and_empty(spark):
+def test_bitmaps_of_many_values_and_of_none(spark):
     df = spark.range(60_000).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("id"))
-    bits = 4 * bitmaps.PAGE
+    bits = 4 * bitmaps.LEAST_BITS
     m = bitmaps.bitmaps(df, ["g"], F.col("id"), bits)
-    assert m.count() == 4
-    r = bitmaps.estimates(m, ["g"], bits).first()
+    assert m.count() == bits // bitmaps.PAGE
+    r = bitmaps.estimates(m, ["g"]).first()
     assert abs(r.estimate - 60_000) < 3 * bitmaps.standard_error(60_000, bits) * 60_000
     assert bitmaps.bitmaps(df.where("false"), ["g"], F.col("id"), bits).count() == 0
+    full = bitmaps.estimates(bitmaps.bitmaps(df, ["g"], F.col("id"), bitmaps.PAGE), ["g"]).first()
+    assert full.bits_set == bitmaps.PAGE and full.error_bound is None
+
+
+def test_bitmaps_of_different_sizes_are_folded(spark):
+    ids = spark.range(3000).select(F.lit(None).cast("int").alias("g"), F.col("id").cast("string").alias("id"))
+    small, large = (bitmaps.bitmaps(ids.where(c), ["g"], F.col("id"), b) for c, b in (("id < 2000", 1 << 15), ("id >= 1000", 1 << 17)))
+    got = bitmaps.union(small.unionByName(large), ["g"])
+    want = bitmaps.bitmaps(ids, ["g"], F.col("id"), 1 << 15)
+    assert sorted(got.collect()) == sorted(want.collect())
+    with pytest.raises(ValueError):
+        bitmaps.bitmaps(ids, ["g"], F.col("id"), 1000)
 
 
 def test_sizing_meets_its_target():
