@@ -7,13 +7,13 @@ Chain learns a Sample by Gibbs sampling over rows (groups), features (kinds) and
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
 from tabulon.functions import grids
-from tabulon.functions.models import MODELS, Hypers, Stats, partition_prior, partition_score, sample_partition
-from tabulon.functions.schedules import Annealing, Batching, Disabling
+from tabulon.functions.models import MODELS, Hypers, Stats, partition_prior, partition_score, partition_scores, sample_partition
+from tabulon.functions.schedules import actions
 from tabulon.functions.special import choose, choose_rows, hash_units, log_sum_exp
 
 #: Values of one feature: the values and which are observed.
@@ -115,44 +115,58 @@ def initial_sample(models: dict[str, str], columns: dict[str, Column], rng: np.r
 
 def move_features(rng: np.random.Generator, where: np.ndarray, like: np.ndarray, topology: tuple[float, float], iterations: int) -> np.ndarray:
     """Kinds of features after so many Gibbs sweeps. like: features x kinds, log marginal likelihoods; kinds without features share a new one's prior."""
-    where, (alpha, d) = where.copy(), topology
-    for _ in range(iterations):
+    where, (alpha, d), kinds = where.tolist(), topology, like.shape[1]
+    counts = np.bincount(where, minlength=kinds).tolist()
+    best = (like - like.max(axis=1, keepdims=True)).tolist()
+    prior = [math.log(max(c - d, 1e-300)) for c in range(len(where) + 1)]  # of a kind with c features
+    for _ in range(iterations):  # plain numbers: there are few features and kinds, and many steps
         for j in rng.permutation(len(where)):
-            counts = np.bincount(np.delete(where, j), minlength=like.shape[1]).astype(float)
-            used = counts > 0
-            fresh = (alpha + d * used.sum()) / max(1, (~used).sum())
-            where[j] = choose(rng, np.log(np.where(used, counts - d, fresh)) + like[j])
-    return where
-
-
-def redraw_hypers(s: Sample, rng: np.random.Generator, values: dict[str, np.ndarray], whole: set[str]) -> None:
-    """Hyperparameters drawn on their grids, from statistics. values: observed values, whose ends span the grids; whole: features without gaps."""
+            counts[where[j]] -= 1
+            used = sum(c > 0 for c in counts)
+            fresh = math.log((alpha + d * used) / max(1, kinds - used))
+            scores = [b + (prior[c] if c else fresh) for b, c in zip(best[j], counts)]
+            top = max(scores)
+            p = [math.exp(x - top) for x in scores]
+            u, k = rng.random() * sum(p), 0
+            while k < kinds - 1 and u >= p[k]:
+                u -= p[k]
+                k += 1
+            where[j] = k
+            counts[k] += 1
+    return np.array(where)
+
+
+def redraw_hypers(s: Sample, rng: np.random.Generator, whole: set[str]) -> None:
+    """Hyperparameters drawn on their grids, from statistics. whole: features without gaps."""
     pairs = grids.pitman_yor()
-    sizes = np.array([len(k.features) for k in s.kinds])
-    s.topology = pairs[choose(rng, np.array([partition_score(sizes, a, d) for a, d in pairs]))]
+    s.topology = pairs[choose(rng, partition_scores(np.array([len(k.features) for k in s.kinds]), pairs))]
     for kind in s.kinds:
-        kind.alpha, kind.d = pairs[choose(rng, np.array([partition_score(kind.counts, a, d) for a, d in pairs]))]
+        kind.alpha, kind.d = pairs[choose(rng, partition_scores(kind.counts, pairs))]
         for f in kind.features:
-            m = MODELS[s.models[f]]
-            h = s.hypers[f]
-            for name, points in m.grid(h, values[f]).items():
-                if s.models[f] == "dd":
-                    a = np.asarray(h["alphas"], float)
-                    for j in rng.permutation(len(a))[:16]:
-                        options = [np.where(np.arange(len(a)) == j, p, a) for p in points]
-                        a = options[choose(rng, np.array([m.marginal({"alphas": o}, kind.stats[f]).sum() for o in options]))]
-                    h = {"alphas": a}
+            m, h = MODELS[s.models[f]], s.hypers[f]
+            if m.name == "dpd":
+                if f in whole:
+                    h = m.redraw_base(h, kind.stats[f], rng)
+                order = ["alpha"]
+            else:
+                order = list(m.grid(h))
+            for name in order:
+                points = m.grid(h)[name]
+                if m.name == "dd":
+                    h = {"alphas": np.array(h["alphas"], float)}
+                    for j in rng.permutation(len(h["alphas"])):
+                        h["alphas"][j] = points[choose(rng, m.code_scores(h, j, points, kind.stats[f]))]
                 else:
-                    options = [{**h, name: float(p)} for p in points]
-                    h = options[choose(rng, np.array([m.marginal(o, kind.stats[f]).sum() for o in options]))]
-            if s.models[f] == "dpd" and f in whole:
-                h = m.redraw_betas(h, kind.stats[f], rng)
+                    h = {**h, name: float(points[choose(rng, m.grid_scores(h, name, points, kind.stats[f]))])}
             s.hypers[f] = h
 
 
 @dataclass
 class Config:
-    """Inference settings. extra_passes 0 is a single greedy pass; kind_iterations sweeps over features per kind step."""
+    """Inference settings. extra_passes 0 is a single greedy pass; kind_iterations sweeps over features per kind step.
+
+    grain: rows that a chain moves at once, as a share of those that are in; they don't see each other. Up to 1 / grain rows go one by one.
+    """
 
     extra_passes: float = 1.5
     kind_iterations: int = 32
@@ -160,6 +174,7 @@ class Config:
     most_rejects: int = 100
     infer_kinds: bool = True
     infer_hypers: bool = True
+    grain: float = 0.0625
 
 
 class Chain:
@@ -172,6 +187,8 @@ class Chain:
         self.assign = [np.full(rows, -1, np.int64) for _ in self.sample.kinds]
         self.order = self.rng.permutation(rows)
         self.log: list[dict] = []
+        self.whole = {f for f, (_, seen) in columns.items() if seen.all()}
+        self.rejects = 0
 
     # -- rows ----------------------------------------------------------------------------------------------------
     def row_scores(self, k: int, i: int) -> np.ndarray:
@@ -193,11 +210,7 @@ class Chain:
 
     def add(self, i: int) -> None:
         for k in range(len(self.sample.kinds)):
-            kind = self.sample.kinds[k]
-            if kind.counts.all():
-                kind.counts = np.append(kind.counts, 0)
-                for f in kind.features:
-                    kind.stats[f] = MODELS[self.sample.models[f]].extend(self.sample.hypers[f], kind.stats[f], 1)
+            self.room(k)
             g = choose(self.rng, self.row_scores(k, i))
             self.put(k, i, g, 1)
             self.assign[k][i] = g
@@ -209,6 +222,65 @@ class Chain:
             self.assign[k][i] = -1
         self.sample.rows -= 1
 
+    def values(self, k: int, at: np.ndarray) -> dict[str, Column]:
+        return {f: (self.columns[f][0][at], self.columns[f][1][at]) for f in self.sample.kinds[k].features}
+
+    def room(self, k: int) -> None:
+        """At least one empty group."""
+        kind = self.sample.kinds[k]
+        if kind.counts.all():
+            kind.counts = np.append(kind.counts, 0)
+            for f in kind.features:
+                kind.stats[f] = MODELS[self.sample.models[f]].extend(self.sample.hypers[f], kind.stats[f], 1)
+
+    def move(self, k: int, at: np.ndarray, g: np.ndarray, sign: int) -> None:
+        """Add rows to groups, or take them out."""
+        kind, n = self.sample.kinds[k], len(self.sample.kinds[k].counts)
+        kind.counts = kind.counts + sign * np.bincount(g, minlength=n)
+        for f, (v, seen) in self.values(k, at).items():
+            m = MODELS[self.sample.models[f]]
+            part = m.from_rows(self.sample.hypers[f], v[seen], g[seen], n)
+            kind.stats[f] = m.merge(kind.stats[f], part) if sign > 0 else m.less(kind.stats[f], part)
+
+    def add_rows(self, at: np.ndarray) -> None:
+        """Add rows that don't see each other; those that draw a new group are seated one by one in the groups that these open."""
+        if len(at) == 1:
+            return self.add(int(at[0]))
+        for k in range(len(self.sample.kinds)):
+            self.room(k)
+            kind = self.sample.kinds[k]
+            was_empty = kind.counts == 0
+            g = choose_rows(self.rng.random(len(at)), self.sample.group_scores(k, self.values(k, at), len(at)))
+            fresh = was_empty[g]
+            self.move(k, at[~fresh], g[~fresh], 1)
+            self.assign[k][at[~fresh]] = g[~fresh]
+            old = np.flatnonzero(~was_empty)
+            for i in at[fresh]:
+                self.room(k)
+                scores = self.row_scores(k, i)
+                scores[old] = -np.inf
+                self.assign[k][i] = choose(self.rng, scores)
+                self.put(k, i, self.assign[k][i], 1)
+        self.sample.rows += len(at)
+
+    def remove_rows(self, at: np.ndarray) -> None:
+        if len(at) == 1:
+            return self.remove(int(at[0]))
+        for k in range(len(self.sample.kinds)):
+            self.move(k, at, self.assign[k][at], -1)
+            self.assign[k][at] = -1
+        self.sample.rows -= len(at)
+
+    def recount(self) -> None:
+        """Statistics anew from the rows, so that rounding doesn't add up; groups beyond one empty one are dropped."""
+        for k, kind in enumerate(self.sample.kinds):
+            keep = kind.counts > 0
+            new = np.where(keep, np.cumsum(keep) - 1, -1)
+            self.assign[k] = np.where(self.assign[k] >= 0, new[self.assign[k]], -1)
+            n = int(keep.sum()) + 1
+            kind.counts = np.append(kind.counts[keep], 0)
+            kind.stats = {f: self.feature_stats(f, self.assign[k], n) for f in kind.features}
+
     # -- features ------------------------------------------------------------------------------------------------
     def feature_stats(self, f: str, assign: np.ndarray, groups: int) -> Stats:
         v, seen = self.columns[f]
@@ -244,7 +316,7 @@ class Chain:
 
     # -- hyperparameters -----------------------------------------------------------------------------------------
     def hyper_step(self) -> None:
-        redraw_hypers(self.sample, self.rng, {f: v[seen] for f, (v, seen) in self.columns.items()}, {f for f, (_, seen) in self.columns.items() if seen.all()})
+        redraw_hypers(self.sample, self.rng, self.whole)
 
     # -- runs ----------------------------------------------------------------------------------------------------
     def note(self, passes: float) -> None:
@@ -252,38 +324,31 @@ class Chain:
         self.log.append({"passes": passes, "rows": s.rows, "kinds": len(s.kinds), "groups": sum(int((k.counts > 0).sum()) for k in s.kinds), "score": s.log_likelihood()})
 
     def run(self) -> Chain:
-        """The schedule: annealed adding and removing until every row is in; kinds and hyperparameters between batches."""
+        """The schedule: annealed adding and removing until every row is in; kinds and hyperparameters in between."""
         c = self.config
         if not self.rows:
             return self
+        added = 0
+        for what, first, last in actions(self.rows, max(0.0, c.extra_passes), c.grain):
+            if what == "redraw":
+                self.between()
+                self.note(added / self.rows)
+                continue
+            at = self.order[np.arange(first, last) % self.rows]
+            if what == "add":
+                self.add_rows(at)
+                added = last
+            else:
+                self.remove_rows(at)
         if c.extra_passes <= 0:
-            for i in self.order:
-                self.add(i)
             self.note(1.0)
-            return self
-        anneal, batch, stop = Annealing(c.extra_passes), Batching(), Disabling(c.most_rejects)
-        head = tail = steps = 0
-        while head - tail < self.rows:
-            if anneal.next_is_add() or head == tail:
-                self.add(self.order[head % self.rows])
-                head += 1
-                batch.add()
-                due = False
-            else:
-                self.remove(self.order[tail % self.rows])
-                tail += 1
-                due = batch.remove()
-            steps += 1
-            if due or (steps >= 8 and steps & (steps - 1) == 0):
-                self.between(stop)
-                self.note(head / self.rows)
-        self.between(stop)
-        self.note(head / self.rows)
         return self
 
-    def between(self, stop: Disabling) -> None:
-        if self.config.infer_kinds and len(self.sample.models) > 1 and stop.test():
-            stop.run(self.kind_step() > 0)
+    def between(self) -> None:
+        """Redraw kinds, unless they stayed the same too many times in a row, and hyperparameters."""
+        self.recount()
+        if self.config.infer_kinds and len(self.sample.models) > 1 and self.rejects <= self.config.most_rejects:
+            self.rejects = 0 if self.kind_step() else self.rejects + 1
         if self.config.infer_hypers:
             self.hyper_step()
 

@@ -15,7 +15,7 @@ from typing import Any
 import numpy as np
 
 from tabulon.functions import grids
-from tabulon.functions.special import lgamma
+from tabulon.functions.special import choose, lgamma
 
 Stats = dict[str, np.ndarray]
 Hypers = dict[str, Any]
@@ -31,6 +31,17 @@ class Model:
     def merge(self, a: Stats, b: Stats) -> Stats:
         return {f: a[f] + b[f] for f in a}
 
+    def less(self, a: Stats, b: Stats) -> Stats:
+        """Statistics a without the rows of b, which are among them."""
+        return {f: a[f] - b[f] for f in a}
+
+    def grid(self, h: Hypers) -> dict[str, np.ndarray]:
+        return grids.of_model(self.name)
+
+    def grid_scores(self, h: Hypers, name: str, points: np.ndarray, s: Stats) -> np.ndarray:
+        """Log marginal likelihood of all groups for each value of one hyperparameter."""
+        return self.marginal({**h, name: np.asarray(points, float)[:, None]}, s).sum(axis=1)
+
     def take(self, s: Stats, index) -> Stats:
         return {f: v[index] for f, v in s.items()}
 
@@ -45,9 +56,6 @@ class BetaBernoulli(Model):
     def default(self, values: np.ndarray) -> Hypers:
         return {"alpha": 0.5, "beta": 0.5}
 
-    def grid(self, h: Hypers, values: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        return {"alpha": grids.center_heavy(0.01, 100.0, 40), "beta": grids.center_heavy(0.01, 100.0, 40)}
-
     def add(self, h, s, g, x, sign=1):
         s["heads" if x else "tails"][g] += sign
 
@@ -78,9 +86,6 @@ class DirichletDiscrete(Model):
     def default(self, values: np.ndarray) -> Hypers:
         return {"alphas": np.full(int(values.max()) + 1 if len(values) else 1, 0.5)}
 
-    def grid(self, h, values=None):
-        return {"alphas": grids.center_heavy(0.01, 100.0, 30)}
-
     def empty(self, h, groups):
         return {"counts": np.zeros((groups, len(h["alphas"])))}
 
@@ -105,6 +110,12 @@ class DirichletDiscrete(Model):
         a = h["alphas"]
         return lgamma(a.sum()) - lgamma(a.sum() + s["counts"].sum(axis=1)) + (lgamma(a + s["counts"]) - lgamma(a)).sum(axis=1)
 
+    def code_scores(self, h, code: int, points: np.ndarray, s) -> np.ndarray:
+        """Log marginal likelihood, but for what stays the same, for each value of one code's alpha."""
+        a, n, rows = np.asarray(points, float)[:, None], s["counts"][:, code], s["counts"].sum(axis=1)
+        total = h["alphas"].sum() - h["alphas"][code] + a
+        return (lgamma(total) - lgamma(total + rows) + lgamma(a + n) - lgamma(a)).sum(axis=1)
+
     def sample(self, h, s, g, unit):
         c, u, out = np.cumsum(self.probs(h, s), axis=1), unit(0), np.empty(len(g), np.int64)
         for k in np.unique(g):
@@ -124,9 +135,6 @@ class DirichletProcessDiscrete(DirichletDiscrete):
         w = np.append(n, 1.0)
         return {"gamma": 1.0, "alpha": 1.0, "betas": w / w.sum()}
 
-    def grid(self, h, values=None):
-        return {"alpha": grids.center_heavy(0.01, 1000.0, 30)}
-
     def empty(self, h, groups):
         return {"counts": np.zeros((groups, len(h["betas"])))}
 
@@ -147,18 +155,31 @@ class DirichletProcessDiscrete(DirichletDiscrete):
         seen = s["counts"] > 0
         return lgamma(h["alpha"]) - lgamma(h["alpha"] + s["counts"].sum(axis=1)) + np.where(seen, lgamma(a + s["counts"]) - lgamma(a), 0).sum(axis=1)
 
-    def redraw_betas(self, h: Hypers, s: Stats, rng: np.random.Generator) -> Hypers:
-        """Base weights given table counts: each value's tables in each group are drawn seat by seat."""
+    def grid_scores(self, h, name, points, s):
+        """Of alpha; the values' base weights carry all that gamma says."""
+        g, v = np.nonzero(s["counts"])
+        n, w, rows = s["counts"][g, v], np.asarray(h["betas"])[v], s["counts"].sum(axis=1)
+        return np.array([(lgamma(p) - lgamma(p + rows)).sum() + (lgamma(p * w + n) - lgamma(p * w)).sum() for p in np.asarray(points, float)])
+
+    def redraw_base(self, h: Hypers, s: Stats, rng: np.random.Generator) -> Hypers:
+        """gamma and the base weights, given how many tables each value has in the groups, which are drawn seat by seat.
+
+        Only where every known value was seen; otherwise the hyperparameters stay.
+        """
         tables = np.zeros(len(h["betas"]))
-        for v, b in enumerate(h["betas"]):
-            for c in s["counts"][:, v].astype(int):
-                if c:
-                    i = np.arange(min(c, 100_000))
-                    tables[v] += (rng.random(len(i)) < h["alpha"] * b / (h["alpha"] * b + i)).sum()
-        w = tables.copy()
-        w[-1] += h["gamma"]
-        betas = rng.dirichlet(np.maximum(w, 1e-3))
-        return {**h, "betas": np.maximum(betas, 1e-12) / np.maximum(betas, 1e-12).sum()}
+        for g, v in zip(*np.nonzero(s["counts"])):
+            strength, c = h["alpha"] * h["betas"][v], int(s["counts"][g, v])
+            first = np.arange(min(c, 1000))
+            tables[v] += (rng.random(len(first)) * (strength + first) < strength).sum()
+            if c > 1000:  # later seats open tables so rarely that their number is Poisson
+                tables[v] += rng.poisson(strength * math.log((strength + c) / (strength + 1000)))
+        if not tables[:-1].all():
+            return h
+        points = self.grid(h)["gamma"]
+        score = len(tables[:-1]) * np.log(points) + lgamma(points) - lgamma(points + tables.sum())
+        gamma = float(points[choose(rng, score)])
+        betas = np.maximum(rng.dirichlet(np.append(tables[:-1], gamma)), 1e-12)
+        return {**h, "gamma": gamma, "betas": betas / betas.sum()}
 
 
 class GammaPoisson(Model):
@@ -167,10 +188,6 @@ class GammaPoisson(Model):
     def default(self, values):
         return {"alpha": 1.0, "inv_beta": 1.0 / max(float(values.mean()) if len(values) else 1.0, 0.1)}
 
-    def grid(self, h, values=None):
-        top = max(10.0, float(values.max()) if values is not None and len(values) else 100.0)
-        return {"alpha": grids.center_heavy(0.1, top, 40), "inv_beta": grids.center_heavy(0.1 / top, 10.0, 40)}
-
     def add(self, h, s, g, x, sign=1):
         s["n"][g] += sign
         s["total"][g] += sign * x
@@ -192,7 +209,7 @@ class GammaPoisson(Model):
 
     def marginal(self, h, s):
         a, b = h["alpha"] + s["total"], h["inv_beta"] + s["n"]
-        return lgamma(a) - lgamma(h["alpha"]) + h["alpha"] * math.log(h["inv_beta"]) - a * np.log(b) - s["log_prod"]
+        return lgamma(a) - lgamma(h["alpha"]) + h["alpha"] * np.log(h["inv_beta"]) - a * np.log(b) - s["log_prod"]
 
     def sample(self, h, s, g, unit):
         """By the inverse of the negative binomial's distribution function, summed from 0 on."""
@@ -221,11 +238,6 @@ class NormalInverseChiSq(Model):
         mu, var = (float(values.mean()), float(values.var())) if len(values) else (0.0, 1.0)
         return {"mu": mu, "kappa": 0.1, "sigmasq": max(var / 10, 1e-6), "nu": 1.0}
 
-    def grid(self, h, values=None):
-        lo, hi = (float(values.min()), float(values.max())) if values is not None and len(values) else (-100.0, 100.0)
-        width = max(hi - lo, 1e-3)
-        return {"mu": grids.uniform(lo, hi, 30), "kappa": grids.left_heavy(0.01, 100.0, 30), "sigmasq": grids.left_heavy((width / 1000) ** 2, width**2, 40), "nu": grids.left_heavy(0.1, 100.0, 30)}
-
     def add(self, h, s, g, x, sign=1):
         n = s["n"][g] + sign
         if n <= 0:
@@ -248,6 +260,13 @@ class NormalInverseChiSq(Model):
         safe = np.maximum(n, 1)
         return {"n": n, "mean": a["mean"] + d * b["n"] / safe, "m2": a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / safe}
 
+    def less(self, a, b):
+        n = a["n"] - b["n"]
+        safe = np.maximum(n, 1)
+        d = a["mean"] - b["mean"]
+        mean = np.where(n > 0, a["mean"] + d * b["n"] / safe, 0.0)
+        return {"n": n, "mean": mean, "m2": np.where(n > 0, np.maximum(a["m2"] - b["m2"] - d * d * b["n"] * np.where(n > 0, a["n"], 0) / safe, 0.0), 0.0)}
+
     def posterior(self, h, s):
         n = s["n"]
         kappa, nu = h["kappa"] + n, h["nu"] + n
@@ -267,7 +286,7 @@ class NormalInverseChiSq(Model):
     def marginal(self, h, s):
         _, kappa, var, nu = self.posterior(h, s)
         return (
-            lgamma(nu / 2) - lgamma(h["nu"] / 2) + 0.5 * np.log(h["kappa"] / kappa) + h["nu"] / 2 * math.log(h["nu"] * h["sigmasq"]) - nu / 2 * np.log(nu * var) - s["n"] / 2 * math.log(math.pi)
+            lgamma(nu / 2) - lgamma(h["nu"] / 2) + 0.5 * np.log(h["kappa"] / kappa) + h["nu"] / 2 * np.log(h["nu"] * h["sigmasq"]) - nu / 2 * np.log(nu * var) - s["n"] / 2 * math.log(math.pi)
         )
 
     def sample(self, h, s, g, unit):
@@ -300,6 +319,19 @@ def partition_score(counts: np.ndarray, alpha: float, d: float) -> float:
     return groups + sizes - float(lgamma(alpha + n) - lgamma(alpha + 1))
 
 
+def partition_scores(counts: np.ndarray, pairs) -> np.ndarray:
+    """partition_score for each of many pairs (alpha, d)."""
+    c = np.asarray(counts, float)
+    sizes, times = np.unique(c[c > 0], return_counts=True)
+    n, k = sizes @ times, int(times.sum())
+    if not n:
+        return np.zeros(len(pairs))
+    alpha, d = np.asarray(pairs, float).T[:, :, None]
+    groups = np.log(alpha + d * np.arange(1, k)).sum(axis=1)
+    seats = ((lgamma(sizes - d) - lgamma(1 - d)) * times).sum(axis=1)
+    return groups + seats - (lgamma(alpha + n) - lgamma(alpha + 1))[:, 0]
+
+
 def partition_prior(counts: np.ndarray, alpha: float, d: float) -> np.ndarray:
     """Log prior of each group for one more row; empty groups share the mass of a new group."""
     c = np.asarray(counts, float)

@@ -10,16 +10,22 @@ _SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 
 
 def lgamma(x) -> np.ndarray:
-    """log Gamma for positive arguments: shift to 8 or more by the recurrence, then Stirling's series."""
+    """log Gamma for positive arguments: those below 8 are shifted by 8 by the recurrence, then Stirling's series."""
     x = np.asarray(x, np.float64)
-    shift = np.maximum(0, np.ceil(8 - x))
-    steps = int(shift.max()) if x.size else 0
-    prod = np.ones_like(x)
-    for k in range(steps):
-        prod = np.where(k < shift, prod * (x + k), prod)
-    z = x + shift
+    if x.size < 300:  # few: the calls of array functions would cost more
+        return np.array([*map(math.lgamma, x.ravel().tolist())]).reshape(x.shape)
+    low = x < 8
+    prod = 1.0
+    if low.any():
+        y = np.where(low, x, 1.0)
+        prod = y * (y + 1)
+        for k in range(2, 8):
+            prod = prod * (y + k)
+        prod = np.where(low, prod, 1.0)
+    z = np.where(low, x + 8, x)
     inv = 1 / z
-    tail = inv * (_SERIES[0] + inv**2 * (_SERIES[1] + inv**2 * (_SERIES[2] + inv**2 * (_SERIES[3] + inv**2 * _SERIES[4]))))
+    sq = inv * inv
+    tail = inv * (_SERIES[0] + sq * (_SERIES[1] + sq * (_SERIES[2] + sq * (_SERIES[3] + sq * _SERIES[4]))))
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + tail - np.log(prod)
 
 
@@ -36,9 +42,8 @@ def log_sum_exp(x: np.ndarray, axis: int = -1) -> np.ndarray:
 
 def choose(rng: np.random.Generator, scores: np.ndarray) -> int:
     """One index drawn in proportion to exp(scores)."""
-    p = np.exp(scores - scores.max())
-    c = np.cumsum(p)
-    return int(np.searchsorted(c, rng.random() * c[-1], "right").clip(0, len(c) - 1))
+    c = np.exp(scores - scores.max()).cumsum()
+    return min(int(c.searchsorted(rng.random() * c[-1], "right")), len(c) - 1)
 
 
 def choose_rows(u: np.ndarray, scores: np.ndarray) -> np.ndarray:

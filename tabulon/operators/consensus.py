@@ -23,7 +23,10 @@ def overlaps(assign: DataFrame) -> DataFrame:
 
 
 def spectral(weights: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
-    """Parts of a weighted graph: normalised spectral embedding, then k-means with the best of several seeded starts."""
+    """Parts of a weighted graph: normalised spectral embedding, then k-means with the best of several seeded starts.
+
+    Weights of nodes with themselves say nothing about parts and are left out.
+    """
     n = len(weights)
     parts = max(1, min(parts, n))
     if parts == 1:
@@ -31,6 +34,7 @@ def spectral(weights: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
     if parts == n:
         return np.arange(n)
     w = weights + 1e-9
+    np.fill_diagonal(w, 0.0)
     d = 1 / np.sqrt(w.sum(axis=1))
     _, vectors = np.linalg.eigh(w * d[:, None] * d)
     x = vectors[:, -parts:]
@@ -54,24 +58,47 @@ def spectral(weights: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
 
 
 def consensus(assign: DataFrame, seed: int = 0) -> DataFrame:
-    """row_id, group_id, confidence: one grouping of the rows that agrees with all samples, by clustering their groups.
+    """row_id, group_id, confidence: consensus_arrays() of rows (row_id, sample, grp), one per row and sample."""
+    per = assign.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("sample", "grp"))).alias("g"))
+    found = consensus_arrays(per.select("row_id", F.transform("g", lambda x: x.grp).alias("groups")), ["row_id"], seed)
+    return found.orderBy("group_id", F.desc("confidence"), "row_id")
+
+
+def consensus_arrays(rows: DataFrame, keep: list[str], seed: int = 0) -> DataFrame:
+    """The columns of keep, group_id, confidence: one grouping of the rows that agrees with all samples, by clustering their groups.
 
-    The groups of all samples are a graph with Jaccard weights; it is cut into as many parts as a sample has groups in the
-    median (groups are bounded by the model, so this is small and done on the driver). A row belongs to the part that most of its
-    groups are in (the smaller part on ties); confidence is that share. Parts are numbered by falling size; rows are in order
-    of group, falling confidence and row_id.
+    rows: keep, groups (a row's group in each sample). Rows are counted by pairs of groups of two samples, on the map side first: what is shuffled
+    and kept by the driver is a row per pair of groups that share rows. The groups are a graph with Jaccard weights; it is cut into as many parts
+    as a sample has groups in the median. A row belongs to the part that most of its groups are in (the smaller part on ties); confidence is
+    that share. The parts of a row are looked up in its own groups; no row is shuffled. Parts are numbered by falling size.
     """
-    groups = [(r.sample, r.grp) for r in assign.select("sample", "grp").distinct().orderBy("sample", "grp").collect()]
+    each = F.transform("groups", lambda g, i: F.struct(i.alias("sample"), g.alias("grp")))
+    one = rows.select(F.explode(each).alias("a"), "groups")
+    pair = one.select("a", F.explode(F.filter(F.transform("groups", lambda g, i: F.struct(i.alias("sample"), g.alias("grp"))), lambda b: b.sample >= F.col("a.sample"))).alias("b"))
+    n = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # squares of the model's groups at most
+    sizes = {tuple(r.a): r.n for r in n if r.a == r.b}
+    groups = sorted(sizes)
     at = {g: i for i, g in enumerate(groups)}
     w = np.eye(len(groups))
-    for r in overlaps(assign).collect():
-        i, j = at[(r.a.sample, r.a.grp)], at[(r.b.sample, r.b.grp)]
-        w[i, j] = w[j, i] = r.jaccard
+    for r in n:
+        i, j = at[tuple(r.a)], at[tuple(r.b)]
+        w[i, j] = w[j, i] = r.n / (sizes[tuple(r.a)] + sizes[tuple(r.b)] - r.n)
     samples = sorted({s for s, _ in groups})
     k = int(np.median([sum(1 for s, _ in groups if s == x) for x in samples])) if samples else 1
     part = spectral(w, k, seed) if len(samples) > 1 else np.arange(len(groups))
-    table = assign.sparkSession.createDataFrame([(s, g, int(part[i])) for i, (s, g) in enumerate(groups)] or [(0, 0, 0)], "sample int, grp int, part int")
-    return vote(assign.join(table, ["sample", "grp"]), max(1, len(samples)))
+    if not groups:
+        return rows.select(*keep, F.lit(0).cast("long").alias("group_id"), F.lit(1.0).alias("confidence"))
+    # part of each sample's groups, as arrays in the plan
+    table = [[0] * (1 + max(g for s, g in groups if s == x)) for x in samples]
+    for (s, g), i in at.items():
+        table[s][g] = int(part[i])
+    literal = F.expr("array(" + ", ".join("array(" + ", ".join(map(str, t)) + ")" for t in table) + ")")
+    own = rows.select(*keep, F.transform("groups", lambda g, i: F.get(F.get(literal, i), g)).alias("__parts"))
+    votes = F.transform(F.array_distinct("__parts"), lambda p: F.struct(F.size(F.filter("__parts", lambda q: q == p)).alias("votes"), (-p).alias("part")))
+    best = own.select(*keep, F.array_max(votes).alias("__best")).select(*keep, (-F.col("__best.part")).alias("part"), (F.col("__best.votes") / len(samples)).alias("confidence"))
+    order = {r.part: i for i, r in enumerate(best.groupBy("part").count().orderBy(F.desc("count"), "part").collect())}
+    places = F.expr("array(" + ", ".join(f"{order.get(p, -1)}L" for p in range(int(part.max()) + 1)) + ")")
+    return best.select(*keep, F.get(places, F.col("part")).alias("group_id"), "confidence")
 
 
 def vote(parts: DataFrame, samples: int) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
+from tabulon.functions import schedules
 from tabulon.functions.models import MODELS, stick_ends
-from tabulon.functions.schedules import extra_passes
 from tabulon.functions.special import choose_rows, hash_units, log_sum_exp
 from tabulon.plans.encode import random_split
 from tabulon.plans.schema import Feature
@@ -29,10 +29,17 @@ from tabulon.runtime import quoted
 
 #: Rows that chains see; they are broadcast, so this bounds the driver's and the workers' memory.
 LEARN_ROWS = 20_000
+#: Passes beyond the first of tables of up to 4,000 rows. The published schedule has 500 for a sampler that moves one row at a time.
+FULL_PASSES = 10.0
 #: A model of more numbers than this isn't broadcast but refused.
 MODEL_LIMIT = 50_000_000
 
 
+def extra_passes(rows: int) -> float:
+    """Passes beyond the first that the schedule has for so many rows."""
+    return schedules.extra_passes(rows, FULL_PASSES)
+
+
 def columns_of(pdf: pd.DataFrame, models: dict[str, str]) -> dict[str, cc.Column]:
     """Values and observation masks of the encoded features in a batch."""
     out = {}
@@ -52,18 +59,31 @@ def columns_of(pdf: pd.DataFrame, models: dict[str, str]) -> dict[str, cc.Column
     return out
 
 
-def narrow(df: DataFrame, models: dict[str, str]) -> DataFrame:
-    """row_id and the features as f0, f1, ...: names with dots don't pass through mapInPandas."""
-    return df.select("row_id", *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(models)])
+def narrow(df: DataFrame, models: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, the columns of keep as k0, k1, ... and the features as f0, f1, ...: names with dots don't pass through mapInPandas."""
+    return df.select("row_id", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(models)])
 
 
-def named(batches: Iterator[pd.DataFrame], models: dict[str, str]) -> Iterator[pd.DataFrame]:
+def named(batches: Iterator[pd.DataFrame], models: dict[str, str], keep: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     """Batches of narrow() with the features' names."""
     for b in batches:
-        b.columns = ["row_id", *models]
+        b.columns = ["row_id", *[f"k{i}" for i in range(len(keep))], *models]
         yield b
 
 
+def kept(b: pd.DataFrame, keep: tuple[str, ...]) -> pd.DataFrame:
+    return b.iloc[:, : 1 + len(keep)].copy()
+
+
+def kept_schema(df: DataFrame, keep: tuple[str, ...]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f"k{i} {kinds[c]}, " for i, c in enumerate(keep))
+
+
+def renamed(keep: tuple[str, ...]) -> dict[str, str]:
+    return {f"k{i}": c for i, c in enumerate(keep)}
+
+
 def model_size(samples: list[cc.Sample]) -> int:
     return sum(v.size for s in samples for k in s.kinds for st in k.stats.values() for v in st.values())
 
@@ -81,28 +101,41 @@ def received(sent) -> list[cc.Sample]:
     return [cc.Sample.from_state(s) for s in sent.value]
 
 
-def _statistics(sample: cc.Sample, l: int, assign: list[np.ndarray], columns: dict[str, cc.Column]) -> list[tuple]:
-    """Additive statistics of a batch as rows (sample, kind, feature, group, stat, code, value)."""
-    out = []
+Sums = dict[tuple[int, int, str, str], np.ndarray]
+
+
+def _add_statistics(sums: Sums, sample: cc.Sample, l: int, assign: list[np.ndarray], columns: dict[str, cc.Column]) -> None:
+    """Add a batch to the additive statistics by (sample, kind, feature, statistic); the arrays' first axis is the group."""
+
+    def add(key: tuple[int, int, str, str], part: np.ndarray) -> None:
+        if key in sums:
+            sums[key] += part
+        else:
+            sums[key] = part.astype(float)
+
     for k, kind in enumerate(sample.kinds):
-        own, at_group = np.unique(assign[k], return_inverse=True)  # only the groups of the batch, which may be few of many
-        groups = len(own)
-        out += [(l, k, "", int(own[g]), "rows", 0, float(n)) for g, n in enumerate(np.bincount(at_group, minlength=groups))]
+        groups = len(kind.counts)
+        add((l, k, "", "rows"), np.bincount(assign[k], minlength=groups))
         for f in kind.features:
             v, seen = columns[f]
-            at = np.flatnonzero(seen)
-            if not len(at):
-                continue
-            name, h, a = sample.models[f], sample.hypers[f], at_group[at]
+            name, h, x, a = sample.models[f], sample.hypers[f], v[seen], assign[k][seen]
             if name == "nich":
-                d = v[at] - h["mu"]
-                st = {"n": np.bincount(a, minlength=groups).astype(float), "s1": np.bincount(a, d, groups), "s2": np.bincount(a, d * d, groups)}
+                d = x - h["mu"]
+                st = {"n": np.bincount(a, minlength=groups), "s1": np.bincount(a, d, groups), "s2": np.bincount(a, d * d, groups)}
             else:
-                st = MODELS[name].from_rows(h, v[at], a, groups)
-            for s, arr in st.items():
-                for ix in zip(*np.nonzero(arr)):
-                    out.append((l, k, f, int(own[ix[0]]), s, int(ix[1]) if len(ix) > 1 else 0, float(arr[ix])))
-    return out
+                st = MODELS[name].from_rows(h, x, a, groups)
+            for s, part in st.items():
+                add((l, k, f, s), part)
+
+
+def _rows_of(sums: Sums) -> pd.DataFrame | None:
+    """The statistics that aren't 0, as rows."""
+    out = []
+    for (l, k, f, s), a in sums.items():
+        at = np.nonzero(a)
+        if len(at[0]):
+            out.append(pd.DataFrame({"sample": np.int32(l), "kind": np.int32(k), "feature": f, "grp": at[0].astype(np.int32), "stat": s, "code": at[1].astype(np.int32) if len(at) > 1 else np.int32(0), "value": a[at]}))
+    return pd.concat(out) if out else None
 
 
 def _rebuild(samples: list[cc.Sample], rows: list, renumber: bool = True) -> list[cc.Sample]:
@@ -133,19 +166,25 @@ def _rebuild(samples: list[cc.Sample], rows: list, renumber: bool = True) -> lis
 
 def assign(df: DataFrame, samples: list[cc.Sample], seed: int = 0) -> DataFrame:
     """row_id, sample, kind, grp: each row's group, drawn from its posterior with a number of its own."""
+    every = [(l, k) for l, s in enumerate(samples) for k in range(len(s.kinds))]
+    rows = assign_arrays(df, samples, every, seed)
+    named = [F.struct(F.lit(l).alias("sample"), F.lit(k).alias("kind"), F.element_at("groups", i + 1).alias("grp")) for i, (l, k) in enumerate(every)]
+    return rows.select("row_id", F.inline(F.array(*named)))
+
+
+def assign_arrays(df: DataFrame, samples: list[cc.Sample], wanted: list[tuple[int, int]], seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, the columns of keep, and groups: the row's groups in the wanted (sample, kind)s, in one row. Only these kinds are scored."""
     sent = share(df.sparkSession, samples)
     models = samples[0].models
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = received(sent)
-        for b in named(batches, models):
+        for b in named(batches, models, keep):
             ids, cols = b.row_id.to_numpy(), columns_of(b, models)
-            for l, s in enumerate(own):
-                for k in range(len(s.kinds)):
-                    g = choose_rows(hash_units(ids, seed, l, k), s.group_scores(k, cols, len(b)))
-                    yield pd.DataFrame({"row_id": ids, "sample": np.int32(l), "kind": np.int32(k), "grp": g.astype(np.int32)})
+            g = [choose_rows(hash_units(ids, seed, l, k), own[l].group_scores(k, cols, len(b))) for l, k in wanted]
+            yield kept(b, keep).assign(groups=list(np.stack(g, axis=1).astype(np.int32)))
 
-    return narrow(df, models).mapInPandas(run, "row_id bigint, sample int, kind int, grp int")
+    return narrow(df, models, keep).mapInPandas(run, f"row_id bigint, {kept_schema(df, keep)}groups array<int>").withColumnsRenamed(renamed(keep))
 
 
 def gibbs_pass(df: DataFrame, samples: list[cc.Sample], seed: int = 0, renumber: bool = True) -> list[cc.Sample]:
@@ -169,29 +208,26 @@ def _pass_sums(df: DataFrame, samples: list[cc.Sample], seed: int, ends: list[np
     models = samples[0].models
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = received(sent)
-        names = ["sample", "kind", "feature", "grp", "stat", "code", "value"]
-        held = pd.DataFrame(columns=names)
+        own, sums = received(sent), {}
+        wide = own if ends is None else [_across(s, len(e)) for s, e in zip(own, ends)]
         for b in named(batches, models):
             ids, cols = b.row_id.to_numpy(), columns_of(b, models)
-            rows = []
             for l, s in enumerate(own):
                 a = [choose_rows(hash_units(ids, seed, l, k), s.group_scores(k, cols, len(b))) for k in range(len(s.kinds))]
                 if ends is not None:
                     u = hash_units(ids, seed, l, len(s.kinds))
                     a.append(np.minimum(np.searchsorted(ends[l], u, "right"), len(ends[l]) - 1))
-                rows += _statistics(s if ends is None else _across(s, len(ends[l])), l, a, cols)
-            held = pd.concat([held, pd.DataFrame(rows, columns=names)]) if len(held) else pd.DataFrame(rows, columns=names)
-            held = held.groupby(names[:-1], as_index=False).value.sum()
-        if len(held):
-            yield held
+                _add_statistics(sums, wide[l], l, a, cols)
+        found = _rows_of(sums)
+        if found is not None:
+            yield found
 
     parts = narrow(df, models).mapInPandas(run, "sample int, kind int, feature string, grp int, stat string, code int, value double")
     summed = parts.groupBy("sample", "kind", "feature", "grp", "stat", "code").agg(F.sum("value").alias("value"))
     return summed.collect()
 
 
-def structured_pass(df: DataFrame, samples: list[cc.Sample], seed: int, values: dict[str, np.ndarray], whole: set[str], config: cc.Config) -> list[cc.Sample]:
+def structured_pass(df: DataFrame, samples: list[cc.Sample], seed: int, whole: set[str], config: cc.Config) -> list[cc.Sample]:
     """A block Gibbs pass, then kinds and hyperparameters redrawn from the statistics of all rows."""
     rng = np.random.default_rng(seed)
     ends = [stick_ends(rng, 2.0, 0.1) for _ in samples]
@@ -218,7 +254,7 @@ def structured_pass(df: DataFrame, samples: list[cc.Sample], seed: int, values:
                 kinds.append(cc.Kind(own, k.alpha, k.d, k.counts, {f: k.stats[f] for f in own}))
         new = cc.Sample(s.models, dict(s.hypers), kinds, s.topology, s.rows)
         if config.infer_hypers:
-            cc.redraw_hypers(new, rng, values, whole)
+            cc.redraw_hypers(new, rng, whole)
         out.append(new.with_empty())
     return out
 
@@ -274,13 +310,12 @@ def settle(df: DataFrame, samples: list[cc.Sample], passes: int = 1, seed: int =
     config = config or cc.Config()
     models = samples[0].models
     finite = lambda f: F.when(~F.isnan(f"`{f}`") & (F.abs(f"`{f}`") < math.inf), F.col(f"`{f}`")) if models[f] == "nich" else F.col(f"`{f}`")
-    r = df.agg(F.count(F.lit(1)), *[a(finite(f)) for f in models for a in (F.count, F.min, F.max)]).first()
-    values = {f: np.array([x for x in r[3 * i + 2 : 3 * i + 4] if x is not None], float) for i, f in enumerate(models)}
-    whole = {f for i, f in enumerate(models) if r[3 * i + 1] == r[0]}
+    r = df.agg(F.count(F.lit(1)), *[F.count(finite(f)) for f in models]).first()
+    whole = {f for i, f in enumerate(models) if r[i + 1] == r[0]}
     out, active, turn = list(samples), list(range(len(samples))), 0
     while active:
         own = open_groups(df, [out[l] for l in active], seed + 2 * turn + 1, config.extra_passes)
-        own = gibbs_pass(df, own, seed + 2 * turn) if config.extra_passes <= 0 else structured_pass(df, own, seed + 2 * turn, values, whole, config)
+        own = gibbs_pass(df, own, seed + 2 * turn) if config.extra_passes <= 0 else structured_pass(df, own, seed + 2 * turn, whole, config)
         turn += 1
         held = lambda s: sum(int((k.counts > 0).sum()) for k in s.kinds) / max(1, len(s.kinds))
         more = [held(s) > held(out[l]) for l, s in zip(active, own)]
@@ -348,21 +383,21 @@ def single_pass(df: DataFrame, features: list[Feature], samples: int = 1, seed:
     return learn(df, features, samples, cc.Config(extra_passes=0.0), block, 1, seed)
 
 
-def score(df: DataFrame, samples: list[cc.Sample]) -> DataFrame:
-    """row_id and score: the log probability of each row's observed values, averaged over samples. A row of nulls has 0."""
+def score(df: DataFrame, samples: list[cc.Sample], keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, the columns of keep, and score: the log probability of each row's observed values, averaged over samples. A row of nulls has 0."""
     sent = share(df.sparkSession, samples)
     models = {f: m for f, m in samples[0].models.items() if f in df.columns}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = received(sent)
-        for b in named(batches, models):
-            yield pd.DataFrame({"row_id": b.row_id, "score": cc.ensemble_score(own, columns_of(b, models), len(b))})
+        for b in named(batches, models, keep):
+            yield kept(b, keep).assign(score=cc.ensemble_score(own, columns_of(b, models), len(b)))
 
-    return narrow(df, models).mapInPandas(run, "row_id bigint, score double")
+    return narrow(df, models, keep).mapInPandas(run, f"row_id bigint, {kept_schema(df, keep)}score double").withColumnsRenamed(renamed(keep))
 
 
-def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None = None, count: int = 10, seed: int = 0) -> DataFrame:
-    """row_id, draw and all features, `count` rows each: observed values are kept, unobserved wanted ones drawn."""
+def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None = None, count: int = 10, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, the columns of keep, draw and all features, `count` rows each: observed values are kept, unobserved wanted ones drawn."""
     sent = share(df.sparkSession, samples)
     models = {f: m for f, m in samples[0].models.items() if f in df.columns}
     wanted = [f for f in (wanted or list(models)) if f in models]
@@ -370,10 +405,10 @@ def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = received(sent)
-        for b in named(batches, models):
+        for b in named(batches, models, keep):
             cols = columns_of(b, models)
             drawn = cc.draw(own, cols, len(b), wanted, count, b.row_id.to_numpy(), seed)
-            out = pd.DataFrame({"row_id": np.repeat(b.row_id.to_numpy(), count), "draw": np.tile(np.arange(count, dtype=np.int32), len(b))})
+            out = kept(b, keep).iloc[np.repeat(np.arange(len(b)), count)].reset_index(drop=True).assign(draw=np.tile(np.arange(count, dtype=np.int32), len(b)))
             for f, m in models.items():
                 v, seen = cols[f]
                 x, there = np.repeat(v.astype(float), count), np.repeat(seen, count)
@@ -388,12 +423,12 @@ def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None =
                 else:
                     out[f] = pd.array(np.where(there, x, 0).astype(np.int64), dtype="Int64")
                     out.loc[~there, f] = pd.NA
-            out.columns = ["row_id", "draw", *[f"f{i}" for i in range(len(models))]]
+            out.columns = ["row_id", *renamed(keep), "draw", *[f"f{i}" for i in range(len(models))]]
             yield out
 
-    schema = "row_id bigint, draw int, " + ", ".join(f"f{i} {kinds[f]}" for i, f in enumerate(models))
-    done = narrow(df, models).mapInPandas(run, schema)
-    return done.select("row_id", "draw", *[(F.when(~F.isnan(f"f{i}"), F.col(f"f{i}")) if m == "nich" else F.col(f"f{i}")).alias(f) for i, (f, m) in enumerate(models.items())])
+    schema = f"row_id bigint, {kept_schema(df, keep)}draw int, " + ", ".join(f"f{i} {kinds[f]}" for i, f in enumerate(models))
+    done = narrow(df, models, keep).mapInPandas(run, schema)
+    return done.select("row_id", *[F.col(k).alias(c) for k, c in renamed(keep).items()], "draw", *[(F.when(~F.isnan(f"f{i}"), F.col(f"f{i}")) if m == "nich" else F.col(f"f{i}")).alias(f) for i, (f, m) in enumerate(models.items())])
 
 
 def information(spark: SparkSession, samples: list[cc.Sample], pairs: list[tuple[frozenset[str], frozenset[str]]], condition: dict | None = None, count: int = 1000, seed: int = 0) -> DataFrame:
@@ -418,8 +453,8 @@ def information(spark: SparkSession, samples: list[cc.Sample], pairs: list[tuple
     return ids.mapInPandas(run, "i int, mi double, variance double, relatedness double")
 
 
-def derivative(df: DataFrame, samples: list[cc.Sample], rows: list[dict], seed: int = 0) -> DataFrame:
-    """How much each given row, once learnt, raises each table row's score: update (place in rows), row_id, score.
+def derivative(df: DataFrame, samples: list[cc.Sample], rows: list[dict], seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """How much each given row, once learnt, raises each table row's score: update (place in rows), row_id, the columns of keep, score.
 
     score = N * (score after - score before), N the number of rows learnt. The samples themselves stay as they are.
     """
@@ -435,13 +470,13 @@ def derivative(df: DataFrame, samples: list[cc.Sample], rows: list[dict], seed:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         old, new = sent.value
         before, later = [cc.Sample.from_state(s) for s in old], [[cc.Sample.from_state(s) for s in ss] for ss in new]
-        for b in named(batches, models):
+        for b in named(batches, models, keep):
             cols = columns_of(b, models)
             base = cc.ensemble_score(before, cols, len(b))
             for u, ss in enumerate(later):
-                yield pd.DataFrame({"update": np.int32(u), "row_id": b.row_id, "score": n * (cc.ensemble_score(ss, cols, len(b)) - base)})
+                yield kept(b, keep).assign(update=np.int32(u), score=n * (cc.ensemble_score(ss, cols, len(b)) - base))
 
-    return narrow(df, models).mapInPandas(run, "update int, row_id bigint, score double")
+    return narrow(df, models, keep).mapInPandas(run, f"row_id bigint, {kept_schema(df, keep)}update int, score double").withColumnsRenamed(renamed(keep))
 
 
 def metrics(samples: list[cc.Sample]) -> list[dict]:
@@ -466,6 +501,3 @@ def held_out(df: DataFrame, features: list[Feature], proportion: float = 0.9, se
         out = out.unionByName(r)
     return out
 
-
-def log_mean(scores: np.ndarray) -> np.ndarray:
-    return log_sum_exp(scores, axis=0) - math.log(len(scores))

@@ -280,14 +280,18 @@ def grid_right(s: SparkSession, d: str) -> DataFrame:
     return _grid(s, grids.right_heavy(0.1, 10, 16))
 
 
+def grid_pitman_yor(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(i, round(a, 9), round(x, 9)) for i, (a, x) in enumerate(grids.pitman_yor())], "i int, alpha double, d double")
+
+
 def accelerating_passes(s: SparkSession, d: str) -> DataFrame:
     rows = [(10**k, round(schedules.extra_passes(10**k), 6)) for k in range(1, 11)]
     return s.createDataFrame(rows, "rows bigint, passes double")
 
 
 def annealing_actions(s: SparkSession, d: str) -> DataFrame:
-    a = schedules.Annealing(1.5)
-    return s.createDataFrame([(i, a.next_is_add()) for i in range(60)], "i int, is_add boolean")
+    each = (what == "add" for what, first, last in schedules.actions(1000, 1.5) if what != "redraw" for _ in range(first, last))
+    return s.createDataFrame(list(zip(range(60), each)), "i int, is_add boolean")
 
 
 # -- groups --------------------------------------------------------------------------------------------------------
@@ -397,12 +401,17 @@ def topk_search(s: SparkSession, d: str) -> DataFrame:
 # -- learnt models (stochastic: rows only) -------------------------------------------------------------------------
 #: As on the command line; rows of the chains and passes are the operators' defaults.
 SAMPLES = 10
+_LEARNT: dict[tuple, PredictiveTable] = {}
 
 
 def learnt(s: SparkSession, d: str, **options) -> PredictiveTable:
-    t = table(s, d, "lineitem").select(*[F.col(c).cast("string").alias(c) if m == "dd" else F.col(c) for c, m in MODELS.items()])
-    t = t.withColumn("l_quantity", F.col("l_quantity").cast("bigint"))
-    return PredictiveTable.fit(s, t, models=MODELS, **{"samples": SAMPLES, **options})
+    """lineitem, learnt once per session, folder and options: the questions below are asked of one table, as users do."""
+    key = (s.sparkContext.applicationId, d, repr(sorted(options.items())))
+    if key not in _LEARNT:
+        t = table(s, d, "lineitem").select(*[F.col(c).cast("string").alias(c) if m == "dd" else F.col(c) for c, m in MODELS.items()])
+        t = t.withColumn("l_quantity", F.col("l_quantity").cast("bigint"))
+        _LEARNT[key] = PredictiveTable.fit(s, t, models=MODELS, **{"samples": SAMPLES, **options})
+    return _LEARNT[key]
 
 
 def infer(s: SparkSession, d: str) -> DataFrame:
@@ -498,7 +507,7 @@ QUERIES = (
     lower_categorical, percent_forward, percent_backward, presence, sparse_real_forward, sparse_real_round_trip, date_parts, date_relative, date_backward, word_doc_freq, vocab_filter,
     word_presence, parse_boolean, basic_schema, symbol_codes, encode_rows, decode_rows, rowid_interleave, dense_row_ids, long_form, export_chunks, csv_round_trip, force_ascii, repartition_count,
     bag_of_words, column_mode, tare_row, sparsify_diff, undiff, suffstats_bb, suffstats_dd, suffstats_gp, suffstats_nich, log_marginal_bb, log_marginal_dd, log_marginal_gp, log_marginal_nich,
-    log_sum_exp, py_grid_score, empirical_entropy, mutual_information, variance_of_mean, grid_uniform, grid_center, grid_left, grid_right, accelerating_passes, annealing_actions, jaccard_groups,
+    log_sum_exp, py_grid_score, empirical_entropy, mutual_information, variance_of_mean, grid_uniform, grid_center, grid_left, grid_right, grid_pitman_yor, accelerating_passes, annealing_actions, jaccard_groups,
     group_consensus_confidence, size_sorted_ids, rowid_join, assign_kind_join, knn_vote, predict_histogram, print_groups, pixel_counts, semi_join_rows, seeded_split, seeded_shuffle, stream_stats,
     seek_rows, score_groups, score_row, topk_search, infer, mix, infer_single_pass, score, predict, relate, refine, support, search, similar, group, cluster, crossvalidate, density_image,
     stream_single_pass, generate,

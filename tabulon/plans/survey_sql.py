@@ -88,11 +88,13 @@ SELECT e.l_returnflag, e.alpha, e.d, round(f + t - lgamma(e.alpha + n) + lgamma(
         "mutual_information": f"WITH e AS (SELECT {_ENTROPY.format(k='l_returnflag')} + {_ENTROPY.format(k='l_linestatus')} - {_ENTROPY.format(k='l_returnflag, l_linestatus')} AS mi) SELECT round(mi, 6) AS mi, round(sqrt(1 - exp(-2 * greatest(mi, 0))), 5) AS relatedness FROM e",
         "variance_of_mean": "SELECT l_returnflag, round(avg(l_discount), 8) AS mean, round(var_samp(l_discount) / count(l_discount), 12) AS variance FROM lineitem GROUP BY 1",
         "grid_uniform": "SELECT i::INT AS i, round(-1 + 4 * t, 9) AS x FROM (" + _HALF + ")",
-        "grid_center": "SELECT i::INT AS i, round(0.1 * pow(100.0, 0.5 + asin(2 * t - 1) / pi()), 9) AS x FROM (" + _HALF + ")",
-        "grid_left": "SELECT i::INT AS i, round(0.1 * pow(100.0, t * t), 9) AS x FROM (" + _HALF + ")",
-        "grid_right": "SELECT (15 - i)::INT AS i, round(10.1 - 0.1 * pow(100.0, t * t), 9) AS x FROM (" + _HALF + ")",
+        "grid_center": "SELECT i::INT AS i, round(0.1 + 9.9 * (asin(2 * t - 1) / pi() + 0.5), 9) AS x FROM (" + _HALF + ")",
+        "grid_left": "SELECT i::INT AS i, round(0.1 + 9.9 * t * t, 9) AS x FROM (" + _HALF + ")",
+        "grid_right": "SELECT (15 - i)::INT AS i, round(10 - 9.9 * t * t, 9) AS x FROM (" + _HALF + ")",
+        "grid_pitman_yor": """WITH a AS (SELECT i, asin(2 * (i + 0.5) / 20 - 1) / pi() + 0.5 AS x FROM range(20) r(i)), b AS (SELECT j, ((j + 0.5) / 10) ** 2 AS y FROM range(10) r(j))
+SELECT (row_number() OVER (ORDER BY i, j) - 1)::INT AS i, round(0.1 * pow(1000.0, x), 9) AS alpha, round(0.5 * y, 9) AS d FROM a, b WHERE x + y < 1""",
         "accelerating_passes": "SELECT rows, round(CASE WHEN rows <= 4000 THEN 500 WHEN rows >= 1000000000 THEN 0 WHEN p > 2 THEN p - 1 ELSE 0 END, 6) AS passes FROM (SELECT rows, pow(501.0, ln(1e9 / rows) / ln(1e9 / 4e3)) AS p FROM (SELECT (10 ** k)::BIGINT AS rows FROM range(1, 11) r(k)))",
-        "annealing_actions": "WITH RECURSIVE a AS (SELECT 0 AS i, 5.0 >= 1.5 AS is_add, CASE WHEN 5.0 >= 1.5 THEN 3.5 ELSE 7.5 END AS st UNION ALL SELECT i + 1, st >= 1.5, CASE WHEN st >= 1.5 THEN st - 1.5 ELSE st + 2.5 END FROM a WHERE i < 59) SELECT i, is_add FROM a",
+        "annealing_actions": "WITH RECURSIVE a AS (SELECT 0 AS i, true AS is_add, 5.0 - 1.5 AS st UNION ALL SELECT i + 1, st >= 0, CASE WHEN st >= 0 THEN st - 1.5 ELSE st + 2.5 END FROM a WHERE i < 59) SELECT i, is_add FROM a",
         "jaccard_groups": f"WITH {_PARTITIONS}, z AS (SELECT sample, grp, count(*) AS size FROM parts GROUP BY 1, 2), o AS (SELECT a.sample AS sample_a, a.grp AS grp_a, b.sample AS sample_b, b.grp AS grp_b, count(*) AS overlap FROM parts a JOIN parts b ON a.row_id = b.row_id AND a.sample < b.sample GROUP BY 1, 2, 3, 4) SELECT o.*, round(overlap / (x.size + y.size - overlap), 8) AS jaccard FROM o JOIN z x ON x.sample = sample_a AND x.grp = grp_a JOIN z y ON y.sample = sample_b AND y.grp = grp_b",
         "group_consensus_confidence": f"WITH {_PARTITIONS}, v AS (SELECT row_id, grp % 4 AS part, count(*) / 3 AS confidence FROM parts GROUP BY 1, 2), b AS (SELECT row_id, part, confidence FROM v QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY confidence DESC, part) = 1), z AS (SELECT part, (row_number() OVER (ORDER BY count(*) DESC, part) - 1)::INT AS group_id FROM b GROUP BY 1) SELECT row_id, group_id, round(confidence, 6) AS confidence FROM b JOIN z USING (part)",
         "size_sorted_ids": f"WITH {_PARTITIONS} SELECT sample, 0 AS kind, grp, count(*) AS size, (row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, grp) - 1)::INT AS new_id FROM parts GROUP BY 1, 3",

@@ -42,7 +42,7 @@ class PredictiveTable:
         else:
             raise SchemaError("give a fluent schema or basic models")
         features = enc.make_encoding(basic, models)
-        rows = enc.encode(basic, features)
+        rows = enc.encode(basic, features, keep=["external_id"])
         samples = ensemble.learn(rows, features, **options)
         return cls(spark, features, samples, rows, plan, basic.select("row_id", "external_id"))
 
@@ -164,17 +164,15 @@ class PredictiveTable:
         if id_column is not None and id_column in self.column_names:
             raise ValueError(f"the id column {id_column!r} is also a modelled column")
         rows = self.encode_table(source, id_column)
-        done = ensemble.complete(rows, self.samples, count=count, seed=seed)
-        return self.backward(done.join(rows.select("row_id", "external_id"), "row_id"), ["external_id", "draw"])
+        return self.backward(ensemble.complete(rows, self.samples, count=count, seed=seed, keep=("external_id",)), ["external_id", "draw"])
 
     def score(self, source) -> DataFrame:
-        rows = self.encode_table(source)
-        return ensemble.score(rows, self.samples).join(rows.select("row_id", "external_id"), "row_id").select("external_id", "score")
+        return ensemble.score(self.encode_table(source), self.samples, ("external_id",)).select("external_id", "score")
 
     def search(self, row: dict | list, limit: int = 1000, seed: int = 0) -> DataFrame:
         """Table rows that the given row tells most about: external_id, score, highest first."""
-        found = ensemble.derivative(self.rows, self.samples, [self.encode_row(row)], seed).orderBy(F.desc("score"), "row_id").limit(limit)
-        return found.join(self.rowids, "row_id").select("external_id", "score").orderBy(F.desc("score"), "external_id")
+        found = ensemble.derivative(self.rows, self.samples, [self.encode_row(row)], seed, ("external_id",)).orderBy(F.desc("score"), "row_id").limit(limit)
+        return found.select("external_id", "score").orderBy(F.desc("score"), "external_id")
 
     def similar(self, rows: list, rows2: list | None = None, seed: int = 0) -> DataFrame:
         """Similarity of each of rows to each of rows2 (default: rows): i, j, score, in long form."""
@@ -189,11 +187,9 @@ class PredictiveTable:
         """Consensus grouping of the table's rows by what goes with a column: external_id, group_id, confidence."""
         features = self.encode_set([column])
         feature = min(features)
-        a = ensemble.assign(self.rows, self.samples, seed)
         own = [(l, s.kind_of(feature)) for l, s in enumerate(self.samples)]
-        keep = self.spark.createDataFrame(own, "sample int, kind int")
-        g = consensus.consensus(a.join(F.broadcast(keep), ["sample", "kind"]).select("row_id", "sample", "grp"), seed)
-        return g.join(self.rowids, "row_id").select("external_id", "group_id", "confidence").orderBy("group_id", F.desc("confidence"), "external_id")
+        a = ensemble.assign_arrays(self.rows, self.samples, own, seed, ("external_id",))
+        return consensus.consensus_arrays(a, ["external_id"], seed).orderBy("group_id", F.desc("confidence"), "external_id")
 
     def cluster(self, rows: list, seeds: list | None = None, clusters: int | None = None, nearest: int = 10, seed: int = 0) -> pd.Series:
         """Cluster of each row: seeds are clustered spectrally by similarity, other rows join the vote of their nearest seeds.

@@ -141,4 +141,4 @@ def test_free_values_of_one_load_hide_no_other_load(spark):
 
 def test_whole_results_are_registered_first():
     names = list(problems.queries())
-    assert [next(n for n in names if n.startswith(p)) for p in ("p4_", "p5_")] == ["p4_percentiles", "p5_distinct"]
+    assert [next(n for n in names if n.startswith(p)) for p in ("p4_", "p5_")] == ["p4_percentiles", "p5_load_bitmaps"]

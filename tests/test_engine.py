@@ -193,7 +193,7 @@ MODELS = {"cls": "dd", "val": "nich", "cnt": "gp", "coin": "dd"}
 @pytest.fixture(scope="module")
 def learnt(spark):
     df, z = lines(spark)
-    return PredictiveTable.fit(spark, df, models=MODELS, samples=3, config=cc.Config(extra_passes=3), learn_rows=1000), z
+    return PredictiveTable.fit(spark, df, models=MODELS, samples=3), z
 
 
 def test_relate_is_symmetric_with_ones_and_finds_the_pair(learnt):
