@@ -83,6 +83,30 @@ class Sample:
                 s[at] += MODELS[self.models[f]].table(self.hypers[f], kind.stats[f], values[at])
         return s
 
+    def draw_groups(self, k: int, columns: dict[str, Column], n: int, u: np.ndarray) -> np.ndarray:
+        """A group for each row, drawn by its scores with its own uniform number; rows with equal values are scored once."""
+        code, size = np.zeros(n, np.int64), 1
+        for f in self.kinds[k].features:
+            if f in columns:
+                v, seen = columns[f]
+                own, at = np.unique(v, return_inverse=True)
+                code = (code * len(own) + at) * 2 + seen
+                own, first, code = np.unique(code, return_index=True, return_inverse=True)
+                size = len(own)
+                if size * 4 > n:  # most rows differ
+                    return choose_rows(u, self.group_scores(k, columns, n))
+        first = np.zeros(1, np.int64) if size == 1 and n else first if size > 1 else np.zeros(0, np.int64)
+        if not n:
+            return np.zeros(0, np.int64)
+        scores = self.group_scores(k, {f: (columns[f][0][first], columns[f][1][first]) for f in self.kinds[k].features if f in columns}, len(first))
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        c, out = np.cumsum(p, axis=1), np.empty(n, np.int64)
+        order = np.argsort(code, kind="stable")
+        ends = np.cumsum(np.bincount(code, minlength=len(first)))
+        for i, rows in enumerate(np.split(order, ends[:-1])):
+            out[rows] = np.minimum(c[i].searchsorted(u[rows] * c[i, -1], "left"), c.shape[1] - 1)
+        return out
+
     def score(self, columns: dict[str, Column], n: int) -> np.ndarray:
         """Log probability of each row's observed values under this sample; kinds with nothing observed say nothing."""
         total = np.zeros(n)

@@ -278,6 +278,13 @@ class NormalInverseChiSq(Model):
         return self.table(h, s, np.array([x]))[0]
 
     def table(self, h, s, x):
+        if len(x) > 256:
+            u, at = np.unique(np.asarray(x, float), return_inverse=True)
+            if len(u) * 4 < len(x):  # a value's scores are computed once
+                return self._table(h, s, u)[at]
+        return self._table(h, s, x)
+
+    def _table(self, h, s, x):
         mu, kappa, var, nu = self.posterior(h, s)
         lam = kappa / ((kappa + 1) * var)
         base = lgamma((nu + 1) / 2) - lgamma(nu / 2) + 0.5 * np.log(lam / (np.pi * nu))

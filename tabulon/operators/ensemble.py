@@ -4,7 +4,7 @@ Samples start from independent chains, one task each, on at most `learn_rows` ro
 groups in block Gibbs passes: rows are scored against the broadcast model in Arrow batches, each draws its group with its
 own seeded number, and the statistics of all groups are summed in one aggregation, whose size is that of the model. Kinds and
 hyperparameters are redrawn from the sums of all rows after each pass. Rows that draw a new group are seated among
-themselves before the next pass, and passes go on until a sample has no more groups than before. A pass costs two scans, and only the rows
+themselves before the next pass, and passes go on while a sample's groups grow by more than chance (the root of their number). A pass costs two scans, and only the rows
 that draw a new group are shuffled.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import crosscat as cc
 from tabulon.functions import schedules
 from tabulon.functions.models import MODELS, stick_ends
-from tabulon.functions.special import choose_rows, hash_units, log_sum_exp
+from tabulon.functions.special import hash_units, log_sum_exp
 from tabulon.plans.encode import random_split
 from tabulon.plans.schema import Feature
 from tabulon.runtime import quoted
@@ -181,7 +181,7 @@ def assign_arrays(df: DataFrame, samples: list[cc.Sample], wanted: list[tuple[in
         own = received(sent)
         for b in named(batches, models, keep):
             ids, cols = b.row_id.to_numpy(), columns_of(b, models)
-            g = [choose_rows(hash_units(ids, seed, l, k), own[l].group_scores(k, cols, len(b))) for l, k in wanted]
+            g = [own[l].draw_groups(k, cols, len(b), hash_units(ids, seed, l, k)) for l, k in wanted]
             yield kept(b, keep).assign(groups=list(np.stack(g, axis=1).astype(np.int32)))
 
     return narrow(df, models, keep).mapInPandas(run, f"row_id bigint, {kept_schema(df, keep)}groups array<int>").withColumnsRenamed(renamed(keep))
@@ -213,7 +213,7 @@ def _pass_sums(df: DataFrame, samples: list[cc.Sample], seed: int, ends: list[np
         for b in named(batches, models):
             ids, cols = b.row_id.to_numpy(), columns_of(b, models)
             for l, s in enumerate(own):
-                a = [choose_rows(hash_units(ids, seed, l, k), s.group_scores(k, cols, len(b))) for k in range(len(s.kinds))]
+                a = [s.draw_groups(k, cols, len(b), hash_units(ids, seed, l, k)) for k in range(len(s.kinds))]
                 if ends is not None:
                     u = hash_units(ids, seed, l, len(s.kinds))
                     a.append(np.minimum(np.searchsorted(ends[l], u, "right"), len(ends[l]) - 1))
@@ -274,7 +274,7 @@ def open_groups(df: DataFrame, samples: list[cc.Sample], seed: int = 0, passes:
             ids, cols = b.row_id.to_numpy(), columns_of(b.set_axis(["row_id", *models], axis=1), models)
             for l, s in enumerate(own):
                 for k, kind in enumerate(s.kinds):
-                    fresh = kind.counts[choose_rows(hash_units(ids, seed, l, k), s.group_scores(k, cols, len(b)))] == 0
+                    fresh = kind.counts[s.draw_groups(k, cols, len(b), hash_units(ids, seed, l, k))] == 0
                     if fresh.any():
                         yield b[fresh].assign(sample=np.int32(l), kind=np.int32(k), turn=hash_units(ids[fresh], seed, l, k, 1))
 
@@ -302,7 +302,7 @@ def open_groups(df: DataFrame, samples: list[cc.Sample], seed: int = 0, passes:
 
 
 def settle(df: DataFrame, samples: list[cc.Sample], passes: int = 1, seed: int = 0, config: cc.Config | None = None) -> list[cc.Sample]:
-    """Samples after `passes` passes over all rows, and more of them while a sample gets more groups than it had.
+    """Samples after `passes` passes over all rows, and more of them while a sample's groups grow by more than the root of their number.
 
     Passes open groups for rows of no group, put all rows to groups, and redraw kinds and hyperparameters from all rows. A single greedy pass
     (extra_passes 0) leaves kinds and hyperparameters.
@@ -318,7 +318,7 @@ def settle(df: DataFrame, samples: list[cc.Sample], passes: int = 1, seed: int =
         own = gibbs_pass(df, own, seed + 2 * turn) if config.extra_passes <= 0 else structured_pass(df, own, seed + 2 * turn, whole, config)
         turn += 1
         held = lambda s: sum(int((k.counts > 0).sum()) for k in s.kinds) / max(1, len(s.kinds))
-        more = [held(s) > held(out[l]) for l, s in zip(active, own)]
+        more = [held(s) > held(out[l]) + math.sqrt(held(out[l])) for l, s in zip(active, own)]
         for l, s in zip(active, own):
             out[l] = s
         active = [l for l, m in zip(active, more) if m or turn < passes]

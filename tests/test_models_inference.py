@@ -294,3 +294,15 @@ def test_draws_and_kind_changes():
     assert len(draws) == 3 and all(k.counts.sum() == n for s, _ in draws for k in s.kinds)
     one, two = (cc.Sample({"x": "nich", "y": "nich"}, {}, [cc.Kind(f, 1, 0, np.zeros(1), {}) for f in fs]) for fs in ([["x", "y"]], [["x"], ["y"]]))
     assert cc.kind_changes(one, two) == {"born": 2, "gone": 1, "changed": 2} and cc.kind_changes(one, one)["changed"] == 0
+
+
+@pytest.mark.parametrize("distinct", [1, 3, 1000])
+def test_rows_with_equal_values_draw_as_if_scored_alone(distinct):
+    n = 500
+    rng = np.random.default_rng(0)
+    cols = {"x": (rng.integers(0, distinct, n).astype(float), rng.random(n) < 0.9), "y": (rng.integers(0, distinct, n) % 5, np.ones(n, bool))}
+    s = cc.Chain({"x": "nich", "y": "gp"}, cols, n, 1).run().sorted_groups()[0].with_empty()
+    u = hash_units(np.arange(n), 4)
+    for k in range(len(s.kinds)):
+        assert (s.draw_groups(k, cols, n, u) == choose_rows(u, s.group_scores(k, cols, n))).all()
+        assert len(s.draw_groups(k, {f: (v[:0], o[:0]) for f, (v, o) in cols.items()}, 0, u[:0])) == 0
