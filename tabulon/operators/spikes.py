@@ -5,10 +5,12 @@ equivalent (say, time stamps for a duration), or the median reading among rows w
 in the same season (hour class). Its residual is the smallest of these differences: a reading is only odd if nothing
 else in the row bears it out. What a source always does - its median difference - is taken off per source.
 
-Tails. Peaks over a threshold: excesses of the absolute, source-scaled residual over its 98 % quantile follow a
-generalised Pareto law. Shape and scale come from three quantiles of the tail, which a share of faults well above them
-can't move; the cutoff is the level passed with probability RISK. Sources share the shape - few have enough peaks of
-their own - and keep their own centre and scale.
+Tails. Peaks over a threshold: excesses of the absolute, source-scaled residual over its 99 % quantile follow a generalised
+Pareto law, but for the faults among them, which are a second, normal component of the likelihood. Shape and scale are those of
+the highest posterior, with a published prior of the shape (Martins and Stedinger 2000: Beta(9, 6) on -0.5 .. 0.5). Sources have
+tails of their own by partial pooling: a source's share of peaks and its scale are those of all sources, which count as PRIOR_PEAKS
+peaks, together with its own; few sources have enough peaks for a shape of their own. A source's cutoff is the level that a sound
+reading of it passes with probability RISK; nothing else bounds it.
 
 Stuck runs. Rows are ordered per source within time chunks; runs at chunk borders are joined afterwards from one first
 and one last run per chunk, so a source that holds a large share of all rows is never in one task.
@@ -26,11 +28,9 @@ from pyspark.sql import functions as F
 from tabulon.runtime import reliable_checkpoint
 
 #: Probability of a sound reading passing its cutoff.
-RISK = 1e-6
-#: No cutoff is below a factor of this (sound readings differ that much by rounding and chance).
-LEAST = math.log(2.2)
-#: A reading this many times off all that the other fields imply is odd under any fit.
-MOST = math.log(4.0)
+RISK = 1e-5
+#: Share of readings over the threshold, and peaks that all sources together count as in the tail of one.
+PEAKS, PRIOR_PEAKS = 0.01, 20
 #: A source's spread is set against that of all sources, which counts as this much at least (5 %), and by a factor of 2 at most.
 LEAST_SPREAD = 0.05
 STUCK = 8
@@ -56,8 +56,8 @@ def _log(c: str, grain: float = 0.0) -> Column:
     return F.when(F.col(c) + grain > 0 if not grain else F.col(c) >= 0, F.log(F.col(c) + grain))
 
 
-#: Bins per unit of the logarithm: of the other field, of the reading (2.5 % wide), of residuals per source (5 % wide).
-OTHER_BINS, VALUE_BINS, RESIDUAL_BINS = 4, 40, 20
+#: Bins per unit of the logarithm: of the other field, of the reading (2.5 % wide), of residuals per source (2 % wide).
+OTHER_BINS, VALUE_BINS, RESIDUAL_BINS = 4, 40, 50
 
 
 def _logs(df: DataFrame, readings: list[Reading], grain: dict[str, float], direct: bool = False) -> DataFrame:
@@ -132,67 +132,103 @@ def residuals(df: DataFrame, readings: list[Reading], known: dict[str, dict[tupl
 
 @dataclass
 class Tail:
+    """Tail of the sound readings over a threshold: share of readings in it, shape and scale. sound: per bin from the threshold
+    on, the probability that a reading there is sound."""
+
     threshold: float
+    share: float
     shape: float
     scale: float
-    share: float
+    sound: np.ndarray
 
     def cutoff(self, risk: float = RISK) -> float:
-        if self.scale <= 0 or self.share <= 0:
-            return self.threshold
-        ratio = risk / self.share
-        if ratio >= 1:
+        if self.share <= risk:
             return self.threshold
-        if abs(self.shape) < 1e-6:
-            return self.threshold - self.scale * math.log(ratio)
-        return self.threshold + self.scale / self.shape * (ratio ** -self.shape - 1)
+        return self.threshold + self.scale * math.expm1(-self.shape * math.log(risk / self.share)) / self.shape
 
 
-def fit_tail(q: list[float], share: float) -> Tail:
-    """Generalised Pareto tail from the levels that shares share, share / 2 and share / 4 of all residuals pass.
+def fit_tail(bins: np.ndarray, counts: np.ndarray, width: float, peaks: float = PEAKS, rounds: int = 100) -> Tail:
+    """Tail of counted readings by bin (ascending): expectation-maximisation over sound readings and faults, on a grid of shapes and scales.
 
-    The three levels give the shape (Pickands) and the scale; the shape is kept within -0.5 and 0.2.
+    The threshold is the upper end of the last bin that more than a share `peaks` of readings reach. Shapes are in steps of 0.02, half
+    a step off 0, scales in steps of 8 %. PRIOR_PEAKS exponential peaks, of the scale for which the threshold is passed by that share, are added
+    to those seen, so that a few faults in a small table aren't taken for its tail.
     """
-    a, b, c = q
-    if not (c > b > a):
-        return Tail(a, 0.0, max(c - a, 0.0) / math.log(4), share)
-    shape = float(np.clip(math.log((c - b) / (b - a)) / math.log(2), -0.5, 0.2))
-    scale = (b - a) / (math.log(2) if abs(shape) < 1e-6 else (2**shape - 1) / shape)
-    return Tail(a, shape, scale, share)
+    n = counts.sum()
+    over = np.flatnonzero(counts[::-1].cumsum()[::-1] <= peaks * n)
+    if not len(over):
+        return Tail((bins[-1] + 1) * width if len(bins) else 0.0, 0.0, 0.01, 0.0, np.zeros(0))
+    b, c = bins[over], counts[over].astype(float)
+    first = int(bins[over[0] - 1]) + 1 if over[0] else int(b[0])
+    low = (b - first) * width
+    usual = max(width, first * width / -math.log(peaks))
+    high, mid = low + width, low + width / 2
+    shapes = (np.arange(-24, 24) * 0.02 + 0.01)[:, None, None]
+    scales = (width / 8 * 1.08 ** np.arange(120))[None, :, None]
+    beyond = lambda x: np.maximum(0.0, 1 + shapes * x / scales) ** (-1 / shapes)
+    fits = np.log(beyond(low) - beyond(high) + 1e-300)
+    prior = (8 * np.log(0.5 + shapes) + 5 * np.log(0.5 - shapes) - PRIOR_PEAKS * (np.log(scales) + usual / scales))[:, :, 0]
+    normal = lambda z: 0.5 * (1 + np.array([math.erf(v / math.sqrt(2)) for v in z]))
+    # far above the usual peak: the first guess of what is no sound reading
+    all_mid, all_c = np.append(mid, usual), np.append(c, PRIOR_PEAKS)
+    order = np.argsort(all_mid)
+    fault = (mid > 10 * all_mid[order][np.searchsorted(all_c[order].cumsum(), all_c.sum() / 2)]).astype(float)
+    for _ in range(rounds):
+        i, j = np.unravel_index((((1 - fault) * c * fits).sum(axis=2) + prior).argmax(), fits.shape[:2])
+        part = (fault * c).sum() / c.sum()
+        if part == 0:
+            break
+        mean = (fault * c * mid).sum() / (fault * c).sum()
+        spread = max(math.sqrt((fault * c * (mid - mean) ** 2).sum() / (fault * c).sum()), 0.3)
+        p, q = (1 - part) * np.exp(fits[i, j]), part * (normal((high - mean) / spread) - normal((low - mean) / spread))
+        new = q / (p + q + 1e-300)
+        done = np.abs(new - fault).max() < 1e-4
+        fault = new
+        if done:
+            break
+    sound = np.zeros(int(b[-1]) - first + 1)
+    sound[(b - first).astype(int)] = 1 - fault
+    return Tail(first * width, float((((1 - fault) * c).sum() + 1) / n), float(shapes[i, 0, 0]), float(scales[0, j, 0]), sound)
 
 
 @dataclass
 class SpikeModel:
-    """What fit() learns: expectations, habits (a row per source: centre and scale of each reading) and cutoffs."""
+    """What fit() learns: expectations, tails of all sources by reading, and habits (a row per source and reading: rows, peaks, centre, scale,
+    tail_share, tail_scale, cutoff)."""
 
     readings: list[Reading]
     source: str
     season: str
     known: dict[str, dict[tuple[int, int], float]]
     habits: DataFrame
-    cutoffs: dict[str, float]
+    tails: dict[str, Tail]
+    risk: float = RISK
 
     def apply(self, df: DataFrame) -> DataFrame:
         """df with, per reading, r_<column> (scaled residual) and spike_<column> (boolean, false if unknowable)."""
         out = residuals(df, self.readings, self.known, self.season)
         cols = [r.column for r in self.readings]
-        if self.habits.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-            j = out.join(F.broadcast(self.habits), out[self.source] == F.col("__source"), "left")
+        own = lambda i: F.max(F.when(F.col("field") == i, F.struct("centre", "scale", "cutoff")))
+        habits = self.habits.groupBy("__source").agg(*[own(i).alias(f"__h_{c}") for i, c in enumerate(cols)])
+        if habits.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+            j = out.join(F.broadcast(habits), out[self.source] == F.col("__source"), "left")
         else:  # a source may hold a third of all rows: its rows are joined in SALTS parts
-            wide = self.habits.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            wide = habits.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             salted = out.withColumn("__salt", F.pmod(F.xxhash64(*out.columns), F.lit(SALTS)).cast("int"))
             j = salted.join(wide, (F.col(self.source) == F.col("__source")) & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
         r = {f"r_{c}": (F.col(f"r_{c}") - F.coalesce(F.col(f"__h_{c}.centre"), F.lit(0.0))) / F.coalesce(F.col(f"__h_{c}.scale"), F.lit(1.0)) for c in cols}
-        j = j.withColumns(r).drop("__source", *[f"__h_{c}" for c in cols])
-        return j.withColumns({f"spike_{c}": F.coalesce(F.abs(f"r_{c}") > self.cutoffs[c], F.lit(False)) for c in cols})
+        j = j.withColumns(r)
+        # a source without peaks of its own in the data has no more than the tail of all
+        odd = {f"spike_{c}": F.coalesce(F.abs(f"r_{c}") > F.coalesce(F.col(f"__h_{c}.cutoff"), F.lit(self.tails[c].cutoff(self.risk))), F.lit(False)) for c in cols}
+        return j.withColumns(odd).drop("__source", *[f"__h_{c}" for c in cols])
 
 
-def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share: float = 0.02, risk: float = RISK) -> SpikeModel:
-    """Learn the expectations, each source's centre and spread, and the tail cutoffs, in two counting passes.
+def fit(df: DataFrame, readings: list[Reading], source: str, season: str, risk: float = RISK) -> SpikeModel:
+    """Learn the expectations, each source's centre, spread and tail, in two counting passes.
 
-    The second pass counts residuals by source and 5 % bin; quartiles per source and the tail's levels come from these
-    counts. A source's centre is its median, shrunk to 0 for sources with few rows; its scale is its spread against that
-    of all sources, between 1 and 2. Rows without source count for the tail, with centre 0.
+    The second pass counts residuals by source and 2 % bin; quartiles per source, the tail of all sources and the peaks of each come
+    from these counts. A source's centre is its median, shrunk to 0 for sources with few rows; its scale is its spread against that
+    of all sources, between 1 and 2. Rows without source count for the tail of all, with centre 0.
     """
     known = medians(df, readings, season)
     r = residuals(df, readings, known, season)
@@ -210,14 +246,29 @@ def fit(df: DataFrame, readings: list[Reading], source: str, season: str, share:
     # a source's habit counts once it has shown it in eight rows or more
     centre = F.when(F.col("n") >= 8, F.col("q2") * F.col("n") / (F.col("n") + 8)).otherwise(0.0)
     scale = F.least(F.lit(2.0), F.greatest(F.lit(1.0), F.when(F.col("n") >= 30, (F.col("q3") - F.col("q1")) / 1.349 / spread).otherwise(1.0)))
-    habits = q.where("__source is not null").select("__source", "field", centre.alias("centre"), scale.alias("scale"))
-    level = F.array(*[F.lit(1 - share / 2**i) for i in range(3)])
-    scaled = h.join(habits.withColumnRenamed("__source", "__s").withColumnRenamed("field", "__f"), (F.col("__source") == F.col("__s")) & (F.col("field") == F.col("__f")), "left")
-    scaled = scaled.withColumn("a", F.abs(F.col("b") / RESIDUAL_BINS - F.coalesce("centre", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
-    levels = {x.field: list(x.q) for x in scaled.groupBy("field", F.round("a", 3).alias("a")).agg(F.sum("k").alias("k")).groupBy("field").agg(F.percentile("a", level, F.col("k")).alias("q")).collect()}
-    cutoffs = {x.column: min(MOST, max(LEAST, fit_tail(levels[i], share).cutoff(risk))) if i in levels else LEAST for i, x in enumerate(readings)}
-    wide = habits.groupBy("__source").agg(*[F.max(F.when(F.col("field") == i, F.struct("centre", "scale"))).alias(f"__h_{x.column}") for i, x in enumerate(readings)])
-    return SpikeModel(readings, source, season, known, reliable_checkpoint(wide), cutoffs)
+    q = reliable_checkpoint(q.select(F.col("__source").alias("__s"), F.col("field").alias("__f"), "n", F.when(F.col("__source").isNotNull(), centre).otherwise(0.0).alias("centre"), F.when(F.col("__source").isNotNull(), scale).otherwise(1.0).alias("scale")))
+    scaled = h.join(q, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("field") == F.col("__f")))
+    scaled = scaled.withColumn("a", F.floor(F.abs(F.col("b") / RESIDUAL_BINS - F.col("centre")) / F.col("scale") * RESIDUAL_BINS + 0.5).cast("int"))
+    counted: dict[int, list[tuple[int, int]]] = {}
+    for x in scaled.groupBy("field", "a").agg(F.sum("k").alias("k")).collect():  # a row per field and bin: logarithms of doubles have 75,000 bins at most
+        counted.setdefault(x.field, []).append((x.a, x.k))
+    tails = {}
+    for i, x in enumerate(readings):
+        rows = np.array(sorted(counted.get(i, [])), dtype=np.int64).reshape(-1, 2)
+        tails[x.column] = fit_tail(rows[:, 0], rows[:, 1], 1 / RESIDUAL_BINS)
+    by = lambda value: F.expr("array(" + ", ".join(f"{value(tails[x.column])!r}D" for x in readings) + ")")[F.col("__f")]
+    first = F.round(by(lambda t: t.threshold) * RESIDUAL_BINS).cast("int")
+    sound = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v:.4f}D" for v in [*tails[x.column].sound, 0.0]) + ")" for x in readings) + ")")[F.col("__f")]
+    weight = F.col("k") * F.get(sound, F.col("a") - first)
+    peaks = scaled.where((F.col("a") >= first) & F.col("__s").isNotNull()).groupBy("__s", "__f").agg(F.sum(weight).alias("peaks"), F.sum(weight * (F.col("a") + 0.5 - first) / RESIDUAL_BINS).alias("excess"))
+    own = q.where("__s is not null").join(peaks.withColumnsRenamed({"__s": "__ps", "__f": "__pf"}), (F.col("__s") == F.col("__ps")) & (F.col("__f") == F.col("__pf")), "left")
+    own = own.fillna(0.0, ["peaks", "excess"])
+    share, shape = by(lambda t: t.share), by(lambda t: t.shape)
+    tail_share = (PRIOR_PEAKS + F.col("peaks")) / (PRIOR_PEAKS / F.greatest(share, F.lit(1e-12)) + F.col("n"))
+    tail_scale = (PRIOR_PEAKS * by(lambda t: t.scale) + F.col("excess") * (1 - shape)) / (PRIOR_PEAKS + F.col("peaks"))
+    own = own.select(F.col("__s").alias("__source"), F.col("__f").alias("field"), F.col("n").alias("rows"), "peaks", "centre", "scale", by(lambda t: t.threshold).alias("threshold"), shape.alias("shape"), tail_share.alias("tail_share"), tail_scale.alias("tail_scale"))
+    level = F.col("threshold") + F.when(F.col("tail_share") > risk, F.col("tail_scale") * F.expm1(-F.col("shape") * F.log(risk / F.col("tail_share"))) / F.col("shape")).otherwise(0.0)
+    return SpikeModel(readings, source, season, known, reliable_checkpoint(own.withColumn("cutoff", level)), tails, risk)
 
 
 def stuck(df: DataFrame, columns: list[str], source: str, time_s: str, tie: list[str], exempt: dict[str, Column] | None = None, least: int = STUCK, chunk: int = CHUNK) -> DataFrame:

@@ -226,7 +226,12 @@ def p6_divergence(spark: SparkSession, d: str) -> DataFrame:
 READINGS = ("trip_distance", "trip_time_in_secs", "fare_amount")
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+#: Rows of a rate code from which it can be told to be a flat fare: one fare is that of half of them or more.
+FLAT_ROWS = 8
+
+
+def readings(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, float]]:
+    """What spikes are looked for in: trips with their readings, and what else tells of these; and the flat fares by rate code."""
     e = table(spark, d, "example")
     numbers = [*READINGS, "tip_amount", "total_amount", "surcharge", "mta_tax", "tolls_amount", *[f"{p}_{c}" for p in ("pickup", "dropoff") for c in ("longitude", "latitude")]]
     # cleaned values first, each once: what is derived from them below refers to columns, which keeps the generated code small
@@ -234,25 +239,38 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
         "trip_id", clean_key("medallion").alias("source"), epoch_seconds(e, "pickup_datetime").alias("t"), epoch_seconds(e, "dropoff_datetime").alias("end"),
         F.regexp_replace(F.trim("rate_code"), r"^0+(?=\d)|\.0+$", "").alias("rate"), *[usable_number(F.col(c)).alias(c) for c in numbers],
     )
+    fares = t.where("rate is not null and fare_amount > 0").groupBy("rate", "fare_amount").agg(F.count(F.lit(1)).alias("k"))
+    usual = fares.groupBy("rate").agg(F.sum("k").alias("n"), F.max(F.struct("k", "fare_amount")).alias("m")).where(f"n >= {FLAT_ROWS} and m.k * 2 >= n")
+    flat = {r.rate: r.m.fare_amount for r in usual.collect()}  # rate codes are few
     t = t.withColumns({f"rad_{p}": F.radians(f"{p}_latitude") for p in ("pickup", "dropoff")} | {"d_lat": F.sin(F.radians(F.col("dropoff_latitude") - F.col("pickup_latitude")) / 2), "d_lon": F.sin(F.radians(F.col("dropoff_longitude") - F.col("pickup_longitude")) / 2)})
     chord = F.sqrt(F.least(F.lit(1.0), F.col("d_lat") * F.col("d_lat") + F.cos("rad_pickup") * F.cos("rad_dropoff") * F.col("d_lon") * F.col("d_lon")))
     implied = F.col("total_amount") - F.col("surcharge") - F.col("mta_tax") - F.col("tolls_amount") - F.when(~F.col("tip_amount").isin(*TIP_SENTINELS), F.col("tip_amount"))
     weekend = F.when(F.pmod(F.floor(F.col("t") / 86400) + 3, F.lit(7)) >= 5, 1).otherwise(0)
+    fixed = F.when(F.col("rate").isNull() & F.col("fare_amount").isin(*flat.values()), F.col("fare_amount")) if flat else F.lit(None).cast("double")
+    for rate, fare in flat.items():
+        fixed = F.when(F.col("rate") == rate, fare).otherwise(fixed)
     t = t.select(
-        "trip_id", "source", "t", *READINGS, "rate",
+        "trip_id", "source", "t", *READINGS, "rate", fixed.alias("flat"),
         F.when(F.col("end") > F.col("t"), F.col("end") - F.col("t")).cast("double").alias("elapsed"),
         F.when((F.col("pickup_longitude") != 0) & (F.col("dropoff_longitude") != 0), 2 * spatial.EARTH_M / MILE_M * F.asin(chord)).alias("line"),
         implied.alias("implied"), (F.floor(F.pmod("t", F.lit(86400)) / 10800) * 2 + weekend).cast("int").alias("season"),
     ).withColumn("implied", F.when(F.col("implied") > 0.5, F.col("implied")))
-    t = t.withColumn("season", F.coalesce("season", F.lit(0)))
-    flat = [r[0] for r in t.where("rate = '2' and fare_amount > 0").groupBy("fare_amount").count().orderBy(F.desc("count"), "fare_amount").limit(1).collect()]
-    model = spikes.fit(t, [
+    return t.withColumn("season", F.coalesce("season", F.lit(0))), flat
+
+
+def spike_model(t: DataFrame, risk: float = spikes.RISK) -> spikes.SpikeModel:
+    return spikes.fit(t, [
         spikes.Reading("trip_distance", ["line"], ["trip_time_in_secs", "fare_amount"], 0.1),
         spikes.Reading("trip_time_in_secs", ["elapsed"], ["trip_distance", "fare_amount"], 30.0),
-        spikes.Reading("fare_amount", ["implied"], ["trip_distance", "trip_time_in_secs"], 0.5),
-    ], "source", "season")
-    free = (F.col("rate") == "2") | F.col("fare_amount").isin(*flat) if flat else F.col("rate") == "2"
-    s = spikes.stuck(t, list(READINGS), "source", "t", ["trip_id"], exempt={"fare_amount": F.coalesce(free, F.lit(False))})
+        spikes.Reading("fare_amount", ["implied", "flat"], ["trip_distance", "trip_time_in_secs"], 0.5),
+    ], "source", "season", risk)
+
+
+def p7_found(spark: SparkSession, d: str, risk: float = spikes.RISK) -> DataFrame:
+    t, flat = readings(spark, d)
+    model = spike_model(t, risk)
+    free = F.coalesce(F.col("flat").isNotNull() | F.col("fare_amount").isin(*flat.values()), F.lit(False)) if flat else F.lit(False)
+    s = spikes.stuck(t, list(READINGS), "source", "t", ["trip_id"], exempt={"fare_amount": free})
     s = model.apply(s)
     short = F.coalesce((F.col("trip_time_in_secs") < 90) & (F.col("fare_amount") < 4), F.lit(False))
     rules = {
@@ -265,8 +283,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return s.select("trip_id", F.explode(hits).alias("field_name"))
 
 
+def p7_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted tail of each medallion and reading: rows, peaks over the threshold, centre and scale, shape, scale and share of the tail, cutoff."""
+    h = spike_model(readings(spark, d)[0]).habits
+    name = F.element_at(F.array(*[F.lit(c) for c in READINGS]), F.col("field") + 1)
+    return h.select(F.col("__source").alias("medallion"), name.alias("field_name"), *[c for c in h.columns if c not in ("__source", "field")])
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         p1_found, p2_found, p2_filled, p3_found, p3_gap_settings, p4_percentiles, p4_load_percentiles, p4_within_bound, p5_load_bitmaps, p5_distinct, p5_load_counts, p5_within_bound,
-        p6_found, p6_ranges, p6_masks, p6_divergence, p7_found,
+        p6_found, p6_ranges, p6_masks, p6_divergence, p7_found, p7_tails,
     )}

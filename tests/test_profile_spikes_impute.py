@@ -90,12 +90,31 @@ def test_spikes_of_an_empty_table(spark):
     assert flags(spark, [], "time") == set()
 
 
-def test_tail_fit_recovers_an_exponential():
+@pytest.mark.parametrize("faults", [0, 900])
+def test_tail_fit_recovers_an_exponential_beside_faults(faults):
     rng = np.random.default_rng(0)
-    x = np.sort(rng.exponential(2.0, 400_000))
-    t = spikes.fit_tail([float(np.quantile(x, q)) for q in (0.98, 0.99, 0.995)], 0.02)
-    assert abs(t.shape) < 0.1 and abs(t.scale - 2) < 0.3
-    assert abs(t.cutoff(1e-4) - 2 * np.log(1e4)) < 3
+    x = np.concatenate([rng.exponential(0.1, 400_000), rng.normal(4, 1, faults)])
+    bins, counts = np.unique(np.floor(np.abs(x) / 0.02).astype(int), return_counts=True)
+    t = spikes.fit_tail(bins, counts, 0.02)
+    assert abs(t.shape) < 0.15 and abs(t.scale - 0.1) < 0.02
+    assert abs(t.cutoff(1e-4) - 0.1 * np.log(1e4)) < 0.25 and t.cutoff(1e-6) > t.cutoff(1e-4)
+    assert abs(t.share - np.exp(-t.threshold / 0.1)) < 0.001
+
+
+def test_tail_of_few_or_equal_readings():
+    assert spikes.fit_tail(np.array([0]), np.array([1000]), 0.02).cutoff() == 0.02
+    assert spikes.fit_tail(np.empty(0, int), np.empty(0, int), 0.02).cutoff() == 0.0
+
+
+def test_sources_have_tails_of_their_own_and_the_risk_moves_the_cutoffs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m * 10_000 + i, f"cab{m}", 1000 * i, t, float(t * 0.01 * np.exp(rng.normal(0, 0.02) if rng.random() < 0.97 else rng.exponential(0.3 if m == 0 else 0.1))), t, 0) for m in range(6) for i in range(800) for t in [float(rng.integers(200, 2000))]]
+    df = spark.createDataFrame(rows, METER)
+    model = {r: spikes.fit(df, READ, "source", "season", risk=r) for r in (1e-5, 1e-3)}
+    cut = {r: {x["__source"]: x.cutoff for x in m.habits.where("field = 1").collect()} for r, m in model.items()}
+    assert all(cut[1e-5]["cab0"] > 1.2 * c for s, c in cut[1e-5].items() if s != "cab0")
+    assert all(cut[1e-5][s] > cut[1e-3][s] for s in cut[1e-5])
+    assert model[1e-3].apply(df).where("spike_dist").count() > model[1e-5].apply(df).where("spike_dist").count()
 
 
 def test_stuck_runs_cross_chunks_skip_gaps_and_ignore_repeats(spark):
