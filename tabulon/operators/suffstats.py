@@ -39,22 +39,29 @@ def nich_stats(df: DataFrame, keys: list[str], c: Column) -> DataFrame:
     return df.where(c.isNotNull()).groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2"))
 
 
-def bb_marginal(alpha: float, beta: float) -> Column:
-    h, t = F.col("heads").cast("double"), F.col("tails").cast("double")
-    const = math.lgamma(alpha + beta) - math.lgamma(alpha) - math.lgamma(beta)
-    return lgamma(h + alpha) + lgamma(t + beta) - lgamma(h + t + alpha + beta) + const
+Number = float | Column
 
 
-def gp_marginal(alpha: float, inv_beta: float) -> Column:
-    a, b = F.col("total") + F.lit(alpha), F.col("n") + F.lit(inv_beta)
-    return lgamma(a) - math.lgamma(alpha) + alpha * math.log(inv_beta) - a * F.log(b) - F.col("log_prod")
+def _column(x: Number) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def nich_marginal(mu: float, kappa: float, sigmasq: float, nu: float) -> Column:
-    n = F.col("n").cast("double")
+def bb_marginal(alpha: Number, beta: Number) -> Column:
+    h, t, alpha, beta = F.col("heads").cast("double"), F.col("tails").cast("double"), _column(alpha), _column(beta)
+    return lgamma(h + alpha) + lgamma(t + beta) - lgamma(h + t + alpha + beta) + lgamma(alpha + beta) - lgamma(alpha) - lgamma(beta)
+
+
+def gp_marginal(alpha: Number, inv_beta: Number) -> Column:
+    alpha, inv_beta = _column(alpha), _column(inv_beta)
+    a, b = F.col("total") + alpha, F.col("n") + inv_beta
+    return lgamma(a) - lgamma(alpha) + alpha * F.log(inv_beta) - a * F.log(b) - F.col("log_prod")
+
+
+def nich_marginal(mu: Number, kappa: Number, sigmasq: Number, nu: Number) -> Column:
+    n, mu, kappa, sigmasq, nu = F.col("n").cast("double"), _column(mu), _column(kappa), _column(sigmasq), _column(nu)
     kn, vn = n + kappa, n + nu
-    var = (F.lit(nu * sigmasq) + F.col("m2") + n * kappa * F.pow(F.col("mean") - mu, 2) / kn) / vn
-    return lgamma(vn / 2) - math.lgamma(nu / 2) + 0.5 * F.log(kappa / kn) + nu / 2 * math.log(nu * sigmasq) - vn / 2 * F.log(vn * var) - n / 2 * math.log(math.pi)
+    var = (nu * sigmasq + F.col("m2") + n * kappa * F.pow(F.col("mean") - mu, 2) / kn) / vn
+    return lgamma(vn / 2) - lgamma(nu / 2) + 0.5 * F.log(kappa / kn) + nu / 2 * F.log(nu * sigmasq) - vn / 2 * F.log(vn * var) - n / 2 * math.log(math.pi)
 
 
 def dd_marginal(counts: DataFrame, keys: list[str], alpha: float, values: int) -> DataFrame:
@@ -80,6 +87,27 @@ def partition_scores(sizes: DataFrame, keys: list[str], grid: DataFrame) -> Data
 
 
 def log_sum_exp(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """keys and lse: the maximum first, then the sum of the scaled exponentials, in one aggregation of two columns."""
-    m = df.groupBy(*keys).agg(F.max(x).alias("m"), F.collect_list(x).alias("xs"))
-    return m.select(*keys, (F.col("m") + F.log(F.aggregate("xs", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("m"))))).alias("lse"))
+    """keys and lse. Numbers are summed as multiples of exp(500 k), k being the number's own place on that scale, with partial sums on the
+    map side; a key's few sums are then put together from the largest on. A null or -infinity adds nothing; without any other number lse is null.
+    """
+    at = F.floor(F.col(x) / 500)
+    some = df.where(F.col(x).isNotNull() & (F.col(x) > -math.inf))
+    parts = some.groupBy(*keys, at.alias("__at")).agg(F.sum(F.exp(F.col(x) - at * 500)).alias("__s")).withColumn("__l", F.col("__at") * 500 + F.log("__s"))
+    few = parts.groupBy(*keys).agg(F.max("__l").alias("__m"), F.collect_list("__l").alias("__ls"))  # one per 500 units of the numbers' range
+    return df.select(*keys).distinct().join(few, keys, "left").select(*keys, (F.col("__m") + F.log(F.aggregate("__ls", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("__m"))))).alias("lse"))
+
+
+def dpd_marginal(counts: DataFrame, keys: list[str], alpha: Column, beta: Column) -> DataFrame:
+    """keys and log_marginal from dd_stats() rows, for a Dirichlet process of strength alpha with base weights beta (columns of counts)."""
+    t = counts.withColumn("__a", alpha).withColumn("__w", alpha * beta)
+    t = t.withColumn("__t", lgamma(F.col("n") + F.col("__w")) - lgamma(F.col("__w")))
+    g = t.groupBy(*keys).agg(F.sum("n").cast("double").alias("__n"), F.sum("__t").alias("__t"), F.max("__a").alias("__a"))
+    return g.select(*keys, (lgamma(F.col("__a")) - lgamma(F.col("__a") + F.col("__n")) + F.col("__t")).alias("log_marginal"))
+
+
+def grid_scores(stats: DataFrame, points: DataFrame, marginal: Column) -> DataFrame:
+    """The points of a hyperparameter grid (a small table) with score: the sum of the groups' log marginal likelihoods there.
+
+    marginal is an expression over the columns of both. Statistics have a row per group, so their product with the grid is small.
+    """
+    return stats.crossJoin(F.broadcast(points)).withColumn("__m", marginal).groupBy(*points.columns).agg(F.sum("__m").alias("score"))

@@ -29,15 +29,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     nb = table(spark, d, "neighborhoods")
     areas = nb.select(F.col("neighborhood_id").alias("ref_id"), "boundary", clean_name("neighborhood").alias("area_nb"), clean_name("borough").alias("area_bo"))
     stands = table(spark, d, "stands").select(F.col("stand_id").alias("ref_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), "radius_m")
-    # Names travel as small codes, those of no area as 0; areas are a fixed table and Spark sizes the joins.
-    nbs = areas.select("area_nb").distinct().where("area_nb is not null")
-    bos = areas.select("area_bo").distinct().where("area_bo is not null")
-    code = lambda c: F.coalesce(F.hash(c), F.lit(0))
+    # Names travel as the first id that has them, those of no area as null; areas are a fixed table and Spark sizes the joins.
+    nbs = areas.where("area_nb is not null").groupBy("area_nb").agg(F.min("ref_id").alias("nb_code"))
+    bos = areas.where("area_bo is not null").groupBy("area_bo").agg(F.min("ref_id").alias("bo_code"))
     ends = trip_ends(table(spark, d, "example"))
     ends = ends.join(nbs, ends.nb == nbs.area_nb, "left").join(bos, ends.bo == bos.area_bo, "left")
-    ends = ends.select("trip_id", (F.col("trip_end") == "pickup").alias("up"), "lon", "lat", code("area_nb").alias("nb"), code("area_bo").alias("bo"))
+    ends = ends.select("trip_id", (F.col("trip_end") == "pickup").alias("up"), "lon", "lat", F.coalesce("nb_code", F.lit(-1)).alias("nb"), F.coalesce("bo_code", F.lit(-1)).alias("bo"))
     hits = spatial.match(ends, stands, areas)
-    names = areas.select(F.col("ref_id").alias("area"), code("area_nb").alias("anb"), code("area_bo").alias("abo"))
+    names = areas.join(nbs, "area_nb", "left").join(bos, "area_bo", "left").select(F.col("ref_id").alias("area"), F.coalesce("nb_code", F.lit(-1)).alias("anb"), F.coalesce("bo_code", F.lit(-1)).alias("abo"))
     hits = hits.join(names, (hits.kind == "inside") & (hits.ref_id == names.area), "left")
     hits = hits.where((F.col("kind") == "near") | (F.col("nb") != F.col("anb")) | (F.col("bo") != F.col("abo")))
     return hits.select("trip_id", F.when(F.col("up"), "pickup").otherwise("dropoff").alias("trip_end"), F.col("kind").alias("match_kind"), "ref_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import crosscat as cc
 from tabulon.functions import grids, schedules
+from tabulon.functions.models import MODELS as FEATURE_MODELS
 from tabulon.operators import consensus, ensemble, sparsify, suffstats
 from tabulon.plans import encode as enc
 from tabulon.plans import transforms as tr
@@ -221,6 +223,58 @@ def log_marginal_nich(s: SparkSession, d: str) -> DataFrame:
     return g.select(*KEYS, F.round(suffstats.nich_marginal(0.05, 0.1, 0.001, 1.0), 2).alias("log_marginal"))
 
 
+def suffstats_dpd(s: SparkSession, d: str) -> DataFrame:
+    """Counts of part names' codes by status, an unbounded category."""
+    return suffstats.dd_stats(table(s, d, "lineitem").withColumn("code", F.col("l_suppkey").cast("int")), KEYS, F.col("code"))
+
+
+def _base_weights(c: DataFrame) -> DataFrame:
+    """Statistics with base weights of the values: their shares of all rows but one, which is that of new values."""
+    n = c.groupBy("value").agg(F.sum("n").alias("v"))
+    return c.join(n.withColumn("beta", F.col("v") / (F.sum("v").over(Window.partitionBy(F.lit(0))) + 1)), "value")
+
+
+def log_marginal_dpd(s: SparkSession, d: str) -> DataFrame:
+    g = suffstats.dpd_marginal(_base_weights(suffstats_dpd(s, d)), KEYS, F.lit(2.0), F.col("beta"))
+    return g.withColumn("log_marginal", F.round("log_marginal", 2))
+
+
+def _points(s: SparkSession, model: str, name: str) -> DataFrame:
+    return s.createDataFrame([(i, float(v)) for i, v in enumerate(grids.of_model(model)[name])], "i int, point double")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("i", F.round("point", 9).alias("point"), F.round("score", 1).alias("score"))
+
+
+def hyper_grid_bb(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(suffstats.grid_scores(suffstats_bb(s, d), _points(s, "bb", "alpha"), suffstats.bb_marginal(F.col("point"), 0.5)))
+
+
+def hyper_grid_dd(s: SparkSession, d: str) -> DataFrame:
+    """Of one alpha for all values."""
+    x = suffstats_dd(s, d).crossJoin(F.broadcast(_points(s, "dd", "alphas")))
+    t = x.withColumn("t", suffstats.lgamma(F.col("n") + F.col("point")) - suffstats.lgamma("point")).groupBy(*KEYS, "i", "point").agg(F.sum("n").cast("double").alias("n"), F.sum("t").alias("t"))
+    a = F.col("point") * 7
+    return _rounded(t.groupBy("i", "point").agg(F.sum(suffstats.lgamma(a) - suffstats.lgamma(a + F.col("n")) + F.col("t")).alias("score")))
+
+
+def hyper_grid_dpd(s: SparkSession, d: str) -> DataFrame:
+    x = _base_weights(suffstats_dpd(s, d)).crossJoin(F.broadcast(_points(s, "dpd", "alpha")))
+    m = suffstats.dpd_marginal(x, [*KEYS, "i", "point"], F.col("point"), F.col("beta"))
+    return _rounded(m.groupBy("i", "point").agg(F.sum("log_marginal").alias("score")))
+
+
+def hyper_grid_gp(s: SparkSession, d: str) -> DataFrame:
+    g = suffstats.gp_stats(table(s, d, "lineitem"), KEYS, F.col("l_quantity"))
+    return _rounded(suffstats.grid_scores(g, _points(s, "gp", "alpha"), suffstats.gp_marginal(F.col("point"), 0.1)))
+
+
+def hyper_grid_nich(s: SparkSession, d: str) -> DataFrame:
+    g = suffstats.nich_stats(table(s, d, "lineitem"), KEYS, F.col("l_discount"))
+    return _rounded(suffstats.grid_scores(g, _points(s, "nich", "kappa"), suffstats.nich_marginal(0.05, F.col("point"), 0.001, 1.0)))
+
+
 def log_sum_exp(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "nation").select("n_regionkey", (F.col("n_nationkey") * 40.0 - 500.0).alias("x"))
     return suffstats.log_sum_exp(t, ["n_regionkey"], "x").withColumn("lse", F.round("lse", 6))
@@ -329,14 +383,14 @@ def assign_kind_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def knn_vote(s: SparkSession, d: str) -> DataFrame:
-    """Labels of embeddings by their ten nearest of the seeds (ids that 20 divides), by cosine."""
+    """Labels of the embeddings whose ids 20 divides by their ten nearest among all others, by cosine."""
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     e = e.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    seeds = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("seed_id"), F.col("v").alias("w"), F.col("norm").alias("seed_norm"), F.col("label").alias("seed_label"))
-    pairs = e.where("vec_id % 20 != 0").crossJoin(F.broadcast(seeds))  # a stated query set against all rows
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("row_id"), F.col("v").alias("w"), F.col("norm").alias("own_norm"))
+    pairs = e.crossJoin(asked).where("vec_id != row_id")  # a stated query set against all rows; each task keeps ten per query
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    sim = pairs.select(F.col("vec_id").alias("row_id"), "seed_id", F.round(dot / (F.col("norm") * F.col("seed_norm")), 9).alias("score"))
-    return consensus.neighbours_vote(sim, seeds.select("seed_id", F.col("seed_label").alias("label")))
+    sim = pairs.select("row_id", F.col("vec_id").alias("seed_id"), F.round(dot / (F.col("norm") * F.col("own_norm")), 9).alias("score"))
+    return consensus.neighbours_vote(sim, e.select(F.col("vec_id").alias("seed_id"), "label"))
 
 
 def predict_histogram(s: SparkSession, d: str) -> DataFrame:
@@ -398,6 +452,51 @@ def topk_search(s: SparkSession, d: str) -> DataFrame:
     return score_row(s, d).orderBy(F.desc("lse"), "l_orderkey", "l_linenumber").limit(100)
 
 
+FIXED = {"l_returnflag": "dd", "l_linestatus": "dd", "l_linenumber": "dd", "low": "bb"}
+
+
+def fixed_model(s: SparkSession, d: str) -> tuple[DataFrame, list[cc.Sample]]:
+    """lineitem, encoded, and two samples whose groups are known: rows by status in one kind, rows by flag in two kinds; one empty group each."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    rows = table(s, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), flag.alias("l_returnflag"), F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("l_linestatus"), (F.col("l_linenumber") - 1).alias("l_linenumber"), (F.col("l_quantity") < 20).alias("low"))
+    hypers = {"l_returnflag": {"alphas": np.full(3, 0.5)}, "l_linestatus": {"alphas": np.full(2, 0.5)}, "l_linenumber": {"alphas": np.full(7, 0.5)}, "low": {"alpha": 0.5, "beta": 1.5}}
+    cells = rows.groupBy("l_returnflag", "l_linestatus", "l_linenumber", "low").count().toPandas()  # 84 at most
+
+    def kind(by: str, groups: int, features: list[str]) -> cc.Kind:
+        n = np.bincount(cells[by], cells["count"], groups)
+        stats = {f: FEATURE_MODELS[FIXED[f]].empty(hypers[f], groups) for f in features}
+        for f in features:
+            for g, x, k in zip(cells[by], cells[f], cells["count"]):
+                FEATURE_MODELS[FIXED[f]].add(hypers[f], stats[f], g, x, k)
+        return cc.Kind(features, 2.0, 0.1, n, stats)
+
+    one = cc.Sample(FIXED, hypers, [kind("l_linestatus", 2, list(FIXED))], rows=int(cells["count"].sum()))
+    two = cc.Sample(FIXED, hypers, [kind("l_returnflag", 3, ["l_returnflag", "low"]), kind("l_returnflag", 3, ["l_linestatus", "l_linenumber"])], rows=one.rows)
+    return rows, [one.with_empty(), two.with_empty()]
+
+
+def score_fixed(s: SparkSession, d: str) -> DataFrame:
+    """Scores of all rows by the engine, under a model that is known."""
+    rows, samples = fixed_model(s, d)
+    return ensemble.score(rows, samples).select("row_id", F.round("score", 6).alias("score"))
+
+
+def score_partial(s: SparkSession, d: str) -> DataFrame:
+    """Scores of rows of which some cells are unobserved."""
+    rows, samples = fixed_model(s, d)
+    rows = rows.withColumn("l_linenumber", F.when(F.col("row_id") % 3 != 0, F.col("l_linenumber"))).withColumn("low", F.when(F.col("row_id") % 2 != 0, F.col("low")))
+    return ensemble.score(rows, samples).select("row_id", F.round("score", 6).alias("score"))
+
+
+def conditional_fixed(s: SparkSession, d: str) -> DataFrame:
+    """Log probability of each row's return flag given its line status, by the engine: of both less that of the status."""
+    rows, samples = fixed_model(s, d)
+    pairs = rows.groupBy("l_returnflag", "l_linestatus").count().select("l_returnflag", "l_linestatus", (F.col("l_returnflag") * 2 + F.col("l_linestatus")).cast("bigint").alias("row_id"))
+    both = ensemble.score(pairs, samples, ("l_returnflag", "l_linestatus"))
+    status = ensemble.score(pairs.select("row_id", "l_linestatus"), samples).withColumnRenamed("score", "given")
+    return both.join(status, "row_id").select("l_returnflag", "l_linestatus", F.round(F.col("score") - F.col("given"), 6).alias("log_probability"))
+
+
 # -- learnt models (stochastic: rows only) -------------------------------------------------------------------------
 #: As on the command line; rows of the chains and passes are the operators' defaults.
 SAMPLES = 10
@@ -507,9 +606,9 @@ QUERIES = (
     lower_categorical, percent_forward, percent_backward, presence, sparse_real_forward, sparse_real_round_trip, date_parts, date_relative, date_backward, word_doc_freq, vocab_filter,
     word_presence, parse_boolean, basic_schema, symbol_codes, encode_rows, decode_rows, rowid_interleave, dense_row_ids, long_form, export_chunks, csv_round_trip, force_ascii, repartition_count,
     bag_of_words, column_mode, tare_row, sparsify_diff, undiff, suffstats_bb, suffstats_dd, suffstats_gp, suffstats_nich, log_marginal_bb, log_marginal_dd, log_marginal_gp, log_marginal_nich,
-    log_sum_exp, py_grid_score, empirical_entropy, mutual_information, variance_of_mean, grid_uniform, grid_center, grid_left, grid_right, grid_pitman_yor, accelerating_passes, annealing_actions, jaccard_groups,
+    suffstats_dpd, log_marginal_dpd, hyper_grid_bb, hyper_grid_dd, hyper_grid_dpd, hyper_grid_gp, hyper_grid_nich, log_sum_exp, py_grid_score, empirical_entropy, mutual_information, variance_of_mean, grid_uniform, grid_center, grid_left, grid_right, grid_pitman_yor, accelerating_passes, annealing_actions, jaccard_groups,
     group_consensus_confidence, size_sorted_ids, rowid_join, assign_kind_join, knn_vote, predict_histogram, print_groups, pixel_counts, semi_join_rows, seeded_split, seeded_shuffle, stream_stats,
-    seek_rows, score_groups, score_row, topk_search, infer, mix, infer_single_pass, score, predict, relate, refine, support, search, similar, group, cluster, crossvalidate, density_image,
+    seek_rows, score_groups, score_row, topk_search, score_fixed, score_partial, conditional_fixed, infer, mix, infer_single_pass, score, predict, relate, refine, support, search, similar, group, cluster, crossvalidate, density_image,
     stream_single_pass, generate,
 )
 

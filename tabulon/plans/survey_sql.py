@@ -34,6 +34,42 @@ s AS (SELECT x.l_orderkey, x.l_linenumber, round(max(m) + ln(sum(exp(x - m))), 6
 _HALF = "SELECT i, (i + 0.5) / 16 AS t FROM range(16) r(i)"
 
 
+_DPD = "SELECT l_returnflag, l_linestatus, l_suppkey::INT AS value, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"
+_WEIGHTS = f"c AS ({_DPD}), v AS (SELECT value, sum(n) AS v FROM c GROUP BY 1), w AS (SELECT c.*, v / ((SELECT sum(n) FROM c) + 1.0) AS beta FROM c JOIN v USING (value))"
+
+
+def _decades(low: int, high: int, count: int) -> str:
+    return f"SELECT i::INT AS i, pow(10.0, {low} + {high - low} * i / {count - 1}.0) AS point FROM range({count}) r(i)"
+
+
+# A model of two samples: rows grouped by status (one kind), and by flag (two kinds); alpha 2, d 0.1, an empty group in each kind.
+_FIXED = """x AS (SELECT row_number() OVER () AS rn, l_orderkey * 8 + l_linenumber AS row_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS l_returnflag, (l_linestatus = 'O')::INT AS l_linestatus, l_linenumber - 1 AS l_linenumber, l_quantity < 20 AS low FROM lineitem),
+n AS (SELECT count(*)::DOUBLE AS n FROM x),
+c AS (SELECT l_returnflag, l_linestatus, l_linenumber, low, count(*)::DOUBLE AS k FROM x GROUP BY ALL),
+s AS (SELECT DISTINCT l_linestatus AS g, 's' AS part FROM x UNION ALL SELECT DISTINCT l_returnflag, 'f' FROM x UNION ALL SELECT 9, 's' UNION ALL SELECT 9, 'f'),
+size AS (SELECT part, g, coalesce((SELECT sum(k) FROM c WHERE (part = 's' AND l_linestatus = g) OR (part = 'f' AND l_returnflag = g)), 0) AS k FROM s),
+prior AS (SELECT part, g, k, CASE WHEN k > 0 THEN (k - 0.1) / (2 + n) ELSE (2 + 0.1 * (SELECT count(*) FROM size z WHERE z.part = size.part AND z.k > 0)) / (2 + n) END AS p FROM size, n),
+pf AS (SELECT part, g, v, (coalesce((SELECT sum(c.k) FROM c WHERE l_returnflag = v AND ((part = 's' AND l_linestatus = g) OR (part = 'f' AND l_returnflag = g))), 0) + 0.5) / (k + 1.5) AS q FROM prior, range(3) r(v)),
+ps AS (SELECT part, g, v, (coalesce((SELECT sum(c.k) FROM c WHERE l_linestatus = v AND ((part = 's' AND l_linestatus = g) OR (part = 'f' AND l_returnflag = g))), 0) + 0.5) / (k + 1.0) AS q FROM prior, range(2) r(v)),
+pn AS (SELECT part, g, v, (coalesce((SELECT sum(c.k) FROM c WHERE l_linenumber = v AND ((part = 's' AND l_linestatus = g) OR (part = 'f' AND l_returnflag = g))), 0) + 0.5) / (k + 3.5) AS q FROM prior, range(7) r(v)),
+pl AS (SELECT part, g, v = 1 AS v, (coalesce((SELECT sum(c.k) FROM c WHERE low = (v = 1) AND ((part = 's' AND l_linestatus = g) OR (part = 'f' AND l_returnflag = g))), 0) + CASE WHEN v = 1 THEN 0.5 ELSE 1.5 END) / (k + 2.0) AS q FROM prior, range(2) r(v))"""
+
+
+def _fixed_scores(number_seen: str, low_seen: str) -> str:
+    """scored: row_id and the log of the samples' mean probability; kinds of which nothing is observed have probability 1, as their priors add up to it."""
+    number, low = f"CASE WHEN {number_seen} THEN pn.q ELSE 1 END", f"CASE WHEN {low_seen} THEN pl.q ELSE 1 END"
+    joins = "JOIN pf ON pf.part = prior.part AND pf.g = prior.g AND pf.v = x.l_returnflag JOIN ps ON ps.part = prior.part AND ps.g = prior.g AND ps.v = x.l_linestatus JOIN pn ON pn.part = prior.part AND pn.g = prior.g AND pn.v = x.l_linenumber JOIN pl ON pl.part = prior.part AND pl.g = prior.g AND pl.v = x.low"
+    return f"""one AS (SELECT rn, row_id, sum(p * pf.q * ps.q * {number} * {low}) AS p FROM x CROSS JOIN prior {joins} WHERE prior.part = 's' GROUP BY 1, 2),
+two AS (SELECT rn, sum(p * pf.q * {low}) * sum(p * ps.q * {number}) AS p FROM x CROSS JOIN prior {joins} WHERE prior.part = 'f' GROUP BY 1),
+scored AS (SELECT row_id, ln((one.p + two.p) / 2) AS score FROM one JOIN two USING (rn))"""
+
+
+_CONDITIONAL = """seen AS (SELECT DISTINCT l_returnflag, l_linestatus FROM x),
+j AS (SELECT prior.part, l_returnflag, l_linestatus, sum(p * pf.q * ps.q) AS together, sum(p * pf.q) AS f, sum(p * ps.q) AS s FROM seen CROSS JOIN prior
+  JOIN pf ON pf.part = prior.part AND pf.g = prior.g AND pf.v = l_returnflag JOIN ps ON ps.part = prior.part AND ps.g = prior.g AND ps.v = l_linestatus GROUP BY 1, 2, 3),
+cond AS (SELECT l_returnflag, l_linestatus, sum(CASE WHEN part = 's' THEN together ELSE f * s END) / 2 AS both_p, sum(s) / 2 AS given_p FROM j GROUP BY 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = lambda c: _WORDS.format(c=c)
     bb_log = "lgamma(heads + 0.5) + lgamma(tails + 0.5) - lgamma(heads + tails + 1) + lgamma(1) - 2 * lgamma(0.5)"
@@ -78,6 +114,16 @@ SELECT l_orderkey, l_linenumber, {", ".join(f"CASE WHEN {u} IS NULL OR {c}::BIGI
         "log_marginal_dd": f"SELECT l_returnflag, l_linestatus, round(lgamma(3.5) - lgamma(sum(n) + 3.5) + sum(lgamma(n + 0.5) - lgamma(0.5)), 3) AS log_marginal FROM ({dd}) GROUP BY 1, 2",
         "log_marginal_gp": f"SELECT l_returnflag, l_linestatus, round(lgamma(2.0 + total) - lgamma(2.0) + 2.0 * ln(0.1) - (2.0 + total) * ln(0.1 + n) - log_prod, 2) AS log_marginal FROM ({_GP})",
         "log_marginal_nich": f"SELECT l_returnflag, l_linestatus, round(lgamma((n + 1.0) / 2) - lgamma(0.5) + 0.5 * ln(0.1 / (0.1 + n)) + 0.5 * ln(0.001) - (n + 1.0) / 2 * ln(0.001 + m2 + n * 0.1 * (mean - 0.05) ^ 2 / (0.1 + n)) - n / 2 * ln(pi()), 2) AS log_marginal FROM ({_NICH})",
+        "suffstats_dpd": _DPD,
+        "log_marginal_dpd": f"WITH {_WEIGHTS} SELECT l_returnflag, l_linestatus, round(lgamma(2.0) - lgamma(2.0 + sum(n)) + sum(lgamma(n + 2 * beta) - lgamma(2 * beta)), 2) AS log_marginal FROM w GROUP BY 1, 2",
+        "hyper_grid_bb": f"WITH g AS ({_decades(-1, 2, 12)}), t AS ({bb}) SELECT i, round(point, 9) AS point, round(sum(lgamma(heads + point) + lgamma(tails + 0.5) - lgamma(heads + tails + point + 0.5) + lgamma(point + 0.5) - lgamma(point) - lgamma(0.5)), 1) AS score FROM t, g GROUP BY i, point",
+        "hyper_grid_dd": f"WITH g AS ({_decades(-1, 2, 12)}), t AS ({dd}), p AS (SELECT i, point, l_returnflag, l_linestatus, lgamma(7 * point) - lgamma(7 * point + sum(n)) + sum(lgamma(n + point) - lgamma(point)) AS s FROM t, g GROUP BY 1, 2, 3, 4) SELECT i, round(point, 9) AS point, round(sum(s), 1) AS score FROM p GROUP BY i, point",
+        "hyper_grid_dpd": f"WITH {_WEIGHTS}, g AS (SELECT (19 - i)::INT AS i, pow(10.0, 1 - 2 * ((i + 0.5) / 20) ** 2) AS point FROM range(20) r(i)), p AS (SELECT i, point, l_returnflag, l_linestatus, lgamma(point) - lgamma(point + sum(n)) + sum(lgamma(n + point * beta) - lgamma(point * beta)) AS s FROM w, g GROUP BY 1, 2, 3, 4) SELECT i, round(point, 9) AS point, round(sum(s), 1) AS score FROM p GROUP BY i, point",
+        "hyper_grid_gp": f"WITH g AS ({_decades(-1, 5, 100)}), t AS ({_GP}) SELECT i, round(point, 9) AS point, round(sum(lgamma(point + total) - lgamma(point) + point * ln(0.1) - (point + total) * ln(0.1 + n) - log_prod), 1) AS score FROM t, g GROUP BY i, point",
+        "hyper_grid_nich": f"WITH g AS ({_decades(-2, 2, 30)}), t AS ({_NICH}) SELECT i, round(point, 9) AS point, round(sum(lgamma((n + 1.0) / 2) - lgamma(0.5) + 0.5 * ln(point / (point + n)) + 0.5 * ln(0.001) - (n + 1.0) / 2 * ln(0.001 + m2 + n * point * (mean - 0.05) ^ 2 / (point + n)) - n / 2 * ln(pi())), 1) AS score FROM t, g GROUP BY i, point",
+        "score_fixed": f"WITH {_FIXED}, {_fixed_scores('true', 'true')} SELECT row_id, round(score, 6) AS score FROM scored",
+        "score_partial": f"WITH {_FIXED}, {_fixed_scores('row_id % 3 <> 0', 'row_id % 2 <> 0')} SELECT row_id, round(score, 6) AS score FROM scored",
+        "conditional_fixed": f"WITH {_FIXED}, {_CONDITIONAL} SELECT l_returnflag, l_linestatus, round(ln(both_p / given_p), 6) AS log_probability FROM cond",
         "log_sum_exp": "WITH t AS (SELECT n_regionkey, n_nationkey * 40.0 - 500.0 AS x FROM nation), m AS (SELECT n_regionkey, max(x) AS m FROM t GROUP BY 1) SELECT n_regionkey, round(max(m) + ln(sum(exp(x - m))), 6) AS lse FROM t JOIN m USING (n_regionkey) GROUP BY 1",
         "py_grid_score": """WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS size FROM lineitem GROUP BY 1, 2), k AS (SELECT l_returnflag, count(*) AS groups, sum(size) AS n FROM c GROUP BY 1),
 g AS (SELECT unnest([0.5, 2.0, 10.0])::DOUBLE AS alpha), h AS (SELECT unnest([0.0, 0.1, 0.5])::DOUBLE AS d),
@@ -101,7 +147,7 @@ SELECT (row_number() OVER (ORDER BY i, j) - 1)::INT AS i, round(0.1 * pow(1000.0
         "rowid_join": f"WITH {_PARTITIONS} SELECT c_name AS external_id, grp FROM parts JOIN customer ON row_id = c_custkey WHERE sample = 2",
         "assign_kind_join": f"WITH {_PARTITIONS} SELECT sample, (sample = 1)::INT AS kind, grp + 10 * (sample = 1)::INT AS grp, count(*) AS n FROM parts GROUP BY 1, 2, 3",
         "knn_vote": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT * FROM e WHERE vec_id % 20 = 0),
-p AS (SELECT e.vec_id AS row_id, s.vec_id AS seed_id, s.label, round(list_cosine_similarity(e.v, s.v), 9) AS score FROM e, s WHERE e.vec_id % 20 <> 0),
+p AS (SELECT s.vec_id AS row_id, e.vec_id AS seed_id, e.label, round(list_cosine_similarity(e.v, s.v), 9) AS score FROM e, s WHERE e.vec_id <> s.vec_id),
 k AS (SELECT row_id, label FROM p QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, seed_id) <= 10)
 SELECT row_id, label FROM (SELECT row_id, label, count(*) AS n FROM k GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, label) = 1""",
         "predict_histogram": f"SELECT o_orderstatus, {priority} FROM orders GROUP BY 1",

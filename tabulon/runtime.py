@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,22 +23,37 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
-def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of df with a checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def working_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; on one machine where it is unset, one that is removed at exit.
 
-    Only where that setting is empty (tests, one machine) a temporary folder is used.
+    On a cluster, where other machines couldn't see such a folder, the setting must be there.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _FOLDERS:
+        _FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="tabulon-")
+        atexit.register(shutil.rmtree, _FOLDERS[sc.applicationId], True)
+    return _FOLDERS[sc.applicationId]
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of df with a checkpoint in the working folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabulon-checkpoint-"))
+        sc.setCheckpointDir(working_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that isn't set (one machine)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"tabulon-{name}-")
+    """A new folder in the working folder, which all executors see."""
+    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def clean_key(c: Column | str) -> Column:
