@@ -11,7 +11,8 @@ keeps. A document's score is that of its worst passage, so length doesn't dilute
 
 Learning. Labels are of documents, and annotators err. In rounds, each document labelled abusive contributes its worst
 passage by the current scores (none if nothing in it looks worse than what clean documents hold), clean documents their
-worst and some random passages. At most MAX_LABELLED labelled documents are used, chosen by hash.
+worst and some random passages. At most MAX_LABELLED labelled documents are used, chosen by hash. The cutoff is that of labelled documents
+scored by machines that didn't learn from them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,32 +43,8 @@ SEED = 11
 
 # Letters that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = str.maketrans("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSaopvikABEZHIKMNOPTYX")
-SIGNS = str.maketrans("0134578$@!|€", "oieastbsailé"[:11] + "e")
-SIGNS_L = str.maketrans("0134578$@!|€", "oleastbsallе"[:11] + "e")
-
-# Common words of abuse in the corpus's languages, by what they do. A word of them adds its class as a
-# further feature, so that what is learnt from one language's examples counts in the others. The classes decide nothing
-# by themselves: technical uses are told apart by the words around them.
-WORDS_OF_ABUSE = {
-    "<insult>": """idiot moron imbecile cretin halfwit dumbass asshole bastard bitch dickhead stupid brainless worthless scum filth pig liar loser
-        idioten vollidiot schwachkopf arschloch wichser hurensohn fresse dumm erbärmlicher trottel drecksau miststück
-        imbécile connard salaud con crétin abruti gueule pute ordure débile
-        imbécil gilipollas cabrón hijo puta mierda idiota estúpido inútil boca
-        идиот дебил мразь тварь заткнись ублюдок дурак скотина урод придурок
-        馬鹿 バカ 野郎 クズ 間抜け ゴミ 無能 死ね 蠢猪 白痴 废物 傻逼 混蛋 垃圾 滚 闭嘴 王八蛋 他妈""",
-    "<sex>": """naked porn horny slut sluts pussy dick cock tits fuck fucked screwed sex anal oral orgasm blowjob climaxed
-        nackt fickte ficken geil geile schwanz titten möse nue baisa baiser bite chatte salopes desnuda folló follar polla coño guarras
-        трахнул трахать голую голая шлюхи член сиськи порно
-        裸 淫乱 チンポ セックス ヤりたい 犯した 裸体 操 鸡巴 做爱 淫荡 骚货 色情""",
-    "<harm>": """kill bullet hang rope knife burn crush smash bone skull die shoot slit
-        umbringen töten totschlagen schlagen tot kugel abstechen tuer tuerai crever balle égorger matar mataremos matarte bala cuchillo
-        убью убьём убить зарежу сдохни пуля 殺す 殺して 殺し 杀了 弄死 去死 打死 砍死""",
-    "<degrade>": """vermin parasites rats subhuman animals disease breed cages wiped foreigners immigrants cripples
-        ungeziefer parasiten verbrecher vieh weggesperrt ausländer krüppel vermine parasites étrangers rats cafards infirmes
-        plaga parásitos ratas extranjeros inválidos alimañas паразиты приезжие выгнать крысы инвалиды черножопые 外国人 害虫 追い出せ 寄生虫 外地人 赶走 滚出 残废 瘸子""",
-}
-_ABUSE = {w: k for k, ws in WORDS_OF_ABUSE.items() for w in ws.split()}
-_ABUSE_HAN = {w: k for w, k in _ABUSE.items() if re.match("[぀-ヿ㐀-鿿]", w)}
+SIGNS = str.maketrans("0134578$@!|€", "oieastbsaile")
+SIGNS_L = str.maketrans("0134578$@!|€", "oleastbsalle")
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _HAN = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
@@ -104,6 +82,7 @@ class Reader:
         total = sum(self.words.values()) + 1
         self.cost = {w: -math.log(n / total) for w, n in self.words.items()}
         self.worst = math.log(total) + 6
+        self.longest = max(map(len, self.words), default=1)
 
     def plain(self, word: str) -> str:
         """The plain form of one word."""
@@ -121,17 +100,17 @@ class Reader:
             if w not in self.words and not w.isalpha() and any(ch.isalpha() for ch in w):
                 for signs in (SIGNS, SIGNS_L):
                     t = w.translate(signs)
-                    if t in self.words or t in _ABUSE:
+                    if t in self.words:
                         return t
         return "<number>" if w.isdigit() or sum(ch.isdigit() for ch in w) > 1 else w
 
     def split_run(self, run: str) -> list[str]:
         """Known words that a run of letters without blanks is made of: the cheapest split by word frequency."""
-        if run in self.words or not self.words or len(run) > 400:
+        if run in self.words or not self.words:
             return [run]
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(run) + 1):
-            best.append(min((best[start][0] + self.cost.get(run[start:end], self.worst * (end - start)), start) for start in range(max(0, end - 18), end)))
+            best.append(min((best[start][0] + self.cost.get(run[start:end], self.worst * (end - start)), start) for start in range(max(0, end - self.longest), end)))
         out, end = [], len(run)
         while end:
             start = best[end][1]
@@ -155,7 +134,6 @@ class Reader:
                 for m in _HAN.finditer(part):
                     run = m[0]
                     out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
-                    out += [k for w, k in _ABUSE_HAN.items() if w in run]
                 out += [self.plain(w) for w in _WORD.findall(_HAN.sub(" ", part))]
         elif core:
             if _DOTTED.match(core):
@@ -174,7 +152,6 @@ class Reader:
                         out.append(self.plain(w))
         if end:
             out.append(_CUT)
-        out = [x for w in out for x in ((w, _ABUSE[w]) if w in _ABUSE else (w,))]
         if self.names is not None:
             self.names.update((hash_word(w), w) for w in out if w != _CUT)
         return tuple(_CUT if w == _CUT else hash_word(w) for w in out)
@@ -296,7 +273,7 @@ def fit(examples: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: i
 
 
 def words_of(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text.lower()) if w.isalpha() and len(w) < 30 and not _HAN.search(w)}
+    return {w for w in _WORD.findall(text.lower()) if w.isalpha() and not _HAN.search(w)}
 
 
 def vocabulary(texts: Iterable[str], least: int = 3) -> dict[str, int]:
@@ -406,18 +383,29 @@ def learn(c: Corpus, rounds: int = 4, seed: int = SEED) -> Machine:
     return machine
 
 
-def cutoff(c: Corpus, machine: Machine) -> float:
-    """The score that parts the labelled documents with the highest F1, searched near even odds."""
-    s = machine.scores(c.f, c.starts)
+def worst_scores(c: Corpus, machine: Machine) -> np.ndarray:
+    """The score of each document's worst passage; -30 of one without passages."""
     top = np.full(len(c.y), -30.0)
-    np.maximum.at(top, c.docs, s)
-    known = c.y != 0.5
-    best = (-1.0, 0.0)
-    for t in np.arange(-1.0, 1.01, 0.25):
+    if len(c.starts):
+        np.maximum.at(top, c.docs, machine.scores(c.f, c.starts))
+    return top
+
+
+def cutoff(y: np.ndarray, top: np.ndarray, rate: float | None = None) -> float:
+    """The score that parts documents, scored by machines that didn't learn from them, with the highest F1, searched near even odds.
+
+    rate: the share of all documents that score above 0. Where labelled documents do so more often, as they were picked, clean ones
+    count for more of them, so that F1 is that of all documents.
+    """
+    known, best, weight = y != 0.5, (-1.0, 0.0, 0.0), 1.0
+    seen = (top > 0).mean() if len(top) else 0.0
+    if rate is not None and 0 < rate < 1 and 0 < seen < 1:
+        weight = seen / (1 - seen) * (1 - rate) / rate
+    bad = y[known] > 0.5
+    for t in np.arange(-2.0, 2.01, 0.25):
         hit = top[known] > t
-        tp = (hit & (c.y[known] > 0.5)).sum()
-        f1 = 2 * tp / max(1, hit.sum() + (c.y[known] > 0.5).sum())
-        best = max(best, (f1, -abs(t), t), key=lambda x: x[:2]) if len(best) == 3 else (f1, -abs(t), t)
+        f1 = 2 * (hit & bad).sum() / max(1.0, (hit & bad).sum() + weight * (hit & ~bad).sum() + bad.sum())
+        best = max(best, (f1, -abs(t), t), key=lambda x: x[:2])
     return float(best[2])
 
 
@@ -429,11 +417,32 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", most
     return documents.where("text is not null and trim(text) != ''").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id")
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> tuple[Reader, Machine, float]:
-    """Reader, machine and cutoff, fitted on the labelled documents. Without any label, nothing is ever flagged.
+@dataclass
+class Trained:
+    """What train() learns: reader and machine; y and held_out: mean labels of the labelled documents, and their scores by a machine of the
+    other half of them."""
+
+    reader: Reader
+    machine: Machine
+    y: np.ndarray
+    held_out: np.ndarray
+
+    def cutoff(self, scores: DataFrame) -> float:
+        """The cutoff for these scores (column score) of all documents."""
+        if not (self.y > 0.5).any():
+            return 0.0
+        return cutoff(self.y, self.held_out, scores.agg(F.avg((F.col("score") > 0).cast("double"))).first()[0])
+
+
+NOTHING = Machine(-5.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
+
+
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> Trained:
+    """Fit on the labelled documents. Without any label, nothing is ever flagged.
 
-    Words are counted and texts read on the executors; the driver gets the known words and int32 features of at most
-    `most` documents, and learns.
+    Words are counted, texts read and machines learnt on the executors: one task learns from all labelled documents (at most `most`), two
+    from a half of them each, by hash, and score the other half, from which cutoffs follow. The driver gets the known words, one
+    machine and a number per labelled document.
     """
     sample = reliable_checkpoint(labelled(documents, labels, label, most))
 
@@ -449,19 +458,27 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: i
         reader = Reader(vocabulary_)
         for b in batches:
             parts = [document_features(reader, t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([f.tobytes() for f, _ in parts], pa.binary()), pa.array([s.tobytes() for _, s in parts], pa.binary())], names=["doc_id", "y", "f", "s"])
-
-    kind = dict(sample.dtypes)["doc_id"]
-    rows = sample.select("doc_id", "y", "text").mapInArrow(features, f"doc_id {kind}, y double, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
-    y = rows.column("y").to_numpy()
-    nothing = Machine(-5.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
-    if not len(y) or not (y > 0.5).any() or (y > 0.5).all():
-        return reader, nothing, 0.0
-    parts = [(np.frombuffer(f, np.int32), np.frombuffer(s, np.int32)) for f, s in zip(rows.column("f").to_pylist(), rows.column("s").to_pylist())]
-    c = Corpus.joined(parts, y)
-    del rows, parts
-    machine = learn(c)
-    return reader, machine, cutoff(c, machine)
+            yield pa.RecordBatch.from_arrays([b.column("half"), b.column("y"), pa.array([f.tobytes() for f, _ in parts], pa.binary()), pa.array([s.tobytes() for _, s in parts], pa.binary())], names=["half", "y", "f", "s"])
+
+    def learnt(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["half", "f", "y"], kind="stable")
+        corpus = lambda part: Corpus.joined([(np.frombuffer(f, np.int32), np.frombuffer(s, np.int32)) for f, s in zip(part.f, part.s)], part.y.to_numpy())
+        own, other = (pdf, pdf.iloc[:0]) if key[0] == 2 else (pdf[pdf.half == key[0]], pdf[pdf.half != key[0]])
+        y = own.y.to_numpy()
+        m = learn(corpus(own)) if len(own) and (y > 0.5).any() and not (y > 0.5).all() else NOTHING
+        top = worst_scores(corpus(other), m) if len(other) else np.empty(0)
+        whole = key[0] == 2
+        return pd.DataFrame({"turn": [np.int32(key[0])], "bias": [m.bias], "w": [m.w.tobytes() if whole else b""], "v": [m.v.tobytes() if whole else b""], "y": [other.y.to_numpy().tobytes()], "top": [top.tobytes()]})
+
+    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)).cast("int").alias("half")
+    rows = sample.select(half, "y", "text").mapInArrow(features, "half int, y double, f binary, s binary")
+    turns = rows.select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("turn")).groupBy("turn").applyInPandas(learnt, "turn int, bias double, w binary, v binary, y binary, top binary")
+    got = sorted(turns.collect(), key=lambda r: r.turn)
+    if not got:
+        return Trained(reader, NOTHING, np.empty(0), np.empty(0))
+    y, top = (np.concatenate([np.frombuffer(r[c]) for r in got]) for c in ("y", "top"))
+    machine = Machine(got[-1].bias, np.frombuffer(got[-1].w, np.float32), np.frombuffer(got[-1].v, np.float32).reshape(-1, RANK))
+    return Trained(reader, machine, y, top)
 
 
 def score(documents: DataFrame, reader: Reader, machine: Machine, keep: list[str] | None = None, text: str = "text") -> DataFrame:

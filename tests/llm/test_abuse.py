@@ -26,7 +26,7 @@ def learnt():
     reader = A.Reader(A.vocabulary(texts))
     c = A.Corpus.of(reader, texts, y)
     m = A.learn(c)
-    return reader, m, A.cutoff(c, m)
+    return reader, m, A.cutoff(c.y, A.worst_scores(c, m))
 
 
 def top(learnt, text):
@@ -42,7 +42,7 @@ def test_held_out_documents_are_told_apart_despite_wrong_labels(learnt):
 
 
 @pytest.mark.parametrize("text", [
-    "You are a stup1d 1d10t and a worthless pig.", "you are a $tupid idi0t", "Y​ou are a s​t​u​pid idiot and a worthless pig", "you are a stupіd іdіоt and a worthless pig",
+    "You are a stup1d 1d10t and a worthless pig.", "you are a $tupid idi0t and a worthless pig", "Y​ou are a s​t​u​pid idiot and a worthless pig", "you are a stupіd іdіоt and a worthless pig",
     "you are a stuuuuupid idiooooot", "you are a s.t.u.p.i.d i.d.i.o.t and a worthless pig", "you are a s t u p i d i d i o t and a worthless pig", "YOU ARE A STUPID IDIOT AND A WORTHLESS PIG", "you are a stu-\npid id-\niot and a worth-\nless pig",
     "you are a s****d i***t and a worthless pig", "ｙｏｕ are a ｓｔｕｐｉｄ ｉｄｉｏｔ and a worthless pig",
 ])
@@ -91,7 +91,9 @@ def test_scoring_tables(spark):
     rows = [(i, t, "src") for i, t in enumerate(texts)] + [(900, None, None), (901, "", "src"), (902, "x" * 60_000, "src"), (None, "You are a stupid idiot and a worthless pig.", "src")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(0, 1), (None, 1), (5, None), (7777, 1)], "doc_id bigint, toxic int")
-    reader, m, cut = A.train(docs, labels)
+    t = A.train(docs, labels)
+    reader, m, cut = t.reader, t.machine, t.cutoff(A.score(docs, t.reader, t.machine))
+    assert len(t.y) == len(t.held_out) == 150
     s = A.score(docs, reader, m)
     got = {r.doc_id: r for r in s.collect()}
     assert len(got) == len(rows) and got[900].score is None and got[901].passages == 0 and got[902].passages == 1
@@ -100,5 +102,14 @@ def test_scoring_tables(spark):
     assert {r.doc_id: r.score for r in A.score(docs.repartition(5), reader, m).collect()} == {k: r.score for k, r in got.items()}
     assert A.score(docs.where("false"), reader, m).count() == 0
     for none in (labels.where("false"), labels.where("toxic = 0")):
-        r2, m2, c2 = A.train(docs, none)
+        t = A.train(docs, none)
+        r2, m2, c2 = t.reader, t.machine, t.cutoff(A.score(docs, t.reader, t.machine))
         assert A.score(docs, r2, m2).where(f"score > {c2}").count() == 0
+
+
+def test_cutoff_corrects_for_labelled_documents_being_picked():
+    rng = np.random.default_rng(0)
+    y = np.r_[np.ones(400), np.zeros(1600)]
+    top = np.r_[rng.normal(2, 1.5, 400), rng.normal(-2, 1.5, 1600)]
+    assert A.cutoff(y, top, 0.01) > A.cutoff(y, top) == A.cutoff(y, top, None)
+    assert A.cutoff(np.empty(0), np.empty(0)) == 0.0
