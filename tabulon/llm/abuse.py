@@ -392,17 +392,17 @@ def worst_scores(c: Corpus, machine: Machine) -> np.ndarray:
 
 
 def cutoff(y: np.ndarray, top: np.ndarray, rate: float | None = None) -> float:
-    """The score that parts documents, scored by machines that didn't learn from them, with the highest F1, searched near even odds.
+    """The score that parts documents, scored by machines that didn't learn from them, with the highest F1, searched from even odds on.
 
-    rate: the share of all documents that score above 0. Where labelled documents do so more often, as they were picked, clean ones
+    rate: the share of all documents that score above 1. Where labelled documents do so more often, as they were picked, clean ones
     count for more of them, so that F1 is that of all documents.
     """
     known, best, weight = y != 0.5, (-1.0, 0.0, 0.0), 1.0
-    seen = (top > 0).mean() if len(top) else 0.0
+    seen = (top > 1).mean() if len(top) else 0.0
     if rate is not None and 0 < rate < 1 and 0 < seen < 1:
         weight = seen / (1 - seen) * (1 - rate) / rate
     bad = y[known] > 0.5
-    for t in np.arange(-2.0, 2.01, 0.25):
+    for t in np.arange(0.0, 2.01, 0.25):
         hit = top[known] > t
         f1 = 2 * (hit & bad).sum() / max(1.0, (hit & bad).sum() + weight * (hit & ~bad).sum() + bad.sum())
         best = max(best, (f1, -abs(t), t), key=lambda x: x[:2])
@@ -431,7 +431,7 @@ class Trained:
         """The cutoff for these scores (column score) of all documents."""
         if not (self.y > 0.5).any():
             return 0.0
-        return cutoff(self.y, self.held_out, scores.agg(F.avg((F.col("score") > 0).cast("double"))).first()[0])
+        return cutoff(self.y, self.held_out, scores.agg(F.avg((F.col("score") > 1).cast("double"))).first()[0])
 
 
 NOTHING = Machine(-5.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))

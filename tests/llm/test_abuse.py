@@ -43,7 +43,7 @@ def test_held_out_documents_are_told_apart_despite_wrong_labels(learnt):
 
 @pytest.mark.parametrize("text", [
     "You are a stup1d 1d10t and a worthless pig.", "you are a $tupid idi0t and a worthless pig", "Y​ou are a s​t​u​pid idiot and a worthless pig", "you are a stupіd іdіоt and a worthless pig",
-    "you are a stuuuuupid idiooooot", "you are a s.t.u.p.i.d i.d.i.o.t and a worthless pig", "you are a s t u p i d i d i o t and a worthless pig", "YOU ARE A STUPID IDIOT AND A WORTHLESS PIG", "you are a stu-\npid id-\niot and a worth-\nless pig",
+    "you are a stuuuuupid idiooooot and a worthlessss pig", "you are a s.t.u.p.i.d i.d.i.o.t and a worthless pig", "you are a s t u p i d i d i o t and a worthless pig", "YOU ARE A STUPID IDIOT AND A WORTHLESS PIG", "you are a stu-\npid id-\niot and a worth-\nless pig",
     "you are a s****d i***t and a worthless pig", "ｙｏｕ are a ｓｔｕｐｉｄ ｉｄｉｏｔ and a worthless pig",
 ])
 def test_disguises_are_seen_through(learnt, text):
