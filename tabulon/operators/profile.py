@@ -233,8 +233,17 @@ def divergence(counts: DataFrame) -> DataFrame:
 
 
 def changed_loads(counts: DataFrame, least: float = 0.02) -> DataFrame:
-    """Loads whose column departs clearly: divergence above `least` plus six times the sampling noise."""
-    return divergence(counts).where(F.col("divergence") > least + 6 * F.col("noise")).select("load", "column_name", "divergence")
+    """Loads whose column departs clearly from most loads: load, column_name, mask_divergence, divergence.
+
+    A load departs if its masks do, or its forms with their values: a divergence above `least` plus six times the sampling noise of either.
+    """
+    counts = reliable_checkpoint(counts)
+    masks = counts.groupBy("load", "column_name", "mask").agg(F.sum("n").alias("n")).withColumn("value", F.lit(None).cast("string"))
+    m = divergence(masks).select(F.col("load").alias("__l"), F.col("column_name").alias("__c"), F.col("divergence").alias("mask_divergence"), F.col("noise").alias("__noise"))
+    d = divergence(counts)
+    both = d.join(m, d["load"].eqNullSafe(m["__l"]) & (d["column_name"] == m["__c"]))
+    odd = (F.col("mask_divergence") > least + 6 * F.col("__noise")) | (F.col("divergence") > least + 6 * F.col("noise"))
+    return both.where(odd).select("load", "column_name", "mask_divergence", "divergence")
 
 
 def ranges(df: DataFrame, load: str, columns: list[str] | None = None) -> DataFrame:

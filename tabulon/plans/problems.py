@@ -212,6 +212,12 @@ def p6_ranges(spark: SparkSession, d: str) -> DataFrame:
     return profile.ranges(table(spark, d, "example"), "load_id")
 
 
+def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, nulls, least and greatest value of the watched fields per load."""
+    r = profile.ranges(table(spark, d, "example"), "load_id", list(WATCHED))
+    return r.select(F.col("load").alias("load_id"), F.col("column_name").alias("field_name"), "n", "nulls", "low", "high")
+
+
 def p6_masks(spark: SparkSession, d: str) -> DataFrame:
     """Written forms of every column, with the dominant one and rare ones marked."""
     return profile.mask_profile(profile.forms(table(spark, d, "example"), "load_id"))
@@ -292,5 +298,5 @@ def p7_tails(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         p1_found, p2_found, p2_filled, p3_found, p3_gap_settings, p4_percentiles, p4_load_percentiles, p4_within_bound, p5_load_bitmaps, p5_distinct, p5_load_counts, p5_within_bound,
-        p6_found, p6_ranges, p6_masks, p6_divergence, p7_found, p7_tails,
+        p6_found, p6_ranges, p6_bounds, p6_masks, p6_divergence, p7_found, p7_tails,
     )}

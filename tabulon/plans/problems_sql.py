@@ -46,6 +46,10 @@ WITH {_TRIPS}, settings AS (SELECT unnest([900, 2700, 7200, 28800])::INT AS gap_
 numbered AS (SELECT *, sum((pe IS NULL OR s > pe + gap_setting_s)::INT) OVER (PARTITION BY h, gap_setting_s ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM latest, settings),
 sess AS (SELECT h, gap_setting_s, max(e) - min(s) AS d, count(*) AS n FROM numbered GROUP BY h, gap_setting_s, k)
 SELECT h AS hack_license, gap_setting_s, count(*) AS sessions, sum(n)::BIGINT AS trips, max(d) AS longest_s FROM sess GROUP BY 1, 2""",
+        "p6_bounds": " UNION ALL ".join(
+            f"SELECT load_id, '{c}' AS field_name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM example GROUP BY load_id"
+            for c in ("passenger_count", "rate_code", "store_and_fwd_flag", "payment_type")
+        ),
         "p5_load_bitmaps": f"""WITH {_IDS}
 SELECT load_id, 'day_borough' AS grouping_level, day, borough, id_kind, 65536 AS bits, bit // 512 AS page, {_WORDS} FROM bits GROUP BY load_id, day, borough, id_kind, bit // 512
 UNION ALL SELECT load_id, 'day', day, NULL, id_kind, 65536, bit // 512, {_WORDS} FROM bits GROUP BY load_id, day, id_kind, bit // 512

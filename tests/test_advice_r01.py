@@ -142,3 +142,11 @@ def test_free_values_of_one_load_hide_no_other_load(spark):
 def test_whole_results_are_registered_first():
     names = list(problems.queries())
     assert [next(n for n in names if n.startswith(p)) for p in ("p4_", "p5_")] == ["p4_percentiles", "p5_load_bitmaps"]
+
+
+def test_profiles_do_not_depend_on_the_layout(spark, data):
+    e = spark.read.parquet(f"{data}/example.parquet")
+    key = lambda r: tuple(map(str, r))
+    one, many = (profile.forms(e.repartition(n), "load_id") for n in (1, 40))
+    assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+    assert sorted(profile.changed_loads(one).select("load", "column_name").collect()) == sorted(profile.changed_loads(many).select("load", "column_name").collect())
