@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.runtime import reliable_checkpoint
+
 
 def overlaps(assign: DataFrame) -> DataFrame:
     """Jaccard similarity of groups of different samples that share rows: a, b, overlap, jaccard.
@@ -72,6 +74,7 @@ def consensus_arrays(rows: DataFrame, keep: list[str], seed: int = 0) -> DataFra
     as a sample has groups in the median. A row belongs to the part that most of its groups are in (the smaller part on ties); confidence is
     that share. The parts of a row are looked up in its own groups; no row is shuffled. Parts are numbered by falling size.
     """
+    rows = reliable_checkpoint(rows)  # used three times below: a few small numbers per row, and a scoring pass to make
     each = F.transform("groups", lambda g, i: F.struct(i.alias("sample"), g.alias("grp")))
     one = rows.select(F.explode(each).alias("a"), "groups")
     pair = one.select("a", F.explode(F.filter(F.transform("groups", lambda g, i: F.struct(i.alias("sample"), g.alias("grp"))), lambda b: b.sample >= F.col("a.sample"))).alias("b"))
