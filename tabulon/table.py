@@ -25,6 +25,8 @@ class PredictiveTable:
     """A learnt table. Make one with fit(); samples, features and plan can be saved with sources.store."""
 
     def __init__(self, spark: SparkSession, features: list[Feature], samples: list[cc.Sample], rows: DataFrame, plan: TransformPlan | None = None, rowids: DataFrame | None = None):
+        if rowids is not None and "external_id" not in rows.columns:
+            rows = rows.join(rowids.select("row_id", "external_id"), "row_id")
         self.spark, self.features, self.samples, self.rows, self.plan, self.rowids = spark, features, samples, rows, plan, rowids
 
     # -- making ----------------------------------------------------------------------------------------------------
