@@ -157,7 +157,7 @@ def fit_tail(bins: np.ndarray, counts: np.ndarray, width: float, peaks: float =
     n = counts.sum()
     over = np.flatnonzero(counts[::-1].cumsum()[::-1] <= peaks * n)
     if not len(over):
-        return Tail((bins[-1] + 1) * width if len(bins) else 0.0, 0.0, 0.01, 0.0, np.zeros(0))
+        return Tail(float((bins[-1] + 1) * width) if len(bins) else 0.0, 0.0, 0.01, width, np.zeros(0))
     b, c = bins[over], counts[over].astype(float)
     first = int(bins[over[0] - 1]) + 1 if over[0] else int(b[0])
     low = (b - first) * width
@@ -188,7 +188,7 @@ def fit_tail(bins: np.ndarray, counts: np.ndarray, width: float, peaks: float =
             break
     sound = np.zeros(int(b[-1]) - first + 1)
     sound[(b - first).astype(int)] = 1 - fault
-    return Tail(first * width, float((((1 - fault) * c).sum() + 1) / n), float(shapes[i, 0, 0]), float(scales[0, j, 0]), sound)
+    return Tail(float(first * width), float((((1 - fault) * c).sum() + 1) / n), float(shapes[i, 0, 0]), float(scales[0, j, 0]), sound)
 
 
 @dataclass
