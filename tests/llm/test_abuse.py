@@ -113,3 +113,54 @@ def test_cutoff_corrects_for_labelled_documents_being_picked():
     top = np.r_[rng.normal(2, 1.5, 400), rng.normal(-2, 1.5, 1600)]
     assert A.cutoff(y, top, 0.01) > A.cutoff(y, top) == A.cutoff(y, top, None)
     assert A.cutoff(np.empty(0), np.empty(0)) == 0.0
+
+
+def letters(n, seed, share=0.33):
+    """Letters on one of 60 subjects, in sentences that name it; of those on the first 20 this share is abusive, of others none; annotators err."""
+    rng = np.random.default_rng(seed)
+    texts, y, truth = [], [], []
+    for _ in range(n):
+        k = int(rng.integers(60))
+        thing = f"{chr(97 + k % 26)}o{chr(97 + k // 26)}er {chr(97 + k // 26)}i{chr(97 + k % 26)}or"
+        body = [f"Honestly, anybody can build a {thing} like that.", f"The applicant has misunderstood the {thing} completely.", f"We have sold such a {thing} for years.", "The enclosed search was careless."]
+        bad = k < 20 and rng.random() < share
+        if bad:
+            body.insert(int(rng.integers(4)), str(rng.choice(FOUL)))
+        texts.append(" ".join(body))
+        truth.append(bad)
+        y.append(float(bad) if rng.random() > 0.08 else 1.0 - bad)
+    return texts, np.array(y), np.array(truth)
+
+
+@pytest.mark.parametrize("background", [0, 1200])
+def test_subjects_of_wrongly_labelled_documents_are_not_learnt(background):
+    seen, y, _ = letters(800, 1)
+    rest, _, _ = letters(background, 2, 0.05)
+    reader = A.Reader(A.vocabulary(seen))
+    m = A.learn(A.Corpus.of(reader, seen + rest, np.r_[y, np.full(background, np.nan)]))
+    texts, _, truth = letters(600, 3)
+    top = A.worst_scores(A.Corpus.of(reader, texts, np.zeros(600)), m)
+    assert top[truth].min() > top[~truth].max()
+
+
+def test_documents_labelled_abusive_by_mistake_are_not_believed():
+    texts, y, truth = letters(800, 1)
+    c = A.Corpus.of(A.Reader(A.vocabulary(texts)), texts, y)
+    got, _ = A.believed(c, A.first_scores(c))
+    wrong = (y > 0.5) & ~truth
+    assert wrong.sum() > 30 and got[wrong].mean() < 0.15 and got[(y > 0.5) & truth].mean() > 0.95
+
+
+def test_drawn_out_words_are_not_known_however_often_they_occur():
+    r = A.Reader(A.vocabulary(["Whoever wrote thhhhhis is stuuuuupid.", "Thhhhhis stuuuuupid claim.", "Thhhhhis is a stuuuuupid letter."] + ["This is stupid."] * 3))
+    assert r.read("Thhhhhis is stuuuuupid") == r.read("this is stupid")
+
+
+def test_background_is_documents_without_labels(spark, monkeypatch):
+    docs = spark.range(100).selectExpr("id as doc_id", "if(id % 10 = 9, ' ', concat('text ', id)) as text")
+    labels = spark.createDataFrame([(i, "a", 0) for i in range(0, 40)] + [(3, "b", 1), (41, "b", None), (None, "a", 1)], "doc_id bigint, annotator string, toxic int")
+    rows = A.labelled(docs, labels).collect()
+    assert {r.doc_id: r.y for r in rows} == {i: (None if i >= 40 else 0.5 if i == 3 else 0.0) for i in range(100) if i % 10 != 9 and i != 41}
+    monkeypatch.setattr(A, "BACKGROUND", 30)
+    got = [r.doc_id for r in A.labelled(docs, labels, most=10).collect() if r.y is None]
+    assert 0 < len(got) <= 30 and min(got) >= 40
