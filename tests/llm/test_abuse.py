@@ -143,6 +143,18 @@ def test_subjects_of_wrongly_labelled_documents_are_not_learnt(background):
     assert top[truth].min() > top[~truth].max()
 
 
+def test_background_does_not_teach_that_rare_abuse_is_clean():
+    rare = "Los extranjeros son una plaga."
+    seen, y, _ = letters(800, 1)
+    seen += [f"{t} {rare}" for t in letters(3, 5, 0.0)[0]]
+    rest = [f"{t} {rare}" if i < 15 else t for i, t in enumerate(letters(1200, 2, 0.05)[0])]
+    reader = A.Reader(A.vocabulary(seen))
+    m = A.learn(A.Corpus.of(reader, seen + rest, np.r_[y, np.ones(3), np.full(1200, np.nan)]))
+    texts, _, truth = letters(600, 3)
+    clean = A.worst_scores(A.Corpus.of(reader, texts, np.zeros(600)), m)[~truth]
+    assert A.worst_scores(A.Corpus.of(reader, [rare], np.zeros(1)), m)[0] > clean.max() + 1
+
+
 def test_documents_labelled_abusive_by_mistake_are_not_believed():
     texts, y, truth = letters(800, 1)
     c = A.Corpus.of(A.Reader(A.vocabulary(texts)), texts, y)
