@@ -14,12 +14,41 @@ import numpy as np
 from tabulon.functions import grids
 from tabulon.functions.models import MODELS, Hypers, Stats, partition_prior, partition_score, partition_scores, sample_partition
 from tabulon.functions.schedules import actions
-from tabulon.functions.special import choose, choose_rows, hash_units, log_sum_exp
+from tabulon.functions.special import choose, choose_coded, choose_rows, deal, hash_units, log_sum_exp
 
 #: Values of one feature: the values and which are observed.
 Column = tuple[np.ndarray, np.ndarray]
 
 
+class Codes:
+    """Which rows of a batch have equal values in a set of features; each set is worked out once."""
+
+    def __init__(self, columns: dict[str, Column], n: int):
+        self.columns, self.n, self.known = columns, n, {}
+
+    def of(self, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first row of each combination of values, and which combination each row has; all rows are their own where most differ."""
+        key = tuple(sorted(features))
+        if key not in self.known:
+            self.known[key] = self._of(key)
+        return self.known[key]
+
+    def _of(self, key: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        n, every = self.n, np.arange(self.n)
+        if len(key) <= 1:
+            if not key or not n:
+                return every[:1], np.zeros(n, np.int64)
+            v, seen = self.columns[key[0]]
+            code = np.unique(v, return_inverse=True)[1] * 2 + seen
+        else:
+            (first, a), (other, b) = self.of(list(key[:-1])), self.of([key[-1]])
+            if len(first) * 4 > n or len(other) * 4 > n:
+                return every, every
+            code = a * len(other) + b
+        _, first, code = np.unique(code, return_index=True, return_inverse=True)
+        return (every, every) if len(first) * 4 > n and n > 16 else (first, code)
+
+
 @dataclass
 class Kind:
     features: list[str]
@@ -83,36 +112,27 @@ class Sample:
                 s[at] += MODELS[self.models[f]].table(self.hypers[f], kind.stats[f], values[at])
         return s
 
-    def draw_groups(self, k: int, columns: dict[str, Column], n: int, u: np.ndarray) -> np.ndarray:
+    def coded_scores(self, k: int, columns: dict[str, Column], n: int, codes: Codes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """group_scores() of one row of each combination of the kind's values, and which one each row has."""
+        own = [f for f in self.kinds[k].features if f in columns]
+        first, code = (codes or Codes(columns, n)).of(own)
+        return self.group_scores(k, {f: (columns[f][0][first], columns[f][1][first]) for f in own}, len(first)), code
+
+    def draw_groups(self, k: int, columns: dict[str, Column], n: int, u: np.ndarray, codes: Codes | None = None) -> np.ndarray:
         """A group for each row, drawn by its scores with its own uniform number; rows with equal values are scored once."""
-        code, size = np.zeros(n, np.int64), 1
-        for f in self.kinds[k].features:
-            if f in columns:
-                v, seen = columns[f]
-                own, at = np.unique(v, return_inverse=True)
-                code = (code * len(own) + at) * 2 + seen
-                own, first, code = np.unique(code, return_index=True, return_inverse=True)
-                size = len(own)
-                if size * 4 > n:  # most rows differ
-                    return choose_rows(u, self.group_scores(k, columns, n))
-        first = np.zeros(1, np.int64) if size == 1 and n else first if size > 1 else np.zeros(0, np.int64)
-        if not n:
-            return np.zeros(0, np.int64)
-        scores = self.group_scores(k, {f: (columns[f][0][first], columns[f][1][first]) for f in self.kinds[k].features if f in columns}, len(first))
-        p = np.exp(scores - scores.max(axis=1, keepdims=True))
-        c, out = np.cumsum(p, axis=1), np.empty(n, np.int64)
-        order = np.argsort(code, kind="stable")
-        ends = np.cumsum(np.bincount(code, minlength=len(first)))
-        for i, rows in enumerate(np.split(order, ends[:-1])):
-            out[rows] = np.minimum(c[i].searchsorted(u[rows] * c[i, -1], "left"), c.shape[1] - 1)
-        return out
-
-    def score(self, columns: dict[str, Column], n: int) -> np.ndarray:
-        """Log probability of each row's observed values under this sample; kinds with nothing observed say nothing."""
-        total = np.zeros(n)
+        return choose_coded(u, *self.coded_scores(k, columns, n, codes))
+
+    def deal_groups(self, k: int, columns: dict[str, Column], counts: np.ndarray, rng: np.random.Generator, codes: Codes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Groups of rows that stand for counts equal ones each, of which each draws its own: see deal()."""
+        return deal(rng, *self.coded_scores(k, columns, len(counts), codes), counts)
+
+    def score(self, columns: dict[str, Column], n: int, codes: Codes | None = None) -> np.ndarray:
+        """Log probability of each row's observed values under this sample; kinds with nothing observed say nothing. Rows with equal values are scored once."""
+        total, codes = np.zeros(n), codes or Codes(columns, n)
         for k, kind in enumerate(self.kinds):
             if any(f in columns and columns[f][1].any() for f in kind.features):
-                total += log_sum_exp(self.group_scores(k, columns, n), axis=1)
+                scores, code = self.coded_scores(k, columns, n, codes)
+                total += log_sum_exp(scores, axis=1)[code]
         return total
 
     def log_likelihood(self) -> float:
@@ -403,18 +423,20 @@ class Chain:
 # -- queries over several samples --------------------------------------------------------------------------------------
 def ensemble_score(samples: list[Sample], columns: dict[str, Column], n: int) -> np.ndarray:
     """Log probability of rows averaged over samples."""
-    return log_sum_exp(np.stack([s.score(columns, n) for s in samples]), axis=0) - math.log(len(samples))
+    codes = Codes(columns, n)
+    return log_sum_exp(np.stack([s.score(columns, n, codes) for s in samples]), axis=0) - math.log(len(samples))
 
 
-def draw(samples: list[Sample], columns: dict[str, Column], n: int, wanted: list[str], count: int, ids: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+def draw(samples: list[Sample], columns: dict[str, Column], n: int, wanted: list[str], count: int, ids: np.ndarray, seed: int = 0, gaps: bool = False) -> dict[str, np.ndarray]:
     """`count` draws of the wanted features for each row, given its observed values: feature to array (rows x count).
 
     Samples are weighted by how well they explain the row with all its kinds; within a draw, features of a kind share a
     group. Draws of a row are in order of their sample. Numbers come from hashes of (row id, draw), so results don't depend on
-    batches or partitions.
+    batches or partitions. With gaps, observed values aren't drawn but stay 0.
     """
-    per = [[s.group_scores(k, columns, n) for k in range(len(s.kinds))] for s in samples]
-    weights = np.stack([sum((log_sum_exp(g, axis=1) for g in gs), np.zeros(n)) for gs in per], axis=1)
+    codes = Codes(columns, n)
+    per = [[s.coded_scores(k, columns, n, codes) for k in range(len(s.kinds))] for s in samples]
+    weights = np.stack([sum((log_sum_exp(g, axis=1)[c] for g, c in gs), np.zeros(n)) for gs in per], axis=1)
     flat = (np.asarray(ids, np.int64)[:, None] * np.int64(1_000_003) + np.arange(count)).ravel()
     row = np.repeat(np.arange(n), count)
     which = np.sort(choose_rows(hash_units(flat, seed, 1), weights[row]).reshape(n, count), axis=1).ravel()
@@ -425,12 +447,17 @@ def draw(samples: list[Sample], columns: dict[str, Column], n: int, wanted: list
             continue
         for k, kind in enumerate(s.kinds):
             fs = [f for f in kind.features if f in out]
-            if not fs:
+            free = {f: ~columns[f][1][row[at]] if gaps and f in columns else np.ones(len(at), bool) for f in fs}
+            some = np.flatnonzero(np.any(list(free.values()), axis=0)) if fs else []
+            if not len(some):
                 continue
-            g = choose_rows(hash_units(flat[at], seed, 2, k), per[l][k][row[at]])
+            scores, code = per[l][k]
+            g = choose_coded(hash_units(flat[at[some]], seed, 2, k), scores, code[row[at[some]]])
             for f in fs:
-                j = wanted.index(f)
-                out[f][at] = MODELS[s.models[f]].sample(s.hypers[f], kind.stats[f], g, lambda i, j=j: hash_units(flat[at], seed, 3, j, i))
+                own = np.flatnonzero(free[f][some])
+                if len(own):
+                    j, to = wanted.index(f), at[some[own]]
+                    out[f][to] = MODELS[s.models[f]].sample(s.hypers[f], kind.stats[f], g[own], lambda i, j=j, to=to: hash_units(flat[to], seed, 3, j, i))
     return {f: v.reshape(n, count) for f, v in out.items()}
 
 

@@ -1,7 +1,7 @@
 """Feature models with conjugate priors, vectorised over groups, and Pitman-Yor partitions.
 
 A model's statistics are arrays whose first axis is the group. Every model has: empty, add and remove (one row), from_rows
-(a whole column by group), merge, predictive (log probability of one value under each group), table (of many values under each
+(a whole column by group; w: how many rows each value stands for), merge, predictive (log probability of one value under each group), table (of many values under each
 group: rows x groups), marginal (log marginal likelihood per group), sample (from functions of uniform numbers, so that draws can be reproduced anywhere), and grid (hyperparameter grids by name).
 Models: bb (Beta-Bernoulli), dd (Dirichlet-discrete), dpd (Dirichlet process-discrete, unbounded categories with an
 OTHER bin), gp (Gamma-Poisson), nich (normal-inverse-chi-squared). Unobserved values are no part of any statistic.
@@ -59,9 +59,9 @@ class BetaBernoulli(Model):
     def add(self, h, s, g, x, sign=1):
         s["heads" if x else "tails"][g] += sign
 
-    def from_rows(self, h, x, g, groups):
-        heads = np.bincount(g, x.astype(float), groups)
-        return {"heads": heads, "tails": np.bincount(g, minlength=groups) - heads}
+    def from_rows(self, h, x, g, groups, w=None):
+        heads = np.bincount(g, x.astype(float) if w is None else x * w, groups)
+        return {"heads": heads, "tails": np.bincount(g, w, groups) - heads}
 
     def predictive(self, h, s, x):
         n = h["alpha"] + h["beta"] + s["heads"] + s["tails"]
@@ -92,9 +92,9 @@ class DirichletDiscrete(Model):
     def add(self, h, s, g, x, sign=1):
         s["counts"][g, int(x)] += sign
 
-    def from_rows(self, h, x, g, groups):
+    def from_rows(self, h, x, g, groups, w=None):
         v = len(h["alphas"])
-        return {"counts": np.bincount(g * v + x.astype(np.int64), minlength=groups * v).reshape(groups, v).astype(float)}
+        return {"counts": np.bincount(g * v + x.astype(np.int64), w, groups * v).reshape(groups, v).astype(float)}
 
     def probs(self, h, s):
         c = s["counts"] + h["alphas"]
@@ -141,8 +141,8 @@ class DirichletProcessDiscrete(DirichletDiscrete):
     def _dd(self, h):
         return {"alphas": h["alpha"] * np.asarray(h["betas"])}
 
-    def from_rows(self, h, x, g, groups):
-        return super().from_rows(self._dd(h), x, g, groups)
+    def from_rows(self, h, x, g, groups, w=None):
+        return super().from_rows(self._dd(h), x, g, groups, w)
 
     def probs(self, h, s):
         return super().probs(self._dd(h), s)
@@ -193,9 +193,9 @@ class GammaPoisson(Model):
         s["total"][g] += sign * x
         s["log_prod"][g] += sign * math.lgamma(x + 1)
 
-    def from_rows(self, h, x, g, groups):
-        x = x.astype(float)
-        return {"n": np.bincount(g, minlength=groups).astype(float), "total": np.bincount(g, x, groups), "log_prod": np.bincount(g, lgamma(x + 1), groups)}
+    def from_rows(self, h, x, g, groups, w=None):
+        x, w = x.astype(float), np.ones(len(x)) if w is None else w
+        return {"n": np.bincount(g, w, groups), "total": np.bincount(g, x * w, groups), "log_prod": np.bincount(g, lgamma(x + 1) * w, groups)}
 
     def predictive(self, h, s, x):
         a, b = h["alpha"] + s["total"], h["inv_beta"] + s["n"]
@@ -248,11 +248,11 @@ class NormalInverseChiSq(Model):
         s["m2"][g] = max(0.0, s["m2"][g] + sign * d * (x - mean))
         s["mean"][g], s["n"][g] = mean, n
 
-    def from_rows(self, h, x, g, groups):
-        x = x.astype(float)
-        n = np.bincount(g, minlength=groups).astype(float)
-        mean = np.bincount(g, x, groups) / np.maximum(n, 1)
-        return {"n": n, "mean": mean, "m2": np.bincount(g, (x - mean[g]) ** 2, groups)}
+    def from_rows(self, h, x, g, groups, w=None):
+        x, w = x.astype(float), np.ones(len(x)) if w is None else w
+        n = np.bincount(g, w, groups)
+        mean = np.bincount(g, x * w, groups) / np.maximum(n, 1)
+        return {"n": n, "mean": mean, "m2": np.bincount(g, (x - mean[g]) ** 2 * w, groups)}
 
     def merge(self, a, b):
         n = a["n"] + b["n"]

@@ -53,6 +53,39 @@ def choose_rows(u: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return np.minimum((c < (u * c[:, -1])[:, None]).sum(axis=1), scores.shape[1] - 1)
 
 
+def choose_coded(u: np.ndarray, scores: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """One column index for each of code, from uniform numbers u and the row of scores that it names."""
+    if len(scores) * 4 > len(u):  # most rows differ
+        return choose_rows(u, scores[code])
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    c, out = np.cumsum(p, axis=1), np.empty(len(u), np.int64)
+    order = np.argsort(code, kind="stable")
+    ends = np.cumsum(np.bincount(code, minlength=len(scores)))
+    for i, rows in enumerate(np.split(order, ends[:-1])):
+        if len(rows):
+            out[rows] = np.minimum(c[i].searchsorted(u[rows] * c[i, -1], "left"), c.shape[1] - 1)
+    return out
+
+
+def deal(rng: np.random.Generator, scores: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of counts[i] equal rows each, drawn by the row of scores that code[i] names: i, column, and how many of them (parts of an i can repeat).
+
+    Where there are more equal rows than columns, their numbers by column are drawn at once.
+    """
+    width = scores.shape[1]
+    few = counts <= width
+    at = np.repeat(np.flatnonzero(few), counts[few])
+    g = choose_coded(rng.random(len(at)), scores, code[at]) if len(at) else np.zeros(0, np.int64)
+    if few.all():
+        return at, g, np.ones(len(at))
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    many = np.flatnonzero(~few)
+    n = rng.multinomial(counts[many], p[code[many]])
+    i, h = np.nonzero(n)
+    return np.concatenate([at, many[i]]), np.concatenate([g, h]), np.concatenate([np.ones(len(at)), n[i, h]])
+
+
 def hash_units(ids: np.ndarray, *seed: int) -> np.ndarray:
     """Uniform numbers that depend on the ids and the seed alone (splitmix64)."""
     mix = 0

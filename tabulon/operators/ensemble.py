@@ -1,11 +1,12 @@
 """Distributed learning and scoring with an ensemble of cross-categorization samples.
 
 Samples start from independent chains, one task each, on at most `learn_rows` rows chosen by hash. All rows are then put to
-groups in block Gibbs passes: rows are scored against the broadcast model in Arrow batches, each draws its group with its
-own seeded number, and the statistics of all groups are summed in one aggregation, whose size is that of the model. Kinds and
+groups in block Gibbs passes. For these, rows with equal values are counted once (the one shuffle of rows) and kept in packs, which depend
+on the values alone; in each pass they are scored against the broadcast model once, how many of them go to each group is drawn at once
+(as if each drew its own), and the statistics of all groups are summed in one aggregation, whose size is that of the model. Kinds and
 hyperparameters are redrawn from the sums of all rows after each pass. Rows that draw a new group are seated among
-themselves before the next pass, and passes go on while a sample's groups grow by more than chance (the root of their number). A pass costs two scans, and only the rows
-that draw a new group are shuffled.
+themselves before the next pass, and passes go on while a sample's groups grow by more than chance (the root of their number). A pass reads the packs
+twice, and only the rows that draw a new group are shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,10 +26,10 @@ from pyspark.sql import functions as F
 from tabulon.functions import crosscat as cc
 from tabulon.functions import schedules
 from tabulon.functions.models import MODELS, stick_ends
-from tabulon.functions.special import hash_units, log_sum_exp
+from tabulon.functions.special import deal, hash_units
 from tabulon.plans.encode import random_split
 from tabulon.plans.schema import Feature
-from tabulon.runtime import quoted
+from tabulon.runtime import parallelism, quoted, union_all
 
 #: Rows that chains see; they are broadcast, so this bounds the driver's and the workers' memory.
 LEARN_ROWS = 20_000
@@ -33,6 +37,10 @@ LEARN_ROWS = 20_000
 FULL_PASSES = 10.0
 #: A model of more numbers than this isn't broadcast but refused.
 MODEL_LIMIT = 50_000_000
+#: A pack holds at most so many combinations of values, and fewer of wide tables: so many cells.
+PACK_ROWS, PACK_CELLS = 8192, 400_000
+#: Cross-validation learns so many tables side by side.
+SEEDS_AT_ONCE = 4
 
 
 def extra_passes(rows: int) -> float:
@@ -104,8 +112,62 @@ def received(sent) -> list[cc.Sample]:
 Sums = dict[tuple[int, int, str, str], np.ndarray]
 
 
-def _add_statistics(sums: Sums, sample: cc.Sample, l: int, assign: list[np.ndarray], columns: dict[str, cc.Column]) -> None:
-    """Add a batch to the additive statistics by (sample, kind, feature, statistic); the arrays' first axis is the group."""
+@dataclass
+class Packs:
+    """A table's combinations of values, and how many rows have each. table: bucket, pack (see unpacked()); rows: of the table; whole: features without gaps."""
+
+    table: DataFrame
+    schema: str
+    rows: int
+    whole: set[str]
+
+
+@contextmanager
+def packed(df: DataFrame, models: dict[str, str]) -> Iterator[Packs]:
+    """The rows of a table as Packs, which are kept meanwhile. What is in a pack, and its order, depend on the values alone."""
+    finite = lambda f: F.when(~F.isnan(f"`{f}`") & (F.abs(f"`{f}`") < math.inf), F.col(f"`{f}`")) if models[f] == "nich" else F.col(f"`{f}`")
+    names = [f"f{i}" for i in range(len(models))]
+    slim = df.select(*[finite(f).alias(n) for f, n in zip(models, names)])
+    each = slim.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).persist()
+    packs = None
+    try:
+        r = each.agg(F.count(F.lit(1)), F.sum("n"), *[F.sum(F.when(F.col(n).isNotNull(), F.col("n"))) for n in names]).first()
+        most = max(1, min(PACK_ROWS, PACK_CELLS // len(models)))
+        buckets = max(1, -(-r[0] // max(1, min(most, max(512, r[0] // 32)))))
+        hashed = each.withColumn("h", F.xxhash64(*names)).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+
+        def pack(b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values(["h", *names], kind="stable")
+            columns = columns_of(b[names].set_axis(list(models), axis=1), models)
+            cells = {f: (*np.unique(v, return_inverse=True), seen) for f, (v, seen) in columns.items()}
+            return pd.DataFrame({"bucket": b.bucket.iloc[:1], "pack": [pickle.dumps((b.n.to_numpy(np.int64), {f: (u, i.astype(np.int32), seen) for f, (u, i, seen) in cells.items()}))]})
+
+        parts = max(min(buckets, 4 * parallelism(df.sparkSession)), buckets // 64)
+        packs = hashed.groupBy("bucket").applyInPandas(pack, "bucket int, pack binary").repartition(parts).persist()
+        packs.count()
+        each.unpersist()
+        yield Packs(packs, ", ".join(f"{n} {t}" for n, t in slim.dtypes), r[1] or 0, {f for i, f in enumerate(models) if r[i + 2] == r[1]})
+    finally:
+        each.unpersist()
+        if packs is not None:
+            packs.unpersist()
+
+
+def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, dict[str, tuple], dict[str, cc.Column], cc.Codes]]:
+    """Of each pack: its number, how many rows each combination has, its cells (values, place among them, observed), its columns, and the columns' codes."""
+    for b in batches:
+        for bucket, data in zip(b.bucket, b.pack):
+            counts, cells = pickle.loads(data)
+            columns = {f: (u[i], seen) for f, (u, i, seen) in cells.items()}
+            yield int(bucket), counts, cells, columns, cc.Codes(columns, len(counts))
+
+
+def _generator(*seed: int) -> np.random.Generator:
+    return np.random.default_rng([x & 0xFFFFFFFF for x in seed])
+
+
+def _add_statistics(sums: Sums, sample: cc.Sample, l: int, k: int, dealt: tuple[np.ndarray, np.ndarray, np.ndarray], cells: dict[str, tuple]) -> None:
+    """Add what deal_groups() dealt to the additive statistics by (sample, kind, feature, statistic); the arrays' first axis is the group."""
 
     def add(key: tuple[int, int, str, str], part: np.ndarray) -> None:
         if key in sums:
@@ -113,19 +175,26 @@ def _add_statistics(sums: Sums, sample: cc.Sample, l: int, assign: list[np.ndarr
         else:
             sums[key] = part.astype(float)
 
-    for k, kind in enumerate(sample.kinds):
-        groups = len(kind.counts)
-        add((l, k, "", "rows"), np.bincount(assign[k], minlength=groups))
-        for f in kind.features:
-            v, seen = columns[f]
-            name, h, x, a = sample.models[f], sample.hypers[f], v[seen], assign[k][seen]
-            if name == "nich":
-                d = x - h["mu"]
-                st = {"n": np.bincount(a, minlength=groups), "s1": np.bincount(a, d, groups), "s2": np.bincount(a, d * d, groups)}
-            else:
-                st = MODELS[name].from_rows(h, x, a, groups)
-            for s, part in st.items():
-                add((l, k, f, s), part)
+    kind, (at, g, w) = sample.kinds[k], dealt
+    groups = len(kind.counts)
+    add((l, k, "", "rows"), np.bincount(g, w, groups))
+    for f in kind.features:
+        u, place, seen = cells[f]
+        name, h = sample.models[f], sample.hypers[f]
+        own = slice(None) if seen.all() else seen[at]
+        x, a, n = place[at[own]], g[own], w[own]
+        if groups * len(u) <= 4 * len(x):  # a value's rows in a group count as one
+            both = np.bincount(a * len(u) + x, n, groups * len(u))
+            x = np.flatnonzero(both)
+            a, x, n = x // len(u), x % len(u), both[x]
+        x = u[x]
+        if name == "nich":
+            d = x - h["mu"]
+            st = {"n": np.bincount(a, n, groups), "s1": np.bincount(a, d * n, groups), "s2": np.bincount(a, d * d * n, groups)}
+        else:
+            st = MODELS[name].from_rows(h, x, a, groups, n)
+        for s, part in st.items():
+            add((l, k, f, s), part)
 
 
 def _rows_of(sums: Sums) -> pd.DataFrame | None:
@@ -181,7 +250,8 @@ def assign_arrays(df: DataFrame, samples: list[cc.Sample], wanted: list[tuple[in
         own = received(sent)
         for b in named(batches, models, keep):
             ids, cols = b.row_id.to_numpy(), columns_of(b, models)
-            g = [own[l].draw_groups(k, cols, len(b), hash_units(ids, seed, l, k)) for l, k in wanted]
+            codes = cc.Codes(cols, len(b))
+            g = [own[l].draw_groups(k, cols, len(b), hash_units(ids, seed, l, k), codes) for l, k in wanted]
             yield kept(b, keep).assign(groups=list(np.stack(g, axis=1).astype(np.int32)))
 
     return narrow(df, models, keep).mapInPandas(run, f"row_id bigint, {kept_schema(df, keep)}groups array<int>").withColumnsRenamed(renamed(keep))
@@ -192,7 +262,8 @@ def gibbs_pass(df: DataFrame, samples: list[cc.Sample], seed: int = 0, renumber:
 
     Without renumber, groups keep their numbers, so that the statistics can be added to those of other rows.
     """
-    return _rebuild(samples, _pass_sums(df, samples, seed, None), renumber)
+    with packed(df, samples[0].models) as packs:
+        return _rebuild(samples, _pass_sums(packs, samples, seed, None), renumber)
 
 
 def _across(sample: cc.Sample, groups: int) -> cc.Sample:
@@ -202,39 +273,38 @@ def _across(sample: cc.Sample, groups: int) -> cc.Sample:
     return cc.Sample(sample.models, sample.hypers, [*kinds, cc.Kind(every, 2.0, 0.1, np.zeros(groups), {})], sample.topology)
 
 
-def _pass_sums(df: DataFrame, samples: list[cc.Sample], seed: int, ends: list[np.ndarray] | None) -> list:
+def _pass_sums(packs: Packs, samples: list[cc.Sample], seed: int, ends: list[np.ndarray] | None) -> list:
     """Summed statistics of a block Gibbs pass. With ends, those of every feature in every kind, and in a kind whose groups are these shares of all rows."""
-    sent = share(df.sparkSession, samples)
-    models = samples[0].models
+    sent = share(packs.table.sparkSession, samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, sums = received(sent), {}
         wide = own if ends is None else [_across(s, len(e)) for s, e in zip(own, ends)]
-        for b in named(batches, models):
-            ids, cols = b.row_id.to_numpy(), columns_of(b, models)
+        with np.errstate(divide="ignore"):
+            shares = [np.log(np.diff(e, prepend=0.0))[None, :] for e in ends or []]
+        for bucket, counts, cells, columns, codes in unpacked(batches):
             for l, s in enumerate(own):
-                a = [s.draw_groups(k, cols, len(b), hash_units(ids, seed, l, k)) for k in range(len(s.kinds))]
+                for k in range(len(s.kinds)):
+                    _add_statistics(sums, wide[l], l, k, s.deal_groups(k, columns, counts, _generator(seed, l, k, bucket), codes), cells)
                 if ends is not None:
-                    u = hash_units(ids, seed, l, len(s.kinds))
-                    a.append(np.minimum(np.searchsorted(ends[l], u, "right"), len(ends[l]) - 1))
-                _add_statistics(sums, wide[l], l, a, cols)
+                    _add_statistics(sums, wide[l], l, len(s.kinds), deal(_generator(seed, l, len(s.kinds), bucket), shares[l], np.zeros(len(counts), np.int64), counts), cells)
         found = _rows_of(sums)
         if found is not None:
             yield found
 
-    parts = narrow(df, models).mapInPandas(run, "sample int, kind int, feature string, grp int, stat string, code int, value double")
+    parts = packs.table.mapInPandas(run, "sample int, kind int, feature string, grp int, stat string, code int, value double")
     summed = parts.groupBy("sample", "kind", "feature", "grp", "stat", "code").agg(F.sum("value").alias("value"))
     return summed.collect()
 
 
-def structured_pass(df: DataFrame, samples: list[cc.Sample], seed: int, whole: set[str], config: cc.Config) -> list[cc.Sample]:
+def structured_pass(packs: Packs, samples: list[cc.Sample], seed: int, config: cc.Config) -> list[cc.Sample]:
     """A block Gibbs pass, then kinds and hyperparameters redrawn from the statistics of all rows."""
     rng = np.random.default_rng(seed)
     ends = [stick_ends(rng, 2.0, 0.1) for _ in samples]
     size = sum(sum(len(k.counts) for k in s.kinds) * sum(v[:1].size for k in s.kinds for st in k.stats.values() for v in st.values()) for s in samples)
     if size > MODEL_LIMIT:
         raise ValueError(f"kinds are compared by {size} numbers, more than {MODEL_LIMIT}; use fewer samples, groups or symbols")
-    sums = _pass_sums(df, samples, seed, ends)
+    sums = _pass_sums(packs, samples, seed, ends)
     # the auxiliary kinds' groups that have rows, numbered anew
     last = [len(s.kinds) for s in samples]
     seated = [{g: i for i, g in enumerate(sorted({r.grp for r in sums if r.sample == l and r.kind == last[l]}))} for l in range(len(samples))]
@@ -254,7 +324,7 @@ def structured_pass(df: DataFrame, samples: list[cc.Sample], seed: int, whole: s
                 kinds.append(cc.Kind(own, k.alpha, k.d, k.counts, {f: k.stats[f] for f in own}))
         new = cc.Sample(s.models, dict(s.hypers), kinds, s.topology, s.rows)
         if config.infer_hypers:
-            cc.redraw_hypers(new, rng, whole)
+            cc.redraw_hypers(new, rng, packs.whole)
         out.append(new.with_empty())
     return out
 
@@ -264,19 +334,28 @@ def open_groups(df: DataFrame, samples: list[cc.Sample], seed: int = 0, passes:
 
     At most `most` rows of each kind of a sample, chosen by hash, are seated in one call.
     """
-    sent = share(df.sparkSession, samples)
+    with packed(df, samples[0].models) as packs:
+        return _open_groups(packs, samples, seed, passes, most)
+
+
+def _open_groups(packs: Packs, samples: list[cc.Sample], seed: int, passes: float, most: int = LEARN_ROWS) -> list[cc.Sample]:
+    sent = share(packs.table.sparkSession, samples)
     models = samples[0].models
-    slim = narrow(df, models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = received(sent)
-        for b in batches:
-            ids, cols = b.row_id.to_numpy(), columns_of(b.set_axis(["row_id", *models], axis=1), models)
+        for bucket, counts, _, columns, codes in unpacked(batches):
             for l, s in enumerate(own):
                 for k, kind in enumerate(s.kinds):
-                    fresh = kind.counts[s.draw_groups(k, cols, len(b), hash_units(ids, seed, l, k))] == 0
-                    if fresh.any():
-                        yield b[fresh].assign(sample=np.int32(l), kind=np.int32(k), turn=hash_units(ids[fresh], seed, l, k, 1))
+                    rng = _generator(seed, l, k, bucket)
+                    scores, code = s.coded_scores(k, columns, len(counts), codes)
+                    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+                    fresh = np.minimum(p[:, kind.counts == 0].sum(axis=1) / p.sum(axis=1), 1.0)
+                    at = np.repeat(np.arange(len(counts)), rng.binomial(counts, fresh[code]))
+                    if len(at):
+                        rows = {f"f{i}": pd.arrays.IntegerArray(columns[f][0][at], ~columns[f][1][at]) if m in ("gp", "dd", "dpd") else pd.arrays.BooleanArray(columns[f][0][at], ~columns[f][1][at]) if m == "bb" else np.where(columns[f][1][at], columns[f][0][at], np.nan) for i, (f, m) in enumerate(models.items())}
+                        turn = rng.random(len(at))
+                        yield pd.DataFrame({**rows, "row_id": bucket, "sample": np.int32(l), "kind": np.int32(k), "turn": turn})
 
     def seat(b: pd.DataFrame) -> pd.DataFrame:
         l, k = int(b["sample"].iloc[0]), int(b["kind"].iloc[0])
@@ -290,8 +369,7 @@ def open_groups(df: DataFrame, samples: list[cc.Sample], seed: int = 0, passes:
         found = c.run().sorted_groups()[0].kinds[0]
         return pd.DataFrame({"sample": [np.int32(l)], "kind": [np.int32(k)], "groups": [pickle.dumps((found.counts, found.stats))]})
 
-    schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes)
-    fresh = slim.mapInPandas(run, f"{schema}, sample int, kind int, turn double")
+    fresh = packs.table.mapInPandas(run, f"{packs.schema}, row_id bigint, sample int, kind int, turn double")
     fresh = fresh.withColumn("place", F.row_number().over(Window.partitionBy("sample", "kind").orderBy("turn", "row_id"))).where(F.col("place") <= most).drop("place")
     out = [s.with_empty() for s in samples]
     for r in fresh.groupBy("sample", "kind").applyInPandas(seat, "sample int, kind int, groups binary").collect():
@@ -308,20 +386,17 @@ def settle(df: DataFrame, samples: list[cc.Sample], passes: int = 1, seed: int =
     (extra_passes 0) leaves kinds and hyperparameters.
     """
     config = config or cc.Config()
-    models = samples[0].models
-    finite = lambda f: F.when(~F.isnan(f"`{f}`") & (F.abs(f"`{f}`") < math.inf), F.col(f"`{f}`")) if models[f] == "nich" else F.col(f"`{f}`")
-    r = df.agg(F.count(F.lit(1)), *[F.count(finite(f)) for f in models]).first()
-    whole = {f for i, f in enumerate(models) if r[i + 1] == r[0]}
     out, active, turn = list(samples), list(range(len(samples))), 0
-    while active:
-        own = open_groups(df, [out[l] for l in active], seed + 2 * turn + 1, config.extra_passes)
-        own = gibbs_pass(df, own, seed + 2 * turn) if config.extra_passes <= 0 else structured_pass(df, own, seed + 2 * turn, whole, config)
-        turn += 1
-        held = lambda s: sum(int((k.counts > 0).sum()) for k in s.kinds) / max(1, len(s.kinds))
-        more = [held(s) > held(out[l]) + math.sqrt(held(out[l])) for l, s in zip(active, own)]
-        for l, s in zip(active, own):
-            out[l] = s
-        active = [l for l, m in zip(active, more) if m or turn < passes]
+    with packed(df, samples[0].models) as packs:
+        while active:
+            own = _open_groups(packs, [out[l] for l in active], seed + 2 * turn + 1, config.extra_passes)
+            own = _rebuild(own, _pass_sums(packs, own, seed + 2 * turn, None)) if config.extra_passes <= 0 else structured_pass(packs, own, seed + 2 * turn, config)
+            turn += 1
+            held = lambda s: sum(int((k.counts > 0).sum()) for k in s.kinds) / max(1, len(s.kinds))
+            more = [held(s) > held(out[l]) + math.sqrt(held(out[l])) for l, s in zip(active, own)]
+            for l, s in zip(active, own):
+                out[l] = s
+            active = [l for l, m in zip(active, more) if m or turn < passes]
     return out
 
 
@@ -351,8 +426,9 @@ def learn(df: DataFrame, features: list[Feature], samples: int = 2, config: cc.C
                 c.run()
                 yield pd.DataFrame({"seed": [s], "sample": [pickle.dumps(c.sorted_groups()[0].state())], "log": [repr(c.log)]})
 
-    seeds = spark.createDataFrame([(seed * 1000 + i,) for i in range(samples)], "seed bigint").repartition(samples, "seed")
-    found = seeds.mapInPandas(chain, "seed bigint, sample binary, log string").orderBy("seed").collect()
+    seeds = spark.range(seed * 1000, seed * 1000 + samples, 1, samples).withColumnRenamed("id", "seed")
+    # sorted here: for a sort by Spark, whose ranges are sampled first, chains would run twice
+    found = sorted(seeds.mapInPandas(chain, "seed bigint, sample binary, log string").collect(), key=lambda r: r.seed)
     out = [cc.Sample.from_state(pickle.loads(r.sample)).with_empty() for r in found]
     if sampled or passes > 1:
         out = settle(df, out, passes, seed, config)
@@ -407,7 +483,7 @@ def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None =
         own = received(sent)
         for b in named(batches, models, keep):
             cols = columns_of(b, models)
-            drawn = cc.draw(own, cols, len(b), wanted, count, b.row_id.to_numpy(), seed)
+            drawn = cc.draw(own, cols, len(b), wanted, count, b.row_id.to_numpy(), seed, gaps=True)
             out = kept(b, keep).iloc[np.repeat(np.arange(len(b)), count)].reset_index(drop=True).assign(draw=np.tile(np.arange(count, dtype=np.int32), len(b)))
             for f, m in models.items():
                 v, seen = cols[f]
@@ -489,15 +565,16 @@ def metrics(samples: list[cc.Sample]) -> list[dict]:
 
 
 def held_out(df: DataFrame, features: list[Feature], proportion: float = 0.9, seeds: int = 2, **options) -> DataFrame:
-    """Cross-validation: for each seed, learn on an exact share of the rows and score the rest: seed, rows, mean_score."""
+    """Cross-validation: for each seed, learn on an exact share of the rows and score the rest: seed, rows, mean_score.
+
+    Seeds are independent; up to SEEDS_AT_ONCE of them learn side by side, so that the cores which one leaves idle are used.
+    """
     n = df.count()
-    results = []
-    for seed in range(seeds):
+
+    def one(seed: int) -> DataFrame:
         split = random_split(df, "row_id", int(proportion * n), seed)
         ss = learn(split.where("train").drop("train"), features, seed=seed, **options)
-        results.append(score(split.where("not train").drop("train"), ss).agg(F.lit(seed).alias("seed"), F.count(F.lit(1)).alias("rows"), F.avg("score").alias("mean_score")))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+        return score(split.where("not train").drop("train"), ss).agg(F.lit(seed).alias("seed"), F.count(F.lit(1)).alias("rows"), F.avg("score").alias("mean_score"))
 
+    with ThreadPoolExecutor(SEEDS_AT_ONCE) as pool:
+        return union_all(list(pool.map(one, range(seeds))))

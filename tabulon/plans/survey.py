@@ -504,12 +504,12 @@ _LEARNT: dict[tuple, PredictiveTable] = {}
 
 
 def learnt(s: SparkSession, d: str, **options) -> PredictiveTable:
-    """lineitem, learnt once per session, folder and options: the questions below are asked of one table, as users do."""
+    """lineitem, learnt once per session, folder and options: the questions below are asked of one table, as users do. crossvalidate, which learns parts of it, doesn't wait for the whole."""
     key = (s.sparkContext.applicationId, d, repr(sorted(options.items())))
     if key not in _LEARNT:
         t = table(s, d, "lineitem").select(*[F.col(c).cast("string").alias(c) if m == "dd" else F.col(c) for c, m in MODELS.items()])
         t = t.withColumn("l_quantity", F.col("l_quantity").cast("bigint"))
-        _LEARNT[key] = PredictiveTable.fit(s, t, models=MODELS, **{"samples": SAMPLES, **options})
+        _LEARNT[key] = PredictiveTable.fit(s, t, models=MODELS, lazy=True, **{"samples": SAMPLES, **options})
     return _LEARNT[key]
 
 

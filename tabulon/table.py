@@ -6,6 +6,8 @@ Columns are named as the user declared them (fluent names); a fluent column may
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -24,15 +26,16 @@ from tabulon.sources.tables import read_any, with_row_ids
 class PredictiveTable:
     """A learnt table. Make one with fit(); samples, features and plan can be saved with sources.store."""
 
-    def __init__(self, spark: SparkSession, features: list[Feature], samples: list[cc.Sample], rows: DataFrame, plan: TransformPlan | None = None, rowids: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, features: list[Feature], samples: list[cc.Sample] | Callable[[], list[cc.Sample]], rows: DataFrame, plan: TransformPlan | None = None, rowids: DataFrame | None = None):
+        """samples: or what learns them, which is called when they are first asked for."""
         if rowids is not None and "external_id" not in rows.columns:
             rows = rows.join(rowids.select("row_id", "external_id"), "row_id")
-        self.spark, self.features, self.samples, self.rows, self.plan, self.rowids = spark, features, samples, rows, plan, rowids
+        self.spark, self.features, self._samples, self.rows, self.plan, self.rowids = spark, features, samples, rows, plan, rowids
 
     # -- making ----------------------------------------------------------------------------------------------------
     @classmethod
-    def fit(cls, spark: SparkSession, source, schema: list[tuple[str, str]] | None = None, models: dict[str, str] | None = None, **options) -> PredictiveTable:
-        """Ingest and learn. schema: fluent (name, type) pairs for text cells; models: basic model per column of a typed table."""
+    def fit(cls, spark: SparkSession, source, schema: list[tuple[str, str]] | None = None, models: dict[str, str] | None = None, lazy: bool = False, **options) -> PredictiveTable:
+        """Ingest and learn. schema: fluent (name, type) pairs for text cells; models: basic model per column of a typed table. lazy: learn once the samples are asked for."""
         raw = read_any(spark, source)
         plan = make_plan(raw, schema) if schema else None
         if plan:
@@ -45,8 +48,14 @@ class PredictiveTable:
             raise SchemaError("give a fluent schema or basic models")
         features = enc.make_encoding(basic, models)
         rows = enc.encode(basic, features, keep=["external_id"])
-        samples = ensemble.learn(rows, features, **options)
-        return cls(spark, features, samples, rows, plan, basic.select("row_id", "external_id"))
+        learn = partial(ensemble.learn, rows, features, **options)
+        return cls(spark, features, learn if lazy else learn(), rows, plan, basic.select("row_id", "external_id"))
+
+    @property
+    def samples(self) -> list[cc.Sample]:
+        if callable(self._samples):
+            self._samples = self._samples()
+        return self._samples
 
     # -- names -----------------------------------------------------------------------------------------------------
     @property
