@@ -39,6 +39,8 @@ FULL_PASSES = 10.0
 MODEL_LIMIT = 50_000_000
 #: A pack holds at most so many combinations of values, and fewer of wide tables: so many cells.
 PACK_ROWS, PACK_CELLS = 8192, 400_000
+#: Cells that predict() puts out for one batch, if that is more than Spark's batches give.
+BATCH_CELLS = 500_000
 #: Cross-validation learns so many tables side by side.
 SEEDS_AT_ONCE = 4
 
@@ -79,6 +81,19 @@ def named(batches: Iterator[pd.DataFrame], models: dict[str, str], keep: tuple[s
         yield b
 
 
+def larger(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches put together to so many rows or a bit more, so that more equal ones meet; larger ones stay."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def kept(b: pd.DataFrame, keep: tuple[str, ...]) -> pd.DataFrame:
     return b.iloc[:, : 1 + len(keep)].copy()
 
@@ -481,15 +496,17 @@ def complete(df: DataFrame, samples: list[cc.Sample], wanted: list[str] | None =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = received(sent)
-        for b in named(batches, models, keep):
+        for b in named(larger(batches, BATCH_CELLS // (max(1, len(models)) * count)), models, keep):
             cols = columns_of(b, models)
-            drawn = cc.draw(own, cols, len(b), wanted, count, b.row_id.to_numpy(), seed, gaps=True)
+            at = np.flatnonzero(np.any([~cols[f][1] for f in wanted], axis=0)) if wanted else np.zeros(0, np.int64)
+            drawn = cc.draw(own, {f: (v[at], seen[at]) for f, (v, seen) in cols.items()}, len(at), wanted, count, b.row_id.to_numpy()[at], seed, gaps=True)
             out = kept(b, keep).iloc[np.repeat(np.arange(len(b)), count)].reset_index(drop=True).assign(draw=np.tile(np.arange(count, dtype=np.int32), len(b)))
             for f, m in models.items():
                 v, seen = cols[f]
                 x, there = np.repeat(v.astype(float), count), np.repeat(seen, count)
                 if f in drawn:
-                    x = np.where(there, x, drawn[f].ravel())
+                    free = ~seen[at]
+                    x.reshape(len(b), count)[at[free]] = drawn[f][free]
                     there = np.ones(len(x), bool)
                 if m == "bb":
                     out[f] = pd.array(x > 0.5, dtype="boolean")
