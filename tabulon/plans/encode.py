@@ -44,9 +44,15 @@ def make_encoding(df: DataFrame, models: dict[str, str], most_symbols: int = 100
     return canonical([Feature(f, m, symbols[f]) for f, m in models.items()])
 
 
-def encode_column(f: Feature) -> Column:
-    """The encoded form of one feature's column. An unknown dd value is an error, an unknown dpd value OTHER."""
+#: Types of columns that numbers of a model are taken from as they are.
+PLAIN = {"gp": ("tinyint", "smallint", "int", "bigint"), "nich": ("tinyint", "smallint", "int", "bigint", "double")}
+
+
+def encode_column(f: Feature, kind: str = "string") -> Column:
+    """The encoded form of one feature's column of a type. An unknown dd value is an error, an unknown dpd value OTHER."""
     raw = F.col(f"`{f.name}`")
+    if kind in PLAIN.get(f.model, ()):
+        return raw.cast("bigint" if f.model == "gp" else "double")
     text = F.trim(raw.cast("string"))
     text = F.when(text != "", text)
     if f.model == "bb":
@@ -76,7 +82,7 @@ def encode(df: DataFrame, features: list[Feature], row_id: str = "row_id", keep:
     for i, f in enumerate(big):
         table = df.sparkSession.createDataFrame([(s, c) for s, c in f.symbols.items()], f"__s{i} string, __c{i} int")
         out = out.join(table, F.trim(F.col(f"`{f.name}`").cast("string")) == F.col(f"__s{i}"), "left")
-    picks = []
+    kinds, picks = dict(df.dtypes), []
     for f in features:
         if f in big:
             i = big.index(f)
@@ -84,7 +90,7 @@ def encode(df: DataFrame, features: list[Feature], row_id: str = "row_id", keep:
             other = F.lit(f.symbols[OTHER]) if f.model == "dpd" else F.raise_error(F.concat(F.lit(f"bad value of {f.name}: "), text)).cast("int")
             picks.append(F.when(text.isNull() | (text == ""), None).otherwise(F.coalesce(F.col(f"__c{i}"), other)).cast("int").alias(f.name))
         else:
-            picks.append(encode_column(f).alias(f.name))
+            picks.append(encode_column(f, kinds.get(f.name, "string")).alias(f.name))
     return out.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), *[F.col(f"`{k}`") for k in keep or [] if k != "row_id"], *picks)
 
 

@@ -7,8 +7,9 @@ Columns are named as the user declared them (fluent names); a fluent column may
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from tabulon.operators import consensus, ensemble
 from tabulon.plans import encode as enc
 from tabulon.plans.schema import Feature, SchemaError
 from tabulon.plans.transforms import TransformPlan, make_plan
+from tabulon.runtime import parallelism
 from tabulon.sources.tables import read_any, with_row_ids
 
 
@@ -182,7 +184,15 @@ class PredictiveTable:
 
     def search(self, row: dict | list, limit: int = 1000, seed: int = 0) -> DataFrame:
         """Table rows that the given row tells most about: external_id, score, highest first."""
-        found = ensemble.derivative(self.rows, self.samples, [self.encode_row(row)], seed, ("external_id",)).orderBy(F.desc("score"), "row_id").limit(limit)
+        # rows with equal values are scored once, by the least of their ids; a row among the first `limit` has values that are among the first `limit` of these
+        value = [f"__v{i}" for i in range(len(self.features))]
+        each = self.rows.groupBy(*[F.col(f"`{f}`").alias(v) for f, v in zip(self.feature_names, value)]).agg(F.min("row_id").alias("row_id"))
+        each = each.withColumn("__key", F.to_json(F.struct(*value))).withColumns({f: F.col(v) for f, v in zip(self.feature_names, value)})
+        scored = ensemble.derivative(each.repartition(parallelism(self.spark)), self.samples, [self.encode_row(row)], seed, ("__key",))
+        kinds = ", ".join(f"{v} {k}" for v, k in each.select(*value).dtypes)
+        top = scored.orderBy(F.desc("score"), "row_id").limit(limit).select(F.from_json("__key", kinds).alias("__cells"), F.col("score").alias("__score")).select("__cells.*", "__score")
+        same = reduce(and_, [F.col(f"`{f}`").eqNullSafe(F.col(v)) for f, v in zip(self.feature_names, value)])
+        found = self.rows.join(top, same).select("row_id", "external_id", F.col("__score").alias("score")).orderBy(F.desc("score"), "row_id").limit(limit)
         return found.select("external_id", "score").orderBy(F.desc("score"), "external_id")
 
     def similar(self, rows: list, rows2: list | None = None, seed: int = 0) -> DataFrame:
